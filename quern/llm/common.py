@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import tempfile
 import uuid
@@ -83,3 +84,19 @@ def components(edges: DataFrame) -> DataFrame:
                 live.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = now
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that `materialise` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if "/quern-" in folder.toString():
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of finished jobs (it acts on the driver's collections)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
