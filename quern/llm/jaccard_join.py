@@ -98,7 +98,7 @@ def _verify(percent: int):
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("sx", "sy"))
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("sa", "sb"))
                 low, high = sorted((len(x), len(y)))
                 if 100 * low < percent * high:
                     continue
@@ -112,6 +112,23 @@ def _verify(percent: int):
     return run
 
 
+def _bound(percent: int):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for i, (na, nb) in enumerate(zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)):
+                if 100 * min(na, nb) < percent * max(na, nb):
+                    continue
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u2") for c in ("va", "vb"))
+                g = min(len(x), len(y))
+                if int(np.minimum(x.reshape(-1, g).sum(0), y.reshape(-1, g).sum(0)).sum()) >= _needed(na, nb, percent):
+                    keep.append(i)
+            took = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([took.column("a"), took.column("b")], names=["a", "b"])
+
+    return run
+
+
 class RTree:
     """Points (count vectors with set sizes) under nodes that bound every overlap below them."""
 
@@ -222,19 +239,27 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
     rows = materialise(rare.join(shared, "h"))
     release(spark)
 
-    wanted = rows.select("cid").distinct().join(classes.select("cid", "text_id", "f1", "n"), "cid")
-    sets = docs.join(wanted.withColumnRenamed("text_id", "doc_id"), "doc_id").select("cid", "text", "f1", "n").mapInArrow(_sets(size), "cid long, set binary")
-    sets = materialise(sets.dropDuplicates(["cid"]) if _repeated(classes) else sets)
-    release(spark)
+    several = _repeated(classes)
+    weights = keyed.select("cid", "n", "vec")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        x, y = (weights.select(F.col("cid").alias(p), F.col("n").alias(f"n{p}"), F.col("vec").alias(f"v{p}")) for p in "ab")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("cid").alias("a"), F.col("set").alias("sx"))
-        y = sets.select(F.col("cid").alias("b"), F.col("set").alias("sy"))
-        out = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "sx", "sy").mapInArrow(_verify(percent), "a long, b long"))
+        """The pairs whose sets reach the similarity; only their texts are read again."""
+        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        wanted = materialise(ends.join(classes.select("cid", F.col("text_id").alias("doc_id"), "f1", "n"), "cid"))
+        sets = docs.join(wanted, "doc_id").select("cid", "text", "f1", "n").mapInArrow(_sets(size), "cid long, set binary")
+        sets = materialise(sets.dropDuplicates(["cid"]) if several else sets)
+        x, y = (sets.select(F.col("cid").alias(p), F.col("set").alias(f"s{p}")) for p in "ab")
+        out = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long"))
+        discard(sets)
         release(spark)
         return out
 
-    star = verified(materialise(rows.filter("cid > r").groupBy("cid").agg(F.min("r").alias("a")).select("a", F.col("cid").alias("b"))))
+    star = rows.filter("cid > r").groupBy("cid").agg(F.min("r").alias("a")).select("a", F.col("cid").alias("b"))
+    star = verified(materialise(bounded(materialise(star))))
     comp = components(star)
     placed = rows.select("h", "cid", "m").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     placed = materialise(placed.select("h", "cid", "m", "comp"))
@@ -282,3 +307,14 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     tiles = own_pairs.select(cols).unionByName(cross_low.select(cols)).unionByName(cross_high.select(cols))
     key = ["h", "at", "kind", "i", "j"]
     return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(percent), "a long, b long")
+
+
+def keep_one(docs: DataFrame, *, percent: int = 80, size: int = 5) -> DataFrame:
+    """The rows of docs, all columns, but those whose component has a smaller doc_id.
+
+    Rows with a null doc_id stay.
+    """
+    verdict = materialise(jaccard_components(docs, percent=percent, size=size).select("doc_id", "component_id"))
+    stay = verdict.filter("doc_id = component_id").select("doc_id")
+    gone = materialise(verdict.filter("doc_id <> component_id").select("doc_id").join(stay, "doc_id", "left_anti").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
