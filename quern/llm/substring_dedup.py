@@ -4,8 +4,10 @@ For each of HASHES hash functions a text's shingles have a Cartesian tree by has
 node whose span holds at least the least passage is a compact window: every subsequence of
 its span that contains the node has the node's shingle as its signature.  Windows of all
 documents are grouped by (hash function, signature); each is joined with its group's first
-window, and with the first one that also has the same words on one side, so that two copies
-of a passage meet whatever else shares their signature.  Windows of two documents on about
+window, and under the first hash function also with the first one that has the same words
+around the signature, so that two copies of a passage meet whatever else shares it: any
+passage of WORDS words holds one of the stretches of CONTEXT words compared, whose copies
+are near-duplicates already.  Windows of two documents on about
 one diagonal are intervals of one passage; pairs met under enough hashes are verified on the
 texts, and the passage's ends found there.
 """
@@ -23,7 +25,8 @@ from quern.llm import shingles
 from quern.llm.common import discard, materialise, release
 
 WORDS, SHINGLE, HASHES, ENOUGH, PERCENT = 50, 5, 3, 2, 80
-CONTEXT = 28
+CONTEXT = 46
+STARTS = np.array([*range(0, CONTEXT - SHINGLE, 5), CONTEXT - SHINGLE])
 _SALT = np.array([0x1234567, 0x9ABCDEF1, 0x5DEECE66D, 0x2545F491, 0xB5297A4D, 0x68E31DA4, 0x1B56C4E9, 0x7FEB352D], np.uint64)
 
 
@@ -73,7 +76,7 @@ def _windows(words_least: int, size: int, hashes: int):
                 words, before = shingles.word_hashes(part.column("text"))
                 made, _ = shingles.sequences(words, before, size)
                 sides, _ = shingles.sequences(words, before, CONTEXT)
-                doc, sig, at, left, right = [], [], [], [], []
+                doc, sig, at, around = [], [], [], []
                 for d, a, b in zip(part.column("doc_id").to_pylist(), before[:-1].tolist(), before[1:].tolist(), strict=True):
                     if b - a < words_least or d is None:
                         continue
@@ -83,12 +86,15 @@ def _windows(words_least: int, size: int, hashes: int):
                         doc.append(np.full(len(nodes), d))
                         sig.append(shingles.mix(own[nodes] + _SALT[k]).view(np.int64))
                         at.append(nodes)
-                        # The CONTEXT words from the signature on, and those that end with it.
-                        ahead, behind = a + nodes, a + nodes + size - CONTEXT
-                        right.append(np.where(ahead + CONTEXT <= b, sides[ahead].view(np.int64), 0))
-                        left.append(np.where(behind >= a, sides[np.maximum(behind, 0)].view(np.int64), 0))
-                cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (doc, sig, at, left, right)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["doc_id", "sig", "at", "left", "right"])
+                        begin = a + nodes[:, None] - STARTS
+                        inside = (begin >= a) & (begin + CONTEXT <= b) if k == 0 else np.zeros((len(nodes), 0), bool)
+                        around.append((inside, np.where(inside, sides[np.clip(begin, 0, len(sides) - 1)], 0).astype(np.uint32).view(np.int32) if k == 0 else None))
+                cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (doc, sig, at)]
+                ends = np.concatenate([[0], *(np.full(len(m), m.shape[1]) for m, _ in around)]).cumsum().astype(np.int32)
+                flat = [(m.ravel(), v.ravel()) for m, v in around if v is not None]
+                mask, values = (np.concatenate([f[i] for f in flat]) if flat else np.zeros(0, t) for i, t in ((0, bool), (1, np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, mask=~mask.astype(bool)))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names=["doc_id", "sig", "at", "around"])
 
     return run
 
@@ -107,10 +113,13 @@ def _verified(words_least: int, size: int, percent: int):
         return i - back, i + ahead, j - back, j + ahead
 
     def passage(x, y, places):
-        best = None
+        best, seen = None, {}
         for i, j in places:
+            if seen.get(i - j, -1) > i:
+                continue  # inside a run already measured
             a0, a1, b0, b1 = grow(x, y, i, j)
-            if best and best[0] <= a0 and a1 <= best[1] and a1 - a0 <= best[1] - best[0]:
+            seen[i - j] = a1
+            if best and a1 - a0 <= best[1] - best[0] and best[4] == 1.0:
                 continue
             score = 1.0
             if a1 - a0 < words_least:
@@ -136,7 +145,7 @@ def _verified(words_least: int, size: int, percent: int):
             rows = []
             for k in range(batch.num_rows):
                 x, y = (shingles.word_hashes(batch.column(c).slice(k, 1))[0] for c in ("text_a", "text_b"))
-                got = passage(x, y, [(p["i"], p["j"]) for p in batch.column("places")[k].as_py()])
+                got = passage(x, y, sorted({(p["i"], p["j"]) for p in batch.column("places")[k].as_py()}))
                 if got:
                     rows.append((batch.column("a")[k].as_py(), batch.column("b")[k].as_py(), *got))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -158,7 +167,7 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    made = materialise(docs.mapInArrow(_windows(words, size, hashes), "doc_id long, sig long, at long, left long, right long"))
+    made = materialise(docs.mapInArrow(_windows(words, size, hashes), "doc_id long, sig long, at long, around array<int>"))
     first = F.min(F.struct("doc_id", "at"))
     counted = made.groupBy("sig").agg(first.alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
     groups = materialise(counted.select("sig", F.col("f.doc_id").alias("b"), F.col("f.at").alias("j")))
@@ -167,18 +176,17 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
     discard(made)
     release(spark)
 
-    # The first window of each signature, and of each signature with its words on one side.
+    # The first window of each signature, and of each signature with the words around it.
     plain = shared.filter("doc_id > b").select(F.col("doc_id").alias("a"), F.col("at").alias("i"), "b", "j")
-    sided = shared.select("sig", "doc_id", "at", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("words")), F.struct(F.lit(1).alias("side"), F.col("right").alias("words")))).alias("s"))
-    sided = sided.filter("s.words <> 0").select("sig", "doc_id", "at", "s.side", "s.words")
+    sided = shared.select("sig", "doc_id", "at", F.posexplode("around").alias("side", "words")).filter("words is not null")
     heads = materialise(sided.groupBy("sig", "side", "words").agg(first.alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last").select("sig", "side", "words", "f"))
     met = sided.join(heads, ["sig", "side", "words"]).filter("doc_id > f.doc_id")
     met = met.select(F.col("doc_id").alias("a"), F.col("at").alias("i"), F.col("f.doc_id").alias("b"), F.col("f.at").alias("j"), F.lit(1).alias("copy"))
     # Interval join: places of a pair on about one diagonal belong to one passage.
     met = met.unionByName(plain.withColumn("copy", F.lit(0))).withColumn("diagonal", F.expr(f"floor((i - j) / {words})"))
-    runs = met.groupBy("a", "b", "diagonal").agg(F.max("copy").alias("copy"), F.count_distinct("i", "j").alias("n"), F.min(F.struct("i", "j")).alias("lo"), F.max(F.struct("i", "j")).alias("hi"))
-    runs = runs.filter((F.col("copy") == 1) | (F.col("n") >= enough))
-    pairs = materialise(runs.groupBy("a", "b").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("places")))
+    runs = met.groupBy("a", "b", "diagonal").agg(F.max("copy").alias("copy"), F.collect_set(F.struct("i", "j")).alias("at"))
+    runs = runs.filter((F.col("copy") == 1) | (F.size("at") >= enough))
+    pairs = materialise(runs.groupBy("a", "b").agg(F.flatten(F.collect_list("at")).alias("places")))
     release(spark)
 
     x, y = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
