@@ -138,6 +138,8 @@ class Channel:
                 signs = (_APART_MARKS if apart else _MARKS).sub("", signs)
             if any(c.isalpha() for c in signs):
                 out += self.read(signs.lower())
+                if apart and len(signs) > 3 and signs[0] in "aAiI":
+                    out += self.read(signs[1:].lower())  # the first may be a word of its own
         return out
 
     def words(self, text: str | None) -> set[str]:
