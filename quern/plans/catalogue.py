@@ -6,6 +6,8 @@ DataFrame plan with the other engine's SQL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,9 +209,14 @@ def _frame_queries() -> dict:
     }
 
 
-def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+def _named(text: str) -> list[str]:
+    """The tables a text names; only these become views."""
+    return [t for t in session.TABLES if re.search(rf"\b{t}\b", text)]
+
+
+def _engine(spark: SparkSession, sf_dir: str, text: str) -> Engine:
     """One engine a session; its views follow the folder asked for."""
-    session.load(spark, sf_dir)
+    session.load(spark, sf_dir, _named(text))
     made = getattr(spark, "_quern_engine", None)
     if made is None:
         made = spark._quern_engine = Engine(spark)
@@ -218,13 +225,13 @@ def _engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 def _plain(text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return session.load(spark, sf_dir).sql(text)
+        return session.load(spark, sf_dir, _named(text)).sql(text)
 
     return run
 
 
 def _own(text: str):
-    return lambda spark, sf_dir: _engine(spark, sf_dir).sql(text)
+    return lambda spark, sf_dir: _engine(spark, sf_dir, text).sql(text)
 
 
 def queries() -> dict:
