@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_STATES = 200_000
-MOST_PIECES = 200_000
+MOST_PIECES = 300_000
+MOST_PAIRS = 500_000
 
 
 class Transducer:
@@ -32,104 +33,159 @@ class Transducer:
         self.longest = max(map(len, ranks))
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.length = {i: len(t) for t, i in ranks.items()}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
+        self.whole: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.ordered: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[bytes, int | None] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.keys: list[tuple] = [(None, b"", ())]
         self.index: dict[tuple, int] = {self.keys[0]: 0}
-        self.next: list[dict[int, tuple[int, bytes]]] = [{}]
-        self.final: list[bytes | None] = [b""]
+        self.next: dict[int, tuple[int, bytes]] = {}
+        self.final: dict[int, bytes] = {0: b""}
+        self.shapes: dict[bytes, tuple] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The encoding of a few bytes from the definition: merge the lowest pair, leftmost first."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+    def _merge(self, data: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
+        """A few bytes encoded from the definition (merge the lowest pair, leftmost first), and the last pair merged."""
+        parts, pair = [data[i : i + 1] for i in range(len(data))], None
         while len(parts) > 1:
             rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == 1 << 60:
                 break
+            pair = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def _token(self, data: bytes) -> int | None:
-        """The id of data if it is a token that encodes to itself."""
-        if data not in self.whole:
-            i = self.ranks.get(data)
-            self.whole[data] = i if i is not None and self.merged(data) == [i] else None
-        return self.whole[data]
-
-    def _stand(self, a: int | None, b: int) -> bool:
-        """Whether token b may follow token a."""
-        if a is None:
-            return True
-        if (a, b) not in self.pairs:
-            self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return self.pairs[a, b]
+        return parts, pair
+
+    def merged(self, data: bytes) -> list[int]:
+        return [self.ranks[p] for p in self._merge(data)[0]]
+
+    def _stands_alone(self, token: int) -> bool:
+        """Whether a token encodes to itself; notes the halves it is merged from."""
+        known = self.whole.get(token)
+        if known is None:
+            parts, pair = self._merge(self.bytes_of[token])
+            known = self.whole[token] = len(parts) == 1
+            if known and pair:
+                self.halves[token] = self.ranks[pair[0]], self.ranks[pair[1]]
+        return known
+
+    def _in_order(self, token: int) -> bool:
+        """Whether every merge inside a token has a lower rank than the merge it leads to."""
+        known = self.ordered.get(token)
+        if known is None:
+            known = self._stands_alone(token)
+            if known and self.length[token] > 1:
+                known = all((self.length[h] == 1 or h < token) and self._in_order(h) for h in self.halves[token])
+            self.ordered[token] = known
+        return known
+
+    def _may_follow(self, a: int, b: int) -> bool:
+        """Whether a and b side by side encode to just these two.
+
+        The merges at the touching ends are undone, latest first; between two of them a
+        merge across the boundary must not have come first (of equal ranks the left one
+        does).  Tokens whose merges are not in the order of their ranks are encoded anew.
+        """
+        if not (self._in_order(a) and self._in_order(b)):
+            return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        left_due = right_due = 1 << 60  # ranks of the next merges on either side
+        while True:
+            across = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if across is not None and across < left_due and across <= right_due:
+                return False
+            a_made = a if self.length[a] > 1 else -1
+            b_made = b if self.length[b] > 1 else -1
+            if a_made < 0 and b_made < 0:
+                return True
+            if b_made >= a_made:  # of equal ranks the left was merged first, so the right is undone first
+                right_due, b = b, self.halves[b][0]
+            else:
+                left_due, a = a, self.halves[a][1]
+
+    def _shape(self, window: bytes) -> tuple:
+        """Of a window: the tokens that end it, longest first, with their starts, and the positions where one may still start."""
+        n, ranks, ends, live = len(window), self.ranks, [], []
+        for start in range(max(0, n - self.longest), n):
+            tail = window[start:]
+            token = ranks.get(tail)
+            if token is not None and self._stands_alone(token):
+                ends.append((start, token))
+            if tail in self.prefixes:
+                live.append(start)
+        live.append(n)
+        made = self.shapes[window] = tuple(ends), tuple(live)
+        return made
 
     def _step(self, state: int, byte: int) -> tuple[int, bytes]:
         before, window, last = self.keys[state]
-        window += bytes([byte])
-        n = len(window)
-        for start in range(max(0, n - self.longest), n):
-            token = self._token(window[start:])
-            if token is not None and self._stand(last[start - 1] if start else before, token):
+        window += byte.to_bytes(1, "little")
+        ends, live = self.shapes.get(window) or self._shape(window)
+        pairs, length = self.pairs, self.length
+        for start, token in ends:
+            left = last[start - 1] if start else before
+            if left is None:
+                break
+            pair = left, token
+            stands = pairs.get(pair)
+            if stands is None:
+                if len(pairs) > MOST_PAIRS:
+                    pairs.clear()
+                stands = pairs[pair] = self._may_follow(left, token)
+            if stands:
                 break
         last = (*last, token)
-        # Positions a later token may start at, and the boundaries their chains share.
-        shared: set[int] | None = None
-        for live in (n, *(s for s in range(max(0, n - self.longest), n) if window[s:] in self.prefixes)):
-            chain = set()
-            at = live
-            while at > 0:
-                chain.add(at)
-                at -= len(self.bytes_of[last[at - 1]])
-            shared = chain if shared is None else shared & chain
-            if not shared:
+        # The last boundary that all positions a later token may start at lead back through.
+        settled = live[0]
+        for at in live[1:]:
+            while at != settled:
+                if at > settled:
+                    at -= length[last[at - 1]]
+                else:
+                    settled -= length[last[settled - 1]]
+            if not settled:
                 break
-        out: list[int] = []
-        if shared:
-            settled = at = max(shared)
-            while at > 0:
-                out.append(last[at - 1])
-                at -= len(self.bytes_of[last[at - 1]])
-            out.reverse()
-            before, window, last = out[-1], window[settled:], last[settled:]
+        out = b""
+        if settled:
+            out = self._tokens(last, settled)
+            before, window, last = last[settled - 1], window[settled:], last[settled:]
         key = (before, window, last)
         to = self.index.get(key)
         if to is None:
             to = self.index[key] = len(self.keys)
             self.keys.append(key)
-            self.next.append({})
-            self.final.append(None)
-        made = to, np.array(out, "<i4").tobytes()
-        self.next[state][byte] = made
+        made = self.next[state << 8 | byte] = to, out
         return made
 
-    def _end(self, state: int) -> bytes:
-        _, window, last = self.keys[state]
-        at, out = len(window), []
+    def _tokens(self, last: tuple[int, ...], at: int) -> bytes:
+        """The tokens that lead to a position."""
+        out = []
         while at > 0:
-            out.append(last[at - 1])
-            at -= len(self.bytes_of[last[at - 1]])
-        self.final[state] = np.array(out[::-1], "<i4").tobytes()
-        return self.final[state]
+            token = last[at - 1]
+            out.append(self.packed[token])
+            at -= self.length[token]
+        return b"".join(out[::-1])
 
     def encode(self, data: bytes) -> bytes:
         """The ids as little-endian 32-bit integers.  A piece that is a token is that token."""
         whole = self.ranks.get(data)
         if whole is not None:
-            return np.array([whole], "<i4").tobytes()
+            return self.packed[whole]
         if len(self.keys) > MOST_STATES:
             self._reset()
-        out, state, nexts = [], 0, self.next
+        out, state, get = [], 0, self.next.get
         for byte in data:
-            made = nexts[state].get(byte)
+            made = get(state << 8 | byte)
             state, ids = made if made is not None else self._step(state, byte)
             if ids:
                 out.append(ids)
-        end = self.final[state]
-        out.append(end if end is not None else self._end(state))
+        end = self.final.get(state)
+        if end is None:
+            last = self.keys[state][2]
+            end = self.final[state] = self._tokens(last, len(last))
+        out.append(end)
         return b"".join(out)
 
 
