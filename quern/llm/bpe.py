@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_STATES = 200_000
-MOST_PIECES = 300_000
-MOST_PAIRS = 500_000
+MOST_STATES = 150_000
+MOST_PIECES = 150_000
+MOST_PAIRS = 300_000
 
 
 class Transducer:
@@ -30,7 +30,6 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
@@ -38,15 +37,15 @@ class Transducer:
         self.whole: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.ordered: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.keys: list[tuple] = [(None, b"", ())]
+        self.live: list[tuple[int, ...]] = [(0,)]
         self.index: dict[tuple, int] = {self.keys[0]: 0}
         self.next: dict[int, tuple[int, bytes]] = {}
         self.final: dict[int, bytes] = {0: b""}
-        self.shapes: dict[bytes, tuple] = {}
 
     def _merge(self, data: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
         """A few bytes encoded from the definition (merge the lowest pair, leftmost first), and the last pair merged."""
@@ -105,37 +104,29 @@ class Transducer:
             else:
                 left_due, a = a, self.halves[a][1]
 
-    def _shape(self, window: bytes) -> tuple:
-        """Of a window: the tokens that end it, longest first, with their starts, and the positions where one may still start."""
-        n, ranks, ends, live = len(window), self.ranks, [], []
-        for start in range(max(0, n - self.longest), n):
-            tail = window[start:]
-            token = ranks.get(tail)
-            if token is not None and self._stands_alone(token):
-                ends.append((start, token))
-            if tail in self.prefixes:
-                live.append(start)
-        live.append(n)
-        made = self.shapes[window] = tuple(ends), tuple(live)
-        return made
+    def _stands(self, a: int, b: int) -> bool:
+        known = self.pairs.get(a << 32 | b)
+        if known is None:
+            if len(self.pairs) > MOST_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[a << 32 | b] = self._may_follow(a, b)
+        return known
 
     def _step(self, state: int, byte: int) -> tuple[int, bytes]:
         before, window, last = self.keys[state]
         window += byte.to_bytes(1, "little")
-        ends, live = self.shapes.get(window) or self._shape(window)
-        pairs, length = self.pairs, self.length
-        for start, token in ends:
-            left = last[start - 1] if start else before
-            if left is None:
-                break
-            pair = left, token
-            stands = pairs.get(pair)
-            if stands is None:
-                if len(pairs) > MOST_PAIRS:
-                    pairs.clear()
-                stands = pairs[pair] = self._may_follow(left, token)
-            if stands:
-                break
+        token, live = None, []
+        # A token that ends here began where one could still start; the longest that stands is the last token.
+        for start in self.live[state]:
+            tail = window[start:]
+            if tail in self.prefixes:
+                live.append(start)
+            if token is None and (end := self.ranks.get(tail)) is not None and self._stands_alone(end):
+                left = last[start - 1] if start else before
+                if left is None or self._stands(left, end):
+                    token = end
+        live.append(len(window))
+        length = self.length
         last = (*last, token)
         # The last boundary that all positions a later token may start at lead back through.
         settled = live[0]
@@ -151,11 +142,13 @@ class Transducer:
         if settled:
             out = self._tokens(last, settled)
             before, window, last = last[settled - 1], window[settled:], last[settled:]
+            live = [at - settled for at in live]
         key = (before, window, last)
         to = self.index.get(key)
         if to is None:
             to = self.index[key] = len(self.keys)
             self.keys.append(key)
+            self.live.append(tuple(live))
         made = self.next[state << 8 | byte] = to, out
         return made
 
@@ -273,6 +266,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _joined(tokens: pa.BinaryArray) -> bytes:
+    """The bytes of all tokens: the values an array holds lie side by side."""
+    if tokens.null_count:
+        raise ValueError("an id is null or outside the vocabulary")
+    _, ends, data = tokens.buffers()
+    return data.to_pybytes()[: np.frombuffer(ends, np.int32)[len(tokens)]]
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], chunk: int = 8192) -> DataFrame:
     """doc_id, ids and text for each row of encoded(doc_id, ids).
 
@@ -281,17 +282,17 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], chunk: int = 8192) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
-            table[i] = token
+            tokens[i] = token
+        table = pa.array(tokens, pa.binary())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, texts = batch.slice(lo, 256), []
                 for ids in part.column("ids"):
-                    ids = ids.values.to_pylist() if ids.is_valid else []
                     stream, out = Utf8Stream(), []
-                    for at in range(0, len(ids), chunk):
-                        out.append(stream.push(b"".join([table[i] for i in ids[at : at + chunk]])))
+                    for at in range(0, len(ids.values) if ids.is_valid else 0, chunk):
+                        out.append(stream.push(_joined(table.take(ids.values[at : at + chunk]))))
                     out.append(stream.end())
                     texts.append("".join(out))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
