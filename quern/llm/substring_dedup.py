@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,18 +103,23 @@ def _windows(words_least: int, size: int, hashes: int):
 def _verified(words_least: int, size: int, percent: int):
     """Each row holds two texts and places where they meet; finds the passage around each place."""
 
+    def agree(x: np.ndarray, y: np.ndarray) -> int:
+        """How many words two texts have in common from their beginning on."""
+        n, got, step = min(len(x), len(y)), 0, 64
+        while got < n:
+            differ = np.flatnonzero(x[got : min(n, got + step)] != y[got : min(n, got + step)])
+            if len(differ):
+                return got + int(differ[0])
+            got, step = got + step, step * 4
+        return n
+
     def grow(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int, int]:
         """The run of equal words around x[i] = y[j]."""
-        n = min(len(x) - i, len(y) - j)
-        ahead = np.flatnonzero(x[i : i + n] != y[j : j + n])
-        ahead = int(ahead[0]) if len(ahead) else n
-        m = min(i, j)
-        back = np.flatnonzero(x[i - m : i][::-1] != y[j - m : j][::-1])
-        back = int(back[0]) if len(back) else m
+        ahead, back = agree(x[i:], y[j:]), agree(x[:i][::-1], y[:j][::-1])
         return i - back, i + ahead, j - back, j + ahead
 
     def passage(x, y, places):
-        best, seen = None, {}
+        best, seen, made = None, {}, None
         for i, j in places:
             if seen.get(i - j, -1) > i:
                 continue  # inside a run already measured
@@ -125,11 +131,12 @@ def _verified(words_least: int, size: int, percent: int):
             if a1 - a0 < words_least:
                 # Not one run: compare the shingles of the least passage around the place.
                 best_here = None
+                made = made or [shingles.sequences(w, np.array([0, len(w)]), size)[0] for w in (x, y)]
                 for back in range(0, words_least, max(1, words_least // 10)):
                     s, t = i - back, j - back
                     if s < 0 or t < 0 or s + words_least > len(x) or t + words_least > len(y):
                         continue
-                    sx, sy = ({tuple(w[k : k + size]) for k in range(words_least - size + 1)} for w in (x[s : s + words_least].tolist(), y[t : t + words_least].tolist()))
+                    sx, sy = (set(m[k : k + words_least - size + 1].tolist()) for m, k in zip(made, (s, t), strict=True))
                     both = len(sx & sy)
                     if 100 * both >= percent * (len(sx) + len(sy) - both):
                         best_here = max(best_here or (0,), (both / (len(sx) + len(sy) - both), s, s + words_least, t, t + words_least))
@@ -140,14 +147,23 @@ def _verified(words_least: int, size: int, percent: int):
                 best = a0, a1, b0, b1, score
         return best
 
+    def hashed(column: pa.Array) -> tuple[list[np.ndarray], list[int]]:
+        """The word hashes of the different texts of a column, and which of them each row has."""
+        column = pc.dictionary_encode(pc.fill_null(column, ""))
+        out = []
+        for lo, hi in shingles.slices(column.dictionary):
+            words, before = shingles.word_hashes(column.dictionary.slice(lo, hi - lo))
+            out += np.split(words, before[1:-1])
+        return out, column.indices.to_pylist()
+
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in shingles.slices(b.column("text_a"))):
             rows = []
-            for k in range(batch.num_rows):
-                x, y = (shingles.word_hashes(batch.column(c).slice(k, 1))[0] for c in ("text_a", "text_b"))
-                got = passage(x, y, sorted({(p["i"], p["j"]) for p in batch.column("places")[k].as_py()}))
+            (xs, of_x), (ys, of_y) = (hashed(batch.column(c)) for c in ("text_a", "text_b"))
+            for a, b, p, q, places in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), of_x, of_y, batch.column("places"), strict=True):
+                got = passage(xs[p], ys[q], sorted({(m["i"], m["j"]) for m in places.as_py()}))
                 if got:
-                    rows.append((batch.column("a")[k].as_py(), batch.column("b")[k].as_py(), *got))
+                    rows.append((a, b, *got))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "of_doc_id", "start_word", "end_word", "of_start_word", "of_end_word", "similarity"])
