@@ -9,11 +9,12 @@ around the signature, so that two copies of a passage meet whatever else shares
 passage of WORDS words holds one of the stretches of CONTEXT words compared, whose copies
 are near-duplicates already.  Windows of two documents on about
 one diagonal are intervals of one passage; pairs met under enough hashes are verified on the
-texts, and the passage's ends found there.
+texts: runs of equal words are chained over edits in both directions while the similarity holds.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,52 +101,118 @@ def _windows(words_least: int, size: int, hashes: int):
     return run
 
 
+def _chain(mx: np.ndarray, my: np.ndarray, i: int, j: int, size: int, percent: int, most: int) -> list[tuple[int, int, int]]:
+    """(x, y, gain) at the ends of the runs that follow the run up to shingles i, j; gain is linear in the shingles.
+
+    A range's shingles reach the similarity when its gains add up to 0 at least.
+    """
+    out, gain = [], 0
+    while i < len(mx) and j < len(my):
+        p, q = mx[i : i + most], my[j : j + most]
+        at = np.argwhere(p[:, None] == q[None, :])
+        if not len(at):
+            break
+        u, v = at[np.lexsort((abs(at[:, 0] - at[:, 1]), at.sum(1)))[0]].tolist()
+        n = _agree(mx[i + u :], my[j + v :])
+        gain += (100 + percent) * n - percent * (u + v + 2 * n)
+        i, j = i + u + n, j + v + n
+        out.append((i, j, gain))
+    return out
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two arrays have in common from their beginning on."""
+    n, got, step = min(len(x), len(y)), 0, 64
+    while got < n:
+        differ = np.flatnonzero(x[got : min(n, got + step)] != y[got : min(n, got + step)])
+        if len(differ):
+            return got + int(differ[0])
+        got, step = got + step, step * 4
+    return n
+
+
+def _able(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Whether each window of n shingles of x has enough of its different ones anywhere in y."""
+    order = np.argsort(x, kind="stable")
+    before = np.full(len(x), -1)
+    same = x[order[1:]] == x[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    new = np.lib.stride_tricks.sliding_window_view(before, n) < np.arange(len(x) - n + 1)[:, None]
+    has = np.lib.stride_tricks.sliding_window_view(np.isin(x, y), n)
+    return 100 * (new & has).sum(1) >= percent * new.sum(1)
+
+
+def _slide(x: np.ndarray, y: np.ndarray, n: int, percent: int, at: int, d: int) -> tuple:
+    """(similarity, -place, -d) of the best pair of windows of n shingles at one place of both, (0.0,) if none is similar."""
+    xs, ys, p, q = x.tolist(), y.tolist(), Counter(x[:n].tolist()), Counter(y[:n].tolist())
+    both, best = len(p.keys() & q.keys()), (0.0,)
+    for k in range(len(xs) - n + 1):
+        if k:
+            for own, other, v in ((p, q, xs), (q, p, ys)):
+                gone, new = v[k - 1], v[k + n - 1]
+                own[gone] -= 1
+                if not own[gone]:
+                    del own[gone]
+                    both -= gone in other
+                if not own[new]:
+                    both += new in other
+                own[new] += 1
+        if 100 * both >= percent * (len(p) + len(q) - both):
+            best = max(best, (both / (len(p) + len(q) - both), -at - k, -d))
+    return best
+
+
+def passages(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], words_least: int, size: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+    """The passages (range in x, range in y, similarity) of two texts' word hashes around places of equal words."""
+    mx, my = (shingles.sequences(w, np.array([0, len(w)]), size)[0][: len(w) - size + 1] for w in (x, y))
+    n_least, out, tried, able = words_least - size + 1, [], {}, None
+
+    def similar(s: int, e: int, t: int, f: int) -> float:
+        p, q = set(mx[s:e].tolist()), set(my[t:f].tolist())
+        both = len(p & q)
+        return both / (len(p) + len(q) - both) if 100 * both >= percent * (len(p) + len(q) - both) else 0.0
+
+    for i, j in sorted(places):
+        if tried.get(i - j, -1) > i or any(a <= i and i + size <= b for a, b, *_ in out):
+            continue
+        e0, s0 = _agree(mx[i:], my[j:]), _agree(mx[:i][::-1], my[:j][::-1])
+        tried[i - j] = i + e0
+        s, e, t, f = i - s0, i + e0, j - s0, j + e0  # shingles
+        right = [(e, f, 0), *_chain(mx[e:], my[f:], 0, 0, size, percent, 4 * size)]
+        left = [(s, t, 0), *_chain(mx[:s][::-1], my[:t][::-1], 0, 0, size, percent, 4 * size)]
+        right[1:] = [(e + a, f + b, g) for a, b, g in right[1:]]
+        left[1:] = [(s - a, t - b, g) for a, b, g in left[1:]]
+        (xe, ye, ge), (xs, ys, gs) = (np.array(c, np.int64).T for c in (right, left))
+        long = np.minimum(xe[None, :] - xs[:, None], ye[None, :] - ys[:, None])
+        holds = ((100 - percent) * (e - s) + gs[:, None] + ge[None, :] >= 0) & (long >= n_least)
+        found = None
+        for k in np.argsort(-np.where(holds, long, -1), axis=None, kind="stable")[: int(holds.sum())].tolist():
+            p, q = divmod(k, len(xe))
+            if score := similar(*(where := (int(xs[p]), int(xe[q]), int(ys[p]), int(ye[q])))):
+                found = where, score
+                break
+        if not found:
+            # No chain of runs: every least passage around the run, on the diagonals of the runs beside it.
+            beside = {a - b for a, b, _ in right[:3] + left[:3]}
+            best = (0.0,)
+            for d in sorted(beside):
+                a, z = max(0, s - n_least + 1, d), min(e, len(mx) - n_least + 1, len(my) - n_least + 1 + d)
+                able = able or (_able(mx, my, n_least, percent), _able(my, mx, n_least, percent))
+                at = np.flatnonzero(able[0][a:z] & able[1][a - d : z - d]) if a < z else ()
+                if len(at):
+                    a, z = a + int(at[0]), a + int(at[-1]) + n_least
+                    best = max(best, _slide(mx[a:z], my[a - d : z - d], n_least, percent, a, d))
+            if best[0]:
+                a, d = -best[1], -best[2]
+                found = (a, a + n_least, a - d, a - d + n_least), best[0]
+        if found:
+            (s, e, t, f), score = found
+            out.append((s, e + size - 1, t, f + size - 1, score))
+    return [r for k, r in enumerate(out) if not any(o[0] <= r[0] and r[1] <= o[1] and (o[:2] != r[:2] or m < k) for m, o in enumerate(out) if m != k)]
+
+
 def _verified(words_least: int, size: int, percent: int):
-    """Each row holds two texts and places where they meet; finds the passage around each place."""
-
-    def agree(x: np.ndarray, y: np.ndarray) -> int:
-        """How many words two texts have in common from their beginning on."""
-        n, got, step = min(len(x), len(y)), 0, 64
-        while got < n:
-            differ = np.flatnonzero(x[got : min(n, got + step)] != y[got : min(n, got + step)])
-            if len(differ):
-                return got + int(differ[0])
-            got, step = got + step, step * 4
-        return n
-
-    def grow(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int, int]:
-        """The run of equal words around x[i] = y[j]."""
-        ahead, back = agree(x[i:], y[j:]), agree(x[:i][::-1], y[:j][::-1])
-        return i - back, i + ahead, j - back, j + ahead
-
-    def passage(x, y, places):
-        best, seen, made = None, {}, None
-        for i, j in places:
-            if seen.get(i - j, -1) > i:
-                continue  # inside a run already measured
-            a0, a1, b0, b1 = grow(x, y, i, j)
-            seen[i - j] = a1
-            if best and a1 - a0 <= best[1] - best[0] and best[4] == 1.0:
-                continue
-            score = 1.0
-            if a1 - a0 < words_least:
-                # Not one run: compare the shingles of the least passage around the place.
-                best_here = None
-                made = made or [shingles.sequences(w, np.array([0, len(w)]), size)[0] for w in (x, y)]
-                for back in range(0, words_least, max(1, words_least // 10)):
-                    s, t = i - back, j - back
-                    if s < 0 or t < 0 or s + words_least > len(x) or t + words_least > len(y):
-                        continue
-                    sx, sy = (set(m[k : k + words_least - size + 1].tolist()) for m, k in zip(made, (s, t), strict=True))
-                    both = len(sx & sy)
-                    if 100 * both >= percent * (len(sx) + len(sy) - both):
-                        best_here = max(best_here or (0,), (both / (len(sx) + len(sy) - both), s, s + words_least, t, t + words_least))
-                if not best_here:
-                    continue
-                score, a0, a1, b0, b1 = best_here
-            if not best or a1 - a0 > best[1] - best[0]:
-                best = a0, a1, b0, b1, score
-        return best
+    """Each row holds two texts and places where they meet; finds the passages around the places."""
 
     def hashed(column: pa.Array) -> tuple[list[np.ndarray], list[int]]:
         """The word hashes of the different texts of a column, and which of them each row has."""
@@ -161,9 +228,10 @@ def _verified(words_least: int, size: int, percent: int):
             rows = []
             (xs, of_x), (ys, of_y) = (hashed(batch.column(c)) for c in ("text_a", "text_b"))
             for a, b, p, q, places in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), of_x, of_y, batch.column("places"), strict=True):
-                got = passage(xs[p], ys[q], sorted({(m["i"], m["j"]) for m in places.as_py()}))
-                if got:
-                    rows.append((a, b, *got))
+                # A doc_id that stands for several texts brings places that are not its text's.
+                x, y = xs[p], ys[q]
+                met = [(i, j) for i, j in {(m["i"], m["j"]) for m in places.as_py()} if i + size <= len(x) and j + size <= len(y) and (x[i : i + size] == y[j : j + size]).all()]
+                rows += [(a, b, *got) for got in passages(x, y, met, words_least, size, percent)] if met else []
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "of_doc_id", "start_word", "end_word", "of_start_word", "of_end_word", "similarity"])
@@ -177,7 +245,7 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
     Columns: doc_id, of_doc_id (the smaller doc_id, first of its group), word ranges in both
     and the similarity of their `size`-word shingles (percent / 100 at least).  Each document
     with such a passage is paired with the first document that holds it, not with every other.
-    The best passage of a pair is given.  Texts of fewer words, null texts and rows with a null
+    A pair has a row for each of its passages.  Texts of fewer words, null texts and rows with a null
     doc_id take no part; rows repeated with their doc_id are not paired with each other; an
     empty table gives no rows.  Other columns are not read.
     """

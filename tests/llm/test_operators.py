@@ -199,6 +199,20 @@ def test_passages(docs):
     assert (got[9, 8].start_word, got[9, 8].end_word, got[9, 8].of_start_word) == (30, 85, 60)
 
 
+def near_docs(spark, groups):
+    """A document for each list of words, between words of its own; ids count from 0."""
+    rows = [(d, text(5000 + d, 40) + " " + " ".join(w) + " " + text(7000 + d, 30)) for d, w in enumerate(w for g in groups for w in g)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_all_passages_of_a_pair(spark):
+    one, two, far, long = text(30, 60).split(), text(31, 90).split(), text(32, 200).split(), text(33, 400).split()
+    edited = [f"edit{i}" if i % 45 == 44 else w for i, w in enumerate(long)]
+    docs = near_docs(spark, [[one + far + two, two + text(34, 300).split() + one], [long, edited]])
+    got = {(r.doc_id, r.of_doc_id, r.start_word, r.end_word, r.of_start_word, r.of_end_word) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == {(1, 0, 40, 130, 300, 390), (1, 0, 430, 490, 40, 100), (3, 2, 40, 440, 40, 440)}
+
+
 def test_packing(docs, rows):
     packed = packing.pack(packing.byte_ids(docs), row_ids=128, window_ids=4096)
     parts = collections.defaultdict(list)
