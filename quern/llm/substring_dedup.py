@@ -1,19 +1,20 @@
 """Near-duplicate passages by compact windows.
 
-For each of HASHES hash functions a text's shingles have a Cartesian tree by hash value.  A
-node whose span holds at least the least passage is a compact window: every subsequence of
-its span that contains the node has the node's shingle as its signature.  Windows of all
-documents are grouped by (hash function, signature); each is joined with its group's first
-window, and under the first hash function also with the first one that has the same words
-around the signature, so that two copies of a passage meet whatever else shares it: any
-passage of WORDS words holds one of the stretches of CONTEXT words compared, whose copies
-are near-duplicates already.  Windows of two documents on about
-one diagonal are intervals of one passage; pairs met under enough hashes are verified on the
-texts: runs of equal words are chained over edits in both directions while the similarity holds.
+A text's shingles have a Cartesian tree by hash value.  A node whose span holds at least the
+run is a compact window: every subsequence of its span that contains the node has the node's
+shingle as its signature.  Two passages of WORDS words with PERCENT of their shingles in
+common have at most one edit between equal words, so they share a run of at least 25 equal
+words (`run_words`), longer passages a longer one; a shared run has the same signature in both
+texts, and one of the stretches of words around it is compared.  So every such pair of
+passages meets, whichever hash function is used.
+
+Of the places that meet, each is joined with the first.  Joined places are verified on the texts: runs of
+equal words are chained over edits in both directions while the similarity holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,10 +27,17 @@ from pyspark.sql import functions as F
 from quern.llm import shingles
 from quern.llm.common import discard, materialise, release
 
-WORDS, SHINGLE, HASHES, ENOUGH, PERCENT = 50, 5, 3, 2, 80
-CONTEXT = 46
-STARTS = np.array([*range(0, CONTEXT - SHINGLE, 5), CONTEXT - SHINGLE])
-_SALT = np.array([0x1234567, 0x9ABCDEF1, 0x5DEECE66D, 0x2545F491, 0xB5297A4D, 0x68E31DA4, 0x1B56C4E9, 0x7FEB352D], np.uint64)
+WORDS, SHINGLE, PERCENT = 50, 5, 80
+SPREAD = 8  # a context is this much shorter than a run
+_SALT = np.uint64(0x1234567)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def run_words(words: int, size: int, percent: int) -> int:
+    """The equal words in a row that two passages of `words` words of the similarity share at least."""
+    n = words - size + 1
+    common = math.ceil(percent * 2 * n / (100 + percent))
+    return math.ceil(common / ((n - common) // (size - 1) + 1)) + size - 1
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -68,8 +76,11 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
-def _windows(words_least: int, size: int, hashes: int):
-    least = words_least - size + 1
+def _windows(words_least: int, size: int, percent: int):
+    run_least = run_words(words_least, size, percent)
+    least = run_least - size + 1
+    context = max(size, run_least - SPREAD)
+    starts = np.array(sorted({*range(0, context - size, SPREAD + 1), context - size}))
 
     def run(batches):
         for batch in batches:
@@ -77,26 +88,26 @@ def _windows(words_least: int, size: int, hashes: int):
                 part = batch.slice(lo, hi - lo)
                 words, before = shingles.word_hashes(part.column("text"))
                 made, _ = shingles.sequences(words, before, size)
-                sides, _ = shingles.sequences(words, before, CONTEXT)
-                doc, sig, at, around = [], [], [], []
+                sides, _ = shingles.sequences(words, before, context)
+                power = np.multiply.accumulate(np.full(len(words) + 1, _BASE, np.uint64))
+                back = np.multiply.accumulate(np.full(len(words) + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+                total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power[:-1])])
+                cols = [], [], [], []
                 for d, a, b in zip(part.column("doc_id").to_pylist(), before[:-1].tolist(), before[1:].tolist(), strict=True):
                     if b - a < words_least or d is None:
                         continue
                     own = made[a : b - size + 1]
-                    for k in range(hashes):
-                        nodes = np.array([c for _, c, _ in compact_windows(shingles.mix(own ^ _SALT[k]), least)], np.int64)
-                        doc.append(np.full(len(nodes), d))
-                        sig.append(shingles.mix(own[nodes] + _SALT[k]).view(np.int64))
-                        at.append(nodes)
-                        begin = a + nodes[:, None] - STARTS
-                        inside = (begin >= a) & (begin + CONTEXT <= b) if k == 0 else np.zeros((len(nodes), 0), bool)
-                        around.append((inside, np.where(inside, sides[np.clip(begin, 0, len(sides) - 1)], 0).astype(np.uint32).view(np.int32) if k == 0 else None))
-                cols = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (doc, sig, at)]
-                ends = np.concatenate([[0], *(np.full(len(m), m.shape[1]) for m, _ in around)]).cumsum().astype(np.int32)
-                flat = [(m.ravel(), v.ravel()) for m, v in around if v is not None]
-                mask, values = (np.concatenate([f[i] for f in flat]) if flat else np.zeros(0, t) for i, t in ((0, bool), (1, np.int32)))
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, mask=~mask.astype(bool)))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names=["doc_id", "sig", "at", "around"])
+                    nodes = np.array([c for _, c, _ in compact_windows(shingles.mix(own ^ _SALT), least)], np.int64)
+                    # All that a least passage around the node can hold.
+                    s, e = np.maximum(a + nodes + size - words_least, a), np.minimum(a + nodes + words_least, b)
+                    near = shingles.mix((total[e] - total[s]) * back[s] + shingles.mix((a + nodes - s).astype(np.uint64)) + shingles.mix((e - a).astype(np.uint64) - nodes.astype(np.uint64) + np.uint64(1 << 32)))
+                    begin = a + nodes[:, None] - starts
+                    inside = (begin >= a) & (begin + context <= b)
+                    key = shingles.mix(sides[np.clip(begin, 0, len(sides) - 1)] + np.arange(1, len(starts) + 1, dtype=np.uint64))[inside]
+                    row = np.broadcast_to(np.arange(len(nodes))[:, None], inside.shape)[inside]
+                    for c, v in zip(cols, (np.full(len(row), d), key.view(np.int64), nodes[row], near[row].view(np.int64)), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in cols], names=["doc_id", "key", "at", "near"])
 
     return run
 
@@ -239,40 +250,33 @@ def _verified(words_least: int, size: int, percent: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGLE, hashes: int = HASHES, enough: int = ENOUGH, percent: int = PERCENT) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Passages of at least `words` words that two documents share, nearly or exactly.
 
-    Columns: doc_id, of_doc_id (the smaller doc_id, first of its group), word ranges in both
-    and the similarity of their `size`-word shingles (percent / 100 at least).  Each document
-    with such a passage is paired with the first document that holds it, not with every other.
-    A pair has a row for each of its passages.  Texts of fewer words, null texts and rows with a null
-    doc_id take no part; rows repeated with their doc_id are not paired with each other; an
-    empty table gives no rows.  Other columns are not read.
+    Columns: doc_id, of_doc_id (the smaller doc_id), word ranges in both and the similarity of
+    their `size`-word shingles (percent / 100 at least).  Each passage of a document is paired
+    with the first document that holds its words, not with every other.  A pair has a row for
+    each of its passages.  Texts of fewer words, null texts and rows with a null doc_id take no part; rows
+    repeated with their doc_id are not paired with each other; an empty table gives no rows.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    made = materialise(docs.mapInArrow(_windows(words, size, hashes), "doc_id long, sig long, at long, around array<int>"))
+    made = materialise(docs.mapInArrow(_windows(words, size, percent), "doc_id long, key long, at long, near long"))
     first = F.min(F.struct("doc_id", "at"))
-    counted = made.groupBy("sig").agg(first.alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
-    groups = materialise(counted.select("sig", F.col("f.doc_id").alias("b"), F.col("f.at").alias("j")))
+    groups = made.groupBy("key").agg(first.alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
+    groups = materialise(groups.select("key", F.col("f.doc_id").alias("b"), F.col("f.at").alias("j")))
     release(spark)
-    shared = materialise(made.join(groups, "sig"))
+    shared = materialise(made.join(groups, "key"))
     discard(made)
     release(spark)
 
-    # The first window of each signature, and of each signature with the words around it.
-    plain = shared.filter("doc_id > b").select(F.col("doc_id").alias("a"), F.col("at").alias("i"), "b", "j")
-    sided = shared.select("sig", "doc_id", "at", F.posexplode("around").alias("side", "words")).filter("words is not null")
-    heads = materialise(sided.groupBy("sig", "side", "words").agg(first.alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last").select("sig", "side", "words", "f"))
-    met = sided.join(heads, ["sig", "side", "words"]).filter("doc_id > f.doc_id")
-    met = met.select(F.col("doc_id").alias("a"), F.col("at").alias("i"), F.col("f.doc_id").alias("b"), F.col("f.at").alias("j"), F.lit(1).alias("copy"))
-    # Interval join: places of a pair on about one diagonal belong to one passage.
-    met = met.unionByName(plain.withColumn("copy", F.lit(0))).withColumn("diagonal", F.expr(f"floor((i - j) / {words})"))
-    runs = met.groupBy("a", "b", "diagonal").agg(F.max("copy").alias("copy"), F.collect_set(F.struct("i", "j")).alias("at"))
-    runs = runs.filter((F.col("copy") == 1) | (F.size("at") >= enough))
-    pairs = materialise(runs.groupBy("a", "b").agg(F.flatten(F.collect_list("at")).alias("places")))
-    release(spark)
-
     x, y = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "text_a", "text_b")
-    return both.mapInArrow(_verified(words, size, percent), "doc_id long, of_doc_id long, start_word long, end_word long, of_start_word long, of_end_word long, similarity double")
+
+    def verified(met: DataFrame) -> DataFrame:
+        pairs = materialise(met.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("places")))
+        release(spark)
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "text_a", "text_b")
+        return materialise(both.mapInArrow(_verified(words, size, percent), "doc_id long, of_doc_id long, start_word long, end_word long, of_start_word long, of_end_word long, similarity double"))
+
+    return verified(shared.filter("doc_id > b").select(F.col("doc_id").alias("a"), F.col("at").alias("i"), "b", "j"))

@@ -213,6 +213,21 @@ def test_all_passages_of_a_pair(spark):
     assert got == {(1, 0, 40, 130, 300, 390), (1, 0, 430, 490, 40, 100), (3, 2, 40, 440, 40, 440)}
 
 
+def test_near_passages_of_least_length(spark):
+    groups = []
+    for k in range(36):
+        words = text(100 + k, 50 + k % 2).split()
+        near, at = list(words), 22 + k % 6
+        near[at : at + (k % 3 != 1)] = [] if k % 3 == 2 else [f"edit{k}"]
+        groups.append([words, near])
+    docs, want = near_docs(spark, groups), set()
+    sets = {r.doc_id: [{tuple(w[i + m : i + m + 5]) for m in range(46)} for i in range(len(w) - 49)] for r in docs.collect() for w in [r.text.split()]}
+    for d in range(1, len(sets), 2):
+        if any(100 * len(a & b) >= 80 * len(a | b) for a in sets[d] for b in sets[d - 1]):
+            want.add((d, d - 1))
+    assert len(want) > 30 and {(r.doc_id, r.of_doc_id) for r in substring_dedup.repeated_passages(docs).collect()} == want
+
+
 def test_packing(docs, rows):
     packed = packing.pack(packing.byte_ids(docs), row_ids=128, window_ids=4096)
     parts = collections.defaultdict(list)
