@@ -8,7 +8,9 @@ words (`run_words`), longer passages a longer one; a shared run has the same sig
 texts, and one of the stretches of words around it is compared.  So every such pair of
 passages meets, whichever hash function is used.
 
-Of the places that meet, each is joined with the first.  Joined places are verified on the texts: runs of
+Of the places that meet, each is joined with the first; places that prove to be in no passage
+with it are joined with the first places of all other surroundings, so that a document reaches
+its partners whatever else shares the words.  Joined places are verified on the texts: runs of
 equal words are chained over edits in both directions while the similarity holds.
 """
 
@@ -97,13 +99,18 @@ def _windows(words_least: int, size: int, percent: int):
                     if b - a < words_least or d is None:
                         continue
                     own = made[a : b - size + 1]
-                    nodes = np.array([c for _, c, _ in compact_windows(shingles.mix(own ^ _SALT), least)], np.int64)
+                    nodes = np.array(sorted(c for _, c, _ in compact_windows(shingles.mix(own ^ _SALT), least)), np.int64)
                     # All that a least passage around the node can hold.
                     s, e = np.maximum(a + nodes + size - words_least, a), np.minimum(a + nodes + words_least, b)
                     near = shingles.mix((total[e] - total[s]) * back[s] + shingles.mix((a + nodes - s).astype(np.uint64)) + shingles.mix((e - a).astype(np.uint64) - nodes.astype(np.uint64) + np.uint64(1 << 32)))
                     begin = a + nodes[:, None] - starts
                     inside = (begin >= a) & (begin + context <= b)
-                    key = shingles.mix(sides[np.clip(begin, 0, len(sides) - 1)] + np.arange(1, len(starts) + 1, dtype=np.uint64))[inside]
+                    key = shingles.mix(sides[np.clip(begin, 0, len(sides) - 1)] + np.arange(1, len(starts) + 1, dtype=np.uint64))
+                    if len(nodes) > 2:
+                        # Of one word over and over, the first and the last place; verification aligns both its ends.
+                        same = (key[1:] == key[:-1]) & inside[1:] & inside[:-1] & (np.diff(nodes) == 1)[:, None]
+                        inside[1:-1] &= ~(same[1:] & same[:-1])
+                    key = key[inside]
                     row = np.broadcast_to(np.arange(len(nodes))[:, None], inside.shape)[inside]
                     for c, v in zip(cols, (np.full(len(row), d), key.view(np.int64), nodes[row], near[row].view(np.int64)), strict=True):
                         c.append(v)
@@ -183,7 +190,17 @@ def passages(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], words_
         both = len(p & q)
         return both / (len(p) + len(q) - both) if 100 * both >= percent * (len(p) + len(q) - both) else 0.0
 
-    for i, j in sorted(places):
+    def ends(m: np.ndarray, i: int) -> tuple[int, int]:
+        """The first and the last of the equal shingles around one."""
+        differ = np.flatnonzero(m != m[i])
+        k = int(np.searchsorted(differ, i))
+        return (int(differ[k - 1]) + 1 if k else 0), (int(differ[k]) - 1 if k < len(differ) else len(m) - 1)
+
+    every = set(places)
+    for i, j in places:
+        if mx[i] in (mx[max(i - 1, 0)] if i else None, mx[i + 1] if i + 1 < len(mx) else None):
+            every.update(zip(ends(mx, i), ends(my, j), strict=True))
+    for i, j in sorted(every):
         if tried.get(i - j, -1) > i or any(a <= i and i + size <= b for a, b, *_ in out):
             continue
         e0, s0 = _agree(mx[i:], my[j:]), _agree(mx[:i][::-1], my[:j][::-1])
@@ -255,8 +272,9 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
 
     Columns: doc_id, of_doc_id (the smaller doc_id), word ranges in both and the similarity of
     their `size`-word shingles (percent / 100 at least).  Each passage of a document is paired
-    with the first document that holds its words, not with every other.  A pair has a row for
-    each of its passages.  Texts of fewer words, null texts and rows with a null doc_id take no part; rows
+    with the first document that holds its words, or where that fails with all earlier ones of
+    other surroundings that do, not with every copy.  A pair has a row for each of its
+    passages.  Texts of fewer words, null texts and rows with a null doc_id take no part; rows
     repeated with their doc_id are not paired with each other; an empty table gives no rows.
     Other columns are not read.
     """
@@ -279,4 +297,20 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "text_a", "text_b")
         return materialise(both.mapInArrow(_verified(words, size, percent), "doc_id long, of_doc_id long, start_word long, end_word long, of_start_word long, of_end_word long, similarity double"))
 
-    return verified(shared.filter("doc_id > b").select(F.col("doc_id").alias("a"), F.col("at").alias("i"), "b", "j"))
+    out = verified(shared.filter("doc_id > b").select(F.col("doc_id").alias("a"), F.col("at").alias("i"), "b", "j"))
+    # Places that lie in no passage with the first place of their key, once for each surroundings.
+    place = shared.filter("doc_id > b").select("doc_id", "at").distinct()
+    within = place.join(out.select("doc_id", "start_word", "end_word"), "doc_id").filter(f"start_word <= at and at + {size} <= end_word")
+    alone = materialise(place.join(within.select("doc_id", "at").distinct(), ["doc_id", "at"], "left_anti"))
+    release(spark)
+    left = shared.filter("doc_id > b").join(alone, ["doc_id", "at"]).select("key", "near", F.col("doc_id").alias("a"), F.col("at").alias("i"))
+    left = materialise(left)
+    kinds = materialise(shared.join(left.select("key").distinct(), "key").groupBy("key", "near", "b").agg(first.alias("f")).select("key", "near", F.col("f.doc_id").alias("c"), F.col("f.at").alias("j"), "b"))
+    discard(shared)
+    release(spark)
+    # A place whose surroundings an earlier document has goes to that one; the others to all other surroundings.
+    own = left.join(kinds.select("key", "near", "c", "j"), ["key", "near"])
+    copies = own.filter("a > c").select("a", "i", F.col("c").alias("b"), "j")
+    heads = own.filter("a = c and i = j").select("key", "a", "i")
+    others = heads.join(kinds.filter("c <> b").select("key", F.col("c").alias("b"), "j"), "key").filter("a > b").select("a", "i", "b", "j")
+    return out.unionByName(verified(copies.unionByName(others))).distinct()

@@ -228,6 +228,17 @@ def test_near_passages_of_least_length(spark):
     assert len(want) > 30 and {(r.doc_id, r.of_doc_id) for r in substring_dedup.repeated_passages(docs).collect()} == want
 
 
+def test_near_passages_in_chains(spark):
+    groups = []
+    for k in range(20):
+        first = text(200 + k, 50).split()
+        second = [*first[:25], f"edit{k}", *first[26:]]
+        third = [*second[:12], f"other{k}", *second[13:]]
+        groups.append([first, second, third])
+    got = {(r.doc_id, r.of_doc_id) for r in substring_dedup.repeated_passages(near_docs(spark, groups)).collect()}
+    assert got == {(3 * k + d, 3 * k + d - 1) for k in range(20) for d in (1, 2)}
+
+
 def test_packing(docs, rows):
     packed = packing.pack(packing.byte_ids(docs), row_ids=128, window_ids=4096)
     parts = collections.defaultdict(list)
