@@ -1,17 +1,20 @@
 """License scans by conditional compression.
 
-Lines that hold a cue word, with their neighbours, are candidate blocks.  A block is
-compressed with each template as a zstandard raw dictionary; templates are ranked by how much
-smaller that makes it than compression alone, and the best are confirmed by the exact words
-that differ between block and template.
+A text that holds a cue word is aligned with each template by words, over line breaks; the
+stretches that differ from it in few words are candidate blocks.  A block is compressed with
+its template as a zstandard raw dictionary; blocks are ranked by how much smaller that makes
+them than compression alone, and confirmed in that order by
+the exact words that differ between block and template.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +49,18 @@ TEMPLATES = {
 CUES = r"(?i)licen[sc]|copyright|spdx|permission|redistribut|public domain|creative commons|\bCC0\b|\bCC BY|waived|free software"
 _CUE = re.compile(CUES)
 _TOKEN = re.compile(r"\w+(?:[.\-/]\w+)*")
-TOP, LEAST_GAIN, MOST_MISSING = 4, 0.25, 0.2
+MOST_MISSING = 0.2
+
+
+def _aligned(wanted: list[int], words: np.ndarray, anywhere: bool) -> np.ndarray:
+    """For each end, the words left out or added between wanted and the words from the best start (or the first) to it."""
+    place = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64) if anywhere else place.copy()
+    for w in wanted:
+        step = row + 1
+        step[1:] = np.where(words == w, np.minimum(step[1:], row[:-1]), step[1:])
+        row = np.minimum.accumulate(step - place) + place
+    return row
 
 
 class Scanner:
@@ -54,53 +68,49 @@ class Scanner:
         import zstandard
 
         self.alone = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        self.templates = []
+        self.templates, self.ids = [], {}
         for name, texts in templates.items():
             for text in texts:
                 data = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 given = zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_dict_id=False)
-                self.templates.append((name, _TOKEN.findall(text.lower()), given))
-
-    def block(self, text: str) -> Iterator[tuple[str, float, int, int, str]]:
-        """(license, gain, start, end, differences) of the confirmed templates, best first."""
-        low = text.lower().encode()
-        plain = len(self.alone.compress(low))
-        gains = sorted(((1 - len(given.compress(low)) / plain, -i) for i, (_, _, given) in enumerate(self.templates)), reverse=True)
-        words = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text.lower())]
+                wanted = _TOKEN.findall(text.lower())
+                self.templates.append((name, wanted, [self.ids.setdefault(w, len(self.ids)) for w in wanted], given))
+
+    def blocks(self, text: str, words: list[tuple[str, int, int]]) -> Iterator[tuple[float, int, int, int]]:
+        """(gain, template, first word, word after the last) of the stretches that differ from a template in few words."""
+        known = np.array([self.ids.get(w, -1) for w, _, _ in words], np.int64)
+        there = Counter(known.tolist())
+        for i, (_, wanted, ids, given) in enumerate(self.templates):
+            most = MOST_MISSING * len(wanted)
+            if sum(max(0, n - there[w]) for w, n in Counter(ids).items()) > most:
+                continue
+            open_ = known.copy()
+            ends = _aligned(ids, open_, True)
+            if (last := int(ends.argmin())) and ends[last] <= most:
+                begin = max(0, last - len(ids) - int(most) - 1)
+                first = last - int(_aligned(ids[::-1], open_[begin:last][::-1], False).argmin())
+                low = text[words[first][1] : words[last - 1][2]].lower().encode()
+                yield 1 - len(given.compress(low)) / len(self.alone.compress(low)), i, first, last
+
+    def text(self, text: str | None) -> Iterator[tuple[str, float, int, int, str]]:
+        """(license, gain, start, end, differences) of a text, best first."""
+        text = text or ""
+        if not _CUE.search(text):
+            return
+        words = [(m.group().lower(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
         taken: set[str] = set()
-        for gain, i in gains[:TOP]:
-            name, wanted, _ = self.templates[-i]
+        for gain, i, first, last in sorted(self.blocks(text, words), key=lambda x: (-x[0], *x[1:])):
+            name, wanted, _, _ = self.templates[i]
             if gain <= 0 or name in taken:
                 continue
-            match = difflib.SequenceMatcher(None, [w for w, _, _ in words], wanted, autojunk=False)
-            same = [m for m in match.get_matching_blocks() if m.size]
-            if not same:
-                continue
-            first, last = same[0].a, same[-1].a + same[-1].size
-            missing = len(wanted) - sum(m.size for m in same)
-            added = last - first - sum(m.size for m in same)
-            if missing + added > MOST_MISSING * len(wanted):
-                continue
-            ops = difflib.SequenceMatcher(None, wanted, [w for w, _, _ in words[first:last]], autojunk=False).get_opcodes()
-            changes = [f"-{' '.join(wanted[a:b])} +{' '.join(w for w, _, _ in words[first:last][c:d])}" for tag, a, b, c, d in ops if tag != "equal"]
+            had = [w for w, _, _ in words[first:last]]
+            ops = difflib.SequenceMatcher(None, wanted, had, autojunk=False).get_opcodes()
+            changes = [f"-{' '.join(wanted[a:b])} +{' '.join(had[c:d])}" for tag, a, b, c, d in ops if tag != "equal"]
             if any(re.search(r"\d|\b(?:nc|sa|nd|lesser|affero)\b", c) for c in changes):
                 continue  # another version or variant
             taken.add(name)
             yield name, round(gain, 4), words[first][1], words[last - 1][2], "; ".join(changes)
 
-    def text(self, text: str | None) -> Iterator[tuple[str, float, int, int, str]]:
-        """Confirmed licenses of a text; blocks are runs of lines around cue words, found in one pass."""
-        text, done = text or "", 0
-        for cue in _CUE.finditer(text):
-            if cue.start() < done:
-                continue
-            lo = max(text.rfind("\n", 0, cue.start()) + 1, cue.start() - 400)
-            hi = text.find("\n", cue.end())
-            hi = min(len(text) if hi < 0 else hi, cue.end() + 600)
-            lo, done = max(lo, done), hi
-            for name, gain, a, b, changes in self.block(text[lo:hi]):
-                yield name, gain, lo + a, lo + b, changes
-
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row for each license found: doc_id, license, gain, start, end (characters), differences.
@@ -108,7 +118,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
     gain is the share of the block's compressed size that the template saves.  differences
     lists the words the block leaves out of the template's or adds; differences of version or
     variant are other licenses.  Null, empty and cueless texts give no rows; a text may hold
-    several licenses, and repeated rows each give theirs.  Whole texts are read.
+    several licenses, and repeated rows each give theirs.  Whole texts are
+    read.
     """
     templates = TEMPLATES if templates is None else templates
 

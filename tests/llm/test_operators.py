@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -257,6 +258,15 @@ def test_licenses(spark):
     assert sorted((r.doc_id, r.license) for r in license_scan.scan(docs).collect()) == [(1, "MIT"), (2, "CC-BY-NC-4.0")]
 
 
+@pytest.mark.parametrize("width", [40, 75, 5000])
+def test_wrapped_licenses(width):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, texts in license_scan.TEMPLATES.items():
+        for t in texts:
+            lines = textwrap.fill("prose " * 150 + "license " + "prose " * 80 + t + " more" * 90, width, break_long_words=False, break_on_hyphens=False).split("\n")
+            assert [x[0] for x in scanner.text("\n".join(" * " + x for x in lines))] == [name]
+
+
 def test_empty_tables(spark, empty):
     labels, bench = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "item_id long, text string")
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
