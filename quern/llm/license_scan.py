@@ -3,7 +3,7 @@
 A text that holds a cue word is aligned with each template by words, over line breaks; the
 stretches that differ from it in few words are candidate blocks.  A block is compressed with
 its template as a zstandard raw dictionary; blocks are ranked by how much smaller that makes
-them than compression alone, and confirmed in that order by
+them than compression alone, and confirmed in that order, where none confirmed before lies, by
 the exact words that differ between block and template.
 """
 
@@ -86,11 +86,13 @@ class Scanner:
                 continue
             open_ = known.copy()
             ends = _aligned(ids, open_, True)
-            if (last := int(ends.argmin())) and ends[last] <= most:
+            while (last := int(ends.argmin())) and ends[last] <= most:
                 begin = max(0, last - len(ids) - int(most) - 1)
                 first = last - int(_aligned(ids[::-1], open_[begin:last][::-1], False).argmin())
                 low = text[words[first][1] : words[last - 1][2]].lower().encode()
                 yield 1 - len(given.compress(low)) / len(self.alone.compress(low)), i, first, last
+                open_[first:last] = -2  # the next occurrence
+                ends = _aligned(ids, open_, True)
 
     def text(self, text: str | None) -> Iterator[tuple[str, float, int, int, str]]:
         """(license, gain, start, end, differences) of a text, best first."""
@@ -98,27 +100,27 @@ class Scanner:
         if not _CUE.search(text):
             return
         words = [(m.group().lower(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        taken: set[str] = set()
+        taken: list[tuple[int, int]] = []
         for gain, i, first, last in sorted(self.blocks(text, words), key=lambda x: (-x[0], *x[1:])):
             name, wanted, _, _ = self.templates[i]
-            if gain <= 0 or name in taken:
+            if gain <= 0 or any(first < b and a < last for a, b in taken):
                 continue
             had = [w for w, _, _ in words[first:last]]
             ops = difflib.SequenceMatcher(None, wanted, had, autojunk=False).get_opcodes()
             changes = [f"-{' '.join(wanted[a:b])} +{' '.join(had[c:d])}" for tag, a, b, c, d in ops if tag != "equal"]
             if any(re.search(r"\d|\b(?:nc|sa|nd|lesser|affero)\b", c) for c in changes):
                 continue  # another version or variant
-            taken.add(name)
+            taken.append((first, last))
             yield name, round(gain, 4), words[first][1], words[last - 1][2], "; ".join(changes)
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row for each license found: doc_id, license, gain, start, end (characters), differences.
+    """One row for each wording of a license found: doc_id, license, gain, start, end (characters), differences.
 
     gain is the share of the block's compressed size that the template saves.  differences
     lists the words the block leaves out of the template's or adds; differences of version or
     variant are other licenses.  Null, empty and cueless texts give no rows; a text may hold
-    several licenses, and repeated rows each give theirs.  Whole texts are
+    several licenses, or one several times, and repeated rows each give theirs.  Whole texts are
     read.
     """
     templates = TEMPLATES if templates is None else templates

@@ -267,6 +267,14 @@ def test_wrapped_licenses(width):
             assert [x[0] for x in scanner.text("\n".join(" * " + x for x in lines))] == [name]
 
 
+def test_all_licenses_of_a_line():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    assert sorted(x[0] for x in scanner.text(f"{mit} {gpl} Some prose, and again. {mit}")) == ["GPL-3.0", "MIT", "MIT"]
+    every = [(name, t) for name, texts in license_scan.TEMPLATES.items() for t in texts]
+    assert sorted(x[0] for x in scanner.text(" And then ".join(t for _, t in every))) == sorted(n for n, _ in every)
+
+
 def test_empty_tables(spark, empty):
     labels, bench = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "item_id long, text string")
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
