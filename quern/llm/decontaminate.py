@@ -8,6 +8,7 @@ bit-parallel edit distance, its vector being one integer of L bits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 ERROR_RATE = 0.08
 LEAST_CHARS = 32
 BLOCK_CHARS = 8 << 20
+_INSIDE = re.compile(r"\w\w")
 
 
 def normal(text: str | None) -> str:
@@ -51,12 +53,13 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 class Matcher:
     """Finds the items [(item_id, normalised text)] in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, least: int = 0) -> None:
         import ahocorasick
 
         self.items, self.auto = items, ahocorasick.Automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
-        self.budget = [int(len(t) * error_rate) for _, t in items]
+        self.least = least  # shorter items are found whole, as words of their own
+        self.budget = [int(len(t) * error_rate) if len(t) >= least else 0 for _, t in items]
         for n, (_, text) in enumerate(items):
             k = self.budget[n] + 1
             cuts = [len(text) * i // k for i in range(k + 1)]
@@ -76,6 +79,8 @@ class Matcher:
             for n, at in places:
                 item, k = self.items[n][1], self.budget[n]
                 start = end + 1 - size - at
+                if len(item) < self.least and (start and _INSIDE.match(text, start - 1) or _INSIDE.match(text, end)):
+                    continue
                 if start + len(item) + k <= tried.get(n, -1) or n in best and best[n][0] == 0:
                     continue  # the last window searched for this item holds this place
                 lo, hi = max(0, start - k), start + len(item) + 2 * k
@@ -89,12 +94,12 @@ class Matcher:
             yield (self.items[n][0], *best[n])
 
 
-def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most BLOCK_CHARS characters; what a task holds has that bound."""
     block, held = [], 0
     for r in benchmark.select("item_id", "text").dropna().distinct().toLocalIterator():
         text = normal(r["text"])
-        if len(text) < least:
+        if not text:
             continue
         if block and held + len(text) > BLOCK_CHARS:
             yield block
@@ -107,11 +112,11 @@ def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[tuple[int, str]]]
 _MADE: dict[int, Matcher] = {}
 
 
-def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
-    key = hash((tuple(items), rate))
+def _matcher(items: list[tuple[int, str]], rate: float, least: int) -> Matcher:
+    key = hash((tuple(items), rate, least))
     if key not in _MADE:
         _MADE.clear()
-        _MADE[key] = Matcher(items, rate)
+        _MADE[key] = Matcher(items, rate, least)
     return _MADE[key]
 
 
@@ -119,16 +124,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERR
     """One row for each document and item found in it: doc_id, item_id, distance, start, end.
 
     start and end are places in the normalised text (start a lower bound when distance > 0).
-    Items of fewer than least_chars normalised characters say nothing and are left out; null
-    texts and items match nothing; repeated rows each give their rows; documents without an
+    Items of fewer than least_chars normalised characters are found exactly, between word
+    boundaries; null texts and null or blank items match nothing; repeated rows each give their rows; documents without an
     item give none; an empty table on either side gives none.  A benchmark beyond one block is
     searched block by block, each over all documents.
     """
     out = None
-    for items in _blocks(benchmark, least_chars):
+    for items in _blocks(benchmark):
 
         def run(batches, items=items):
-            matcher = _matcher(items, error_rate)
+            matcher = _matcher(items, error_rate, least_chars)
             for batch in batches:
                 rows = [(d, *hit) for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for hit in matcher.find(text.as_py())]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -141,10 +146,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERR
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows of docs, all columns, that hold no item; nothing is shuffled."""
-    for items in _blocks(benchmark, least_chars):
+    for items in _blocks(benchmark):
 
         def run(batches, items=items):
-            matcher = _matcher(items, error_rate)
+            matcher = _matcher(items, error_rate, least_chars)
             for batch in batches:
                 clean = [next(matcher.find(text.as_py()), None) is None for text in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))

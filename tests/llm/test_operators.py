@@ -180,6 +180,13 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "So: what is  the capital of PERU? Lima."), (2, "what is the capital of perus?"), (3, "xab cd, ab cdx and ab cd."), (4, "xab cd ab cdx")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "What is the capital of Peru?"), (6, "ab cd"), (7, "  ")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance, r.start) for r in decontaminate.find_leaks(docs, bench).collect()) == [(1, 5, 0, 4), (3, 6, 0, 19)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 4]
+
+
 def test_myers():
     r = random.Random(4)
     for _ in range(200):
