@@ -226,7 +226,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
 
     points = docs.mapInArrow(_points(crowd.tobytes(), percent, size), "doc_id long, n long, f1 long, f2 long, sig array<long>, vec binary")
     points = materialise(points.withColumn("rid", F.monotonically_increasing_id()))
-    classes = points.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), F.min(F.struct("rid", "doc_id")).alias("one"))
+    classes = points.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "rid", "doc_id")).alias("one"))
     classes = materialise(classes.select("f1", "f2", "n", "doc", F.col("one.rid").alias("rid"), F.col("one.doc_id").alias("text_id"), F.monotonically_increasing_id().alias("cid")))
     members = materialise(points.select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "cid"), ["f1", "f2", "n"], "left").select("doc_id", "n", "cid"))
     keyed = materialise(points.select("rid", "n", "sig", "vec").join(classes.select("rid", "cid"), "rid").select("cid", "n", "sig", "vec"))

@@ -88,6 +88,13 @@ def test_jaccard(docs, rows):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_join.jaccard_components(docs).collect()) == want
 
 
+def test_jaccard_null_copy(spark):
+    words = text(50, 120).split()
+    near = " ".join(words[:60] + ["changed"] + words[61:])
+    docs = spark.createDataFrame([(None, " ".join(words)), (2, " ".join(words)), (3, near)], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id or 0, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()) == [(0, 2), (2, 2), (3, 2)]
+
+
 def test_rtree_bounds():
     r = np.random.default_rng(0)
     v = r.integers(0, 5, (200, 16)).astype(np.int64)
