@@ -77,7 +77,10 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours hang on the smallest of them.
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        live = materialise(small.filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        after = materialise(small.filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        for used in (live, least, large, low):
+            discard(used)
+        live = after
         now = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first()
         if now[0] == now[2] and now == before:
             return live.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

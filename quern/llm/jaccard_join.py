@@ -3,14 +3,15 @@
 Shingle hashes are dealt into groups; a set's point is its vector of group counts, and the
 overlap of two sets is at most the sum of the smaller counts.  Points are held in R-trees
 whose nodes keep the largest count of each group and the smallest set size, so a node whose
-bound is below what the threshold needs is skipped with all below it.  Pairs that survive
-are verified on the sets themselves.
-
-Points meet in the trees of the rare shingles they share: two sets that reach the threshold
-share one among the first n - ceil(t n) + 1 of any common order, and the order here puts
-shingles from crowded hash cells last, so that very common passages form no tree.
-Sets that are equal are one point, and a point first tries the smallest point of its trees;
-only points that this leaves in different components are searched for further links.
+bound is below what the threshold needs is skipped with all below it.
+
+Sets that are equal are one point.  Points meet in the trees of the rare shingles they share:
+two sets that reach the threshold share one among the first n - ceil(t n) + 1 of any common
+order, and the order here puts shingles from crowded hash cells last, so that very common
+passages form no tree.  Points whose bound survives are joined into blobs; every link lies in
+one blob.  The sets of a blob then meet once, in finer trees, and surviving pairs are verified
+on the sets themselves.  Both searches keep a union-find, leave out pairs it has joined and
+give a spanning forest: never more pairs than points.
 """
 
 from __future__ import annotations
@@ -25,14 +26,24 @@ from pyspark.sql import functions as F
 from quern.llm import shingles
 from quern.llm.common import components, discard, materialise, release
 
-CELL_BITS = 16
-TILE = 1024
+CELL_BITS = 21
+TILE, MASS = 2048, 2 << 20  # rows and shingles that meet in one tree
+ANCHORS = 64
 LEAF = 16
 
 
 def _groups(n: int) -> int:
-    """Number of groups: a power of two that leaves four to eight shingles in each, 16 at least."""
-    return max(16, 1 << max(0, (n - 1) // 8).bit_length())
+    """Number of groups: a power of two that leaves one to two shingles in each, 16 at least."""
+    return max(16, 1 << max(0, (n - 1) // 2).bit_length())
+
+
+def _counts(s: np.ndarray, g: int) -> np.ndarray:
+    """How many hashes of a set fall into each of g groups (their low bits), in bytes.
+
+    A count beyond a byte makes all of them the greatest, which bounds any overlap.
+    """
+    n = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    return n.astype(np.uint8) if n.max() < 256 else np.full(g, 255, np.uint8)
 
 
 def _needed(a, b, percent: int):
@@ -40,21 +51,34 @@ def _needed(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def _cells(percent: int, size: int):
+def _cells(size: int):
+    """Counts of the cells that stand out among a task's shingles; a very common shingle does so in every task."""
+
     def run(batches):
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total, held = np.zeros(1 << CELL_BITS, np.int64), []
+
+        def add():
+            if held:
+                at = (np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                total[:] += np.bincount(at, minlength=len(total))
+                held.clear()
+
         for batch in batches:
             for s in shingles.shingle_sets(batch.column(0), size):
-                total += np.bincount((s >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
+                held.append(s)
+                if len(held) >= 4096 or len(s) > 1 << 18:
+                    add()
+        add()
+        at = np.flatnonzero(total > 4 * total.mean() + 16)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
     return run
 
 
-def _points(crowd: bytes, percent: int, size: int):
+def _points(crowd: dict[int, int], percent: int, size: int):
     def run(batches):
-        crowded = np.frombuffer(crowd, np.uint8)
+        crowded = np.zeros(1 << CELL_BITS, np.uint8)
+        crowded[list(crowd)] = list(crowd.values())
         for batch in batches:
             for lo, hi in shingles.slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
@@ -66,8 +90,7 @@ def _points(crowd: bytes, percent: int, size: int):
                     first = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     order = np.argsort(crowded[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
                     sig.append(s[order[:first]].view(np.int64))
-                    g = _groups(len(s))
-                    vec.append(np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g).astype("<u2").tobytes())
+                    vec.append(_counts(s, _groups(len(s))).tobytes())
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sig])]).astype(np.int32)
                 flat = np.concatenate(sig) if sig else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -79,35 +102,21 @@ def _points(crowd: bytes, percent: int, size: int):
 
 
 def _sets(size: int):
+    """The sets of texts that have the size and sum asked for; without these columns, of all texts."""
+
     def run(batches):
         for batch in batches:
             for lo, hi in shingles.slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
-                keep, made = [], []
-                for i, (s, f1, n) in enumerate(zip(shingles.shingle_sets(part.column("text"), size), part.column("f1").to_pylist(), part.column("n").to_pylist(), strict=True)):
-                    if len(s) == n and int(np.sum(s, dtype=np.uint64)) - 2**63 == f1:
-                        keep.append(i)
-                        made.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(keep, pa.int64())), pa.array(made, pa.binary())], names=["cid", "set"])
-
-    return run
-
-
-def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("sa", "sb"))
-                low, high = sorted((len(x), len(y)))
-                if 100 * low < percent * high:
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                if int((both[1:] == both[:-1]).sum()) >= _needed(low, high, percent):
-                    keep.append(i)
-            took = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([took.column("a"), took.column("b")], names=["a", "b"])
+                made = [(len(s), int(np.sum(s, dtype=np.uint64)) - 2**63, s.tobytes()) for s in shingles.shingle_sets(part.column("text"), size)]
+                if "cid" in part.schema.names:
+                    wanted = zip(part.column("n").to_pylist(), part.column("f1").to_pylist(), strict=True)
+                    keep = [i for i, (m, w) in enumerate(zip(made, wanted, strict=True)) if m[:2] == w]
+                    own = part.select(["cid", "blob", "n"]).take(pa.array(keep, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([made[i][2] for i in keep], pa.binary())], names=["cid", "blob", "n", "data"])
+                else:
+                    n, f1, data = zip(*made, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(data, pa.binary())], names=["n", "f1", "data"])
 
     return run
 
@@ -119,9 +128,9 @@ def _bound(percent: int):
             for i, (na, nb) in enumerate(zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)):
                 if 100 * min(na, nb) < percent * max(na, nb):
                     continue
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u2") for c in ("va", "vb"))
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in ("va", "vb"))
                 g = min(len(x), len(y))
-                if int(np.minimum(x.reshape(-1, g).sum(0), y.reshape(-1, g).sum(0)).sum()) >= _needed(na, nb, percent):
+                if int(np.minimum(_folded(x, g), _folded(y, g)).sum(dtype=np.int64)) >= _needed(na, nb, percent):
                     keep.append(i)
             took = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([took.column("a"), took.column("b")], names=["a", "b"])
@@ -129,6 +138,11 @@ def _bound(percent: int):
     return run
 
 
+def _folded(counts: np.ndarray, g: int) -> np.ndarray:
+    """Counts of a finer grid as those of g groups: groups are low bits of the hash."""
+    return counts if len(counts) == g else counts.reshape(-1, g).sum(0, dtype=np.uint16)
+
+
 class RTree:
     """Points (count vectors with set sizes) under nodes that bound every overlap below them."""
 
@@ -140,14 +154,14 @@ class RTree:
         top, least, most = self.vectors[rows].max(0), self.sizes[rows].min(), self.sizes[rows].max()
         if len(rows) <= LEAF:
             return top, least, most, rows, None
-        spread = self.vectors[rows].max(0).astype(np.int64) - self.vectors[rows].min(0)
+        spread = top.astype(np.int64) - self.vectors[rows].min(0)
         by = self.sizes[rows] if most > least * 5 // 4 else self.vectors[rows, int(spread.argmax())]
         order = rows[np.argsort(by, kind="stable")]
         half = len(order) // 2
         return top, least, most, None, (self._node(order[:half]), self._node(order[half:]))
 
-    def search(self, vectors: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, positions of queries) whose bound reaches the similarity."""
+    def search(self, vectors: np.ndarray, sizes: np.ndarray, percent: int, allowed=lambda row, qs: qs) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, positions of queries) whose bound reaches the similarity, best first, among those allowed for the row."""
         stack = [(self.root, np.arange(len(sizes)))]
         while stack:
             (top, least, most, rows, kids), qs = stack.pop()
@@ -161,50 +175,143 @@ class RTree:
                     stack += [(k, qs) for k in kids]
                 continue
             for r in rows.tolist():
-                bound = np.minimum(vectors[qs], self.vectors[r]).sum(1, dtype=np.int64)
-                yield r, qs[bound >= _needed(sizes[qs], self.sizes[r], percent)]
+                own = allowed(r, qs)
+                if not len(own):
+                    continue
+                bound = np.minimum(vectors[own], self.vectors[r]).sum(1, dtype=np.int64)
+                spare = bound - _needed(sizes[own], self.sizes[r], percent)
+                fits = (spare >= 0) & (100 * np.minimum(sizes[own], self.sizes[r]) >= percent * np.maximum(sizes[own], self.sizes[r]))
+                if fits.any():
+                    own, spare = own[fits], spare[fits]
+                    yield r, own[np.argsort(-spare, kind="stable")]
 
 
-def _search(percent: int):
-    """Search the tiles of a partition, each a run of rows; at most two tiles are held at a time."""
+class Tile:
+    """Rows (q, own, cid, comp, n, data) that meet; pairs of a row with q and one with own are searched.
 
-    def tile(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        right = [r for r in rows if r[1]]
-        left = [r for r in rows if not r[1]] if right else rows
-        right = right or rows
-        if not left or len({r[3] for r in rows}) < 2:
+    data is a point's counts, or with exact the set itself, on which surviving pairs are verified.
+    """
+
+    def __init__(self, rows: list[tuple], percent: int, exact: bool) -> None:
+        q, own, cid, comp, n = (np.array(c) for c in list(zip(*rows, strict=True))[:5])
+        self.q, self.own, self.cid, self.n = q.astype(bool), own.astype(bool), cid, n
+        _, self.label = np.unique(comp, return_inverse=True)
+        self.percent, self.exact = percent, exact
+        self.data = [np.frombuffer(r[5], np.uint64 if exact else np.uint8) for r in rows]
+        # Sizes of one class are within a factor of two, and only neighbouring classes can be similar.
+        self.kind = np.array([len(d).bit_length() for d in self.data])
+
+    def _vectors(self, at: np.ndarray, g: int) -> np.ndarray:
+        return np.array([_counts(self.data[i], g) if self.exact else _folded(self.data[i], g) for i in at.tolist()])
+
+    def _groups(self, a: np.ndarray, b: np.ndarray) -> int:
+        if not self.exact:
+            return min(len(self.data[i]) for i in (a[0], b[0]))
+        fine = 2 * _groups(int(min(self.n[a].max(), self.n[b].max())))
+        while fine > 16 and fine * (len(a) + len(b)) > 64 << 20:
+            fine //= 2
+        return fine
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Pairs of cids that join the rows' components: a spanning forest of what is similar."""
+        if self.label.max() == 0:
             return
-        vectors = [[np.frombuffer(r[5], "<u2") for r in side] for side in (left, right)]
-        g = min(len(v) for side in vectors for v in side)
-        # Points of finer grids are folded to the coarsest one here: groups are low bits of the hash.
-        lv, rv = (np.array([v.reshape(-1, g).sum(0) for v in side], np.int64) for side in vectors)
-        (lc, lk, ln), (rc, rk, rn) = (np.array([r[2:5] for r in side], np.int64).T for side in (left, right))
-        for r, qs in RTree(rv, rn).search(lv, ln, percent):
-            qs = qs[lk[qs] != rk[r]]
-            if len(qs):
-                yield np.minimum(lc[qs], rc[r]), np.maximum(lc[qs], rc[r])
+        for kind in np.unique(self.kind).tolist():
+            for step in (0, 1, -1):
+                queries, others = np.flatnonzero(self.q & (self.kind == kind)), np.flatnonzero(self.own & (self.kind == kind + step))
+                if step == -1 and (self.q & self.own).all() or not len(queries) or not len(others):
+                    continue  # met from the other side
+                g = self._groups(queries, others)
+                yield from self._joined(queries, others, self._vectors(queries, g), self._vectors(others, g))
+
+    def _joined(self, queries: np.ndarray, others: np.ndarray, vq: np.ndarray, vo: np.ndarray) -> Iterator[tuple[int, int]]:
+        both = self.q & self.own
+
+        def allowed(r: int, qs: np.ndarray) -> np.ndarray:
+            at = queries[qs]
+            return qs[(self.label[at] != self.label[others[r]]) & ~(both[at] & both[others[r]] & (self.kind[at] == self.kind[others[r]]) & (at > others[r]))]
+
+        for r, qs in RTree(vo, self.n[others]).search(vq, self.n[queries], self.percent, allowed):
+            y = int(others[r])
+            for x in queries[qs].tolist():
+                if self.label[x] != self.label[y] and (not self.exact or self._similar(x, y)):
+                    self.label[self.label == self.label[x]] = self.label[y]
+                    yield min(int(self.cid[x]), int(self.cid[y])), max(int(self.cid[x]), int(self.cid[y]))
+
+    def _similar(self, x: int, y: int) -> bool:
+        a, b = sorted((self.data[x], self.data[y]), key=len)
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        return int((b[at] == a).sum()) >= _needed(len(a), len(b), self.percent)
+
+
+def _search(percent: int, exact: bool):
+    """Search the tiles of a partition, each a run of rows of one (part, tile, chunk); one is held at a time."""
 
     def run(batches):
         now, held = None, []
+
+        def pairs() -> pa.RecordBatch:
+            found = sorted(set(Tile(held, percent, exact).links())) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            cols = [c.to_pylist() for c in batch.columns]
-            for key, *row in zip(zip(*cols[:5], strict=True), *cols[5:], strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("part", "tile", "chunk", "q", "own", "cid", "comp", "n", "data")]
+            for key, *row in zip(zip(*cols[:3], strict=True), *cols[3:], strict=True):
                 if key != now:
-                    out += tile([(0, *r) for r in held]) if held else []
+                    yield pairs()
                     now, held = key, []
                 held.append(tuple(row))
-            yield _pairs(out)
-        if held:
-            yield _pairs(list(tile([(0, *r) for r in held])))
+        yield pairs()
 
     return run
 
 
-def _pairs(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
-    both = np.unique(np.stack([a, b], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+def _dealt(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) of rows(part, cid, comp, n, data) between different comps of a part, as a forest of each tile.
+
+    Rows outside the part's largest comp are queries against all its rows, so the work grows
+    with their number times the part, not with the square of a part that is joined already.
+    A part beyond TILE rows or MASS shingles is cut into tiles, its queries into chunks.
+    """
+    kinds = rows.groupBy("part", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("s"))
+    sizes = kinds.groupBy("part").agg(F.sum("k").alias("m"), F.sum("s").alias("mass"), F.max(F.struct("k", "s", "comp")).alias("most"), F.count("*").alias("comps"))
+    sizes = sizes.filter("comps > 1").select(
+        "part", F.col("most.comp").alias("most"), F.expr(f"cast(greatest(ceil(m / {TILE}), ceil(mass / {MASS})) as int)").alias("parts"),
+        F.expr(f"cast(greatest(ceil((m - most.k) / {TILE}), ceil((mass - most.s) / {MASS}), 1) as int)").alias("chunks"),
+    )
+    own = rows.join(sizes, "part").withColumns({"tile": F.expr("pmod(xxhash64(cid), parts)"), "chunk": F.expr("pmod(xxhash64(cid, 1), chunks)"), "ask": F.expr("comp <> most")})
+    small = own.filter("parts = 1 and chunks = 1").withColumns({"q": F.col("ask"), "own": F.lit(True)})
+    large = own.filter("parts > 1 or chunks > 1")
+    index = large.withColumns({"chunk": F.explode(F.expr("sequence(0L, chunks - 1L)")), "q": F.lit(False), "own": F.lit(True)})
+    asked = large.filter("ask").withColumns({"tile": F.explode(F.expr("sequence(0L, parts - 1L)")), "q": F.lit(True), "own": F.lit(False)})
+    cols = ["part", "tile", "chunk", "q", "own", "cid", "comp", "n", "data"]
+    return _met(small.select(cols).unionByName(index.select(cols)).unionByName(asked.select(cols)), percent, exact)
+
+
+def _met(tiles: DataFrame, percent: int, exact: bool) -> DataFrame:
+    key = ["part", "tile", "chunk"]
+    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(percent, exact), "a long, b long")
+
+
+def _verified(sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) of sets(part, cid, n, data), each part a blob, as forests.
+
+    Sets of a part meet in tiles, with a few ANCHORS in all tiles of a large one, so that
+    what is similar all over is one component before the rest is dealt out again.
+    """
+    sizes = sets.groupBy("part").agg(F.count("*").alias("m"), F.sum("n").alias("mass"))
+    sizes = materialise(sizes.select("part", "m", F.expr(f"cast(greatest(ceil(m / {TILE}), ceil(mass / {MASS})) as int)").alias("parts")).filter("m > 1"))
+    own = sets.join(sizes, "part").withColumns({"comp": F.col("cid"), "q": F.lit(True), "own": F.lit(True), "chunk": F.lit(0)})
+    anchor = F.expr(f"parts > 1 and pmod(xxhash64(cid, 2), cast(ceil(m / {ANCHORS}) as int)) = 0")
+    home = F.expr("array(pmod(xxhash64(cid), parts))")
+    tiles = own.withColumn("tile", F.explode(F.when(anchor, F.expr("sequence(0L, parts - 1L)")).otherwise(home)))
+    links = materialise(_met(tiles.select("part", "tile", "chunk", "q", "own", "cid", "comp", "n", "data"), percent, True))
+    large = sizes.filter("parts > 1").select("part")
+    if large.limit(1).count():
+        comp = components(links).withColumnRenamed("node", "cid")
+        rest = sets.join(large, "part").join(comp, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+        links = links.unionByName(materialise(_dealt(rest.select("part", "cid", "comp", "n", "data"), percent, True)))
+    return links
 
 
 def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) -> DataFrame:
@@ -219,12 +326,10 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    cells = docs.select("text").mapInArrow(_cells(percent, size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    crowd = np.zeros(1 << CELL_BITS, np.uint8)  # 64 KB whatever the input
-    for r in cells:
-        crowd[r["cell"]] = int(r["n"]).bit_length()
+    cells = docs.select("text").mapInArrow(_cells(size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    crowd = {r["cell"]: int(r["n"]).bit_length() for r in cells}  # a fourth of the cells at most, whatever the input
 
-    points = docs.mapInArrow(_points(crowd.tobytes(), percent, size), "doc_id long, n long, f1 long, f2 long, sig array<long>, vec binary")
+    points = docs.mapInArrow(_points(crowd, percent, size), "doc_id long, n long, f1 long, f2 long, sig array<long>, vec binary")
     points = materialise(points.withColumn("rid", F.monotonically_increasing_id()))
     classes = points.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "rid", "doc_id")).alias("one"))
     classes = materialise(classes.select("f1", "f2", "n", "doc", F.col("one.rid").alias("rid"), F.col("one.doc_id").alias("text_id"), F.monotonically_increasing_id().alias("cid")))
@@ -235,43 +340,36 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
 
     rare = keyed.select("cid", F.explode("sig").alias("h"))
     shared = materialise(rare.groupBy("h").agg(F.count("*").alias("m"), F.min("cid").alias("r")).filter("m > 1"))
-    release(spark)
-    rows = materialise(rare.join(shared, "h"))
+    rows = materialise(rare.join(shared, "h").select("h", "cid", "r"))
+    discard(shared)
     release(spark)
 
-    several = _repeated(classes)
+    # Each point first tries the smallest point of its trees.
     weights = keyed.select("cid", "n", "vec")
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        x, y = (weights.select(F.col("cid").alias(p), F.col("n").alias(f"n{p}"), F.col("vec").alias(f"v{p}")) for p in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets reach the similarity; only their texts are read again."""
-        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        wanted = materialise(ends.join(classes.select("cid", F.col("text_id").alias("doc_id"), "f1", "n"), "cid"))
-        sets = docs.join(wanted, "doc_id").select("cid", "text", "f1", "n").mapInArrow(_sets(size), "cid long, set binary")
-        sets = materialise(sets.dropDuplicates(["cid"]) if several else sets)
-        x, y = (sets.select(F.col("cid").alias(p), F.col("set").alias(f"s{p}")) for p in "ab")
-        out = materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long"))
-        discard(sets)
-        release(spark)
-        return out
-
-    star = rows.filter("cid > r").groupBy("cid").agg(F.min("r").alias("a")).select("a", F.col("cid").alias("b"))
-    star = verified(materialise(bounded(materialise(star))))
+    x, y = (weights.select(F.col("cid").alias(p), F.col("n").alias(f"n{p}"), F.col("vec").alias(f"v{p}")) for p in "ab")
+    star = materialise(rows.filter("cid > r").groupBy("cid").agg(F.min("r").alias("a")).select("a", F.col("cid").alias("b")))
+    star = materialise(star.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long"))
     comp = components(star)
-    placed = rows.select("h", "cid", "m").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    placed = materialise(placed.select("h", "cid", "m", "comp"))
+    placed = rows.select("h", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    placed = materialise(placed.select("h", "cid", "comp"))
+    discard(rows)
     # Shingles of one passage often have the same members; one tree serves all of them.
     same = [F.bit_xor(F.xxhash64("cid")).alias("x0"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("x1"), F.count("*").alias("rows")]
     split = placed.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *same).filter("c0 < c1")
     split = materialise(split.groupBy("x0", "x1", "rows").agg(F.min("h").alias("h")).select("h"))
-    open_ = placed.join(split, "h").join(keyed.select("cid", "n", "vec"), "cid")
-    found = _candidates(open_, percent)
-    links = verified(materialise(found.distinct()))
+    open_ = placed.join(split, "h").join(weights, "cid").select(F.col("h").alias("part"), "cid", "comp", "n", F.col("vec").alias("data"))
+    found = materialise(_dealt(open_, percent, False))
+    for used in (placed, split):
+        discard(used)
+    release(spark)
 
-    comp = components(star.unionByName(links)).withColumnRenamed("node", "cid")
+    blobs = components(star.unionByName(found)).select(F.col("node").alias("cid"), F.col("component").alias("blob"))
+    wanted = materialise(blobs.join(classes.select("cid", F.col("text_id").alias("doc_id"), "f1", "n"), "cid"))
+    discard(keyed)
+    links = _verified(materialise(_read_sets(docs, wanted, size)).withColumnRenamed("blob", "part"), percent)
+    release(spark)
+
+    comp = components(links).withColumnRenamed("node", "cid")
     known = materialise(classes.select("cid", "doc").join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     least = materialise(known.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("n_texts")))
     named = materialise(known.join(least, "component").select("cid", "component_id", "n_texts"))
@@ -280,33 +378,14 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
     )
 
 
-def _repeated(classes: DataFrame) -> bool:
-    """Whether one doc_id stands for several different texts."""
-    return bool(classes.groupBy("text_id").count().filter("count > 1").limit(1).count())
-
-
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows(h, cid, m, comp, n, vec) that share h, differ in comp and pass the bound.
-
-    A pair's sizes differ by less than one step of the size bands, so each row meets its own
-    band and the next.  Bands of one h with more than TILE rows are cut into tiles, and each
-    pair of tiles is a task.
-    """
-    step = float(np.log(100 / percent))
-    rows = rows.withColumn("band", F.floor(F.log("n") / step + 1e-9))
-    rows = rows.withColumn("parts", F.ceil(F.col("m") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    own = rows.withColumns({"at": F.col("band"), "up": F.lit(0)})
-    below = rows.withColumns({"at": F.col("band") + 1, "up": F.lit(1)})
-    each = own.unionByName(below).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # Own band: tiles i <= j meet once.  Lower band: every tile meets every tile of the band above.
-    i = F.when(F.col("up") == 1, F.col("k")).otherwise(F.least("tile", "k"))
-    own_pairs = each.filter("up = 0").withColumns({"i": i, "j": F.greatest("tile", "k"), "side": F.when(F.col("k") >= F.col("tile"), 0).otherwise(1), "kind": F.lit(0)})
-    cross_low = each.filter("up = 1").withColumns({"i": F.col("tile"), "j": F.col("k"), "side": F.lit(0), "kind": F.lit(1)})
-    cross_high = each.filter("up = 0").withColumns({"i": F.col("k"), "j": F.col("tile"), "side": F.lit(1), "kind": F.lit(1)})
-    cols = ["h", "at", "kind", "i", "j", "side", "cid", "comp", "n", "vec"]
-    tiles = own_pairs.select(cols).unionByName(cross_low.select(cols)).unionByName(cross_high.select(cols))
-    key = ["h", "at", "kind", "i", "j"]
-    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(percent), "a long, b long")
+def _read_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """cid, blob, n, data of the classes wanted(cid, blob, doc_id, f1, n), read again from their texts."""
+    kinds = wanted.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(2).collect()
+    sets = docs.join(wanted, "doc_id").select("cid", "blob", "n", "f1", "text").mapInArrow(_sets(size), "cid long, blob long, n long, data binary")
+    if any(r["doc_id"] is None for r in kinds):  # classes of rows without a doc_id
+        nameless = docs.filter("doc_id is null").select("text").mapInArrow(_sets(size), "n long, f1 long, data binary")
+        sets = sets.unionByName(nameless.join(wanted.filter("doc_id is null").drop("doc_id"), ["n", "f1"]).select("cid", "blob", "n", "data"))
+    return sets.dropDuplicates(["cid"]) if kinds else sets
 
 
 def keep_one(docs: DataFrame, *, percent: int = 80, size: int = 5) -> DataFrame:
