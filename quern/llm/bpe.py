@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_STATES = 150_000
-MOST_PIECES = 150_000
-MOST_PAIRS = 300_000
+from quern.llm.shingles import slices
+
+#: Bounds of what one worker remembers, in entries; PIECE_BYTES bounds a remembered piece, so all have a bound in bytes.
+MOST_STATES, MOST_PIECES, MOST_PAIRS, PIECE_BYTES = 60_000, 100_000, 150_000, 64
 
 
 class Transducer:
@@ -38,14 +39,21 @@ class Transducer:
         self.halves: dict[int, tuple[int, int]] = {}
         self.ordered: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
+        self.keys: list[tuple] = []
+        self.live: list[tuple[int, ...]] = []
+        self.index: dict[tuple, int] = {}
+        self.next: dict[int, tuple[int, bytes]] = {}
+        self.final: dict[int, bytes] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.keys: list[tuple] = [(None, b"", ())]
-        self.live: list[tuple[int, ...]] = [(0,)]
-        self.index: dict[tuple, int] = {self.keys[0]: 0}
-        self.next: dict[int, tuple[int, bytes]] = {}
-        self.final: dict[int, bytes] = {0: b""}
+        """Forget all states but the first."""
+        for held in (self.keys, self.live, self.index, self.next, self.final):
+            held.clear()
+        self.keys.append((None, b"", ()))
+        self.live.append((0,))
+        self.index[self.keys[0]] = 0
+        self.final[0] = b""
 
     def _merge(self, data: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
         """A few bytes encoded from the definition (merge the lowest pair, leftmost first), and the last pair merged."""
@@ -146,9 +154,14 @@ class Transducer:
         key = (before, window, last)
         to = self.index.get(key)
         if to is None:
+            full = len(self.keys) >= MOST_STATES
+            if full:
+                self._reset()  # also within a piece: the state reached is all that its rest needs
             to = self.index[key] = len(self.keys)
             self.keys.append(key)
             self.live.append(tuple(live))
+            if full:
+                return to, out
         made = self.next[state << 8 | byte] = to, out
         return made
 
@@ -166,8 +179,6 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return self.packed[whole]
-        if len(self.keys) > MOST_STATES:
-            self._reset()
         out, state, get = [], 0, self.next.get
         for byte in data:
             made = get(state << 8 | byte)
@@ -216,14 +227,39 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_MADE: dict[int, tuple[Transducer, dict[str, bytes]]] = {}
+_MADE: dict[int, Encoder] = {}
+
 
+class Encoder:
+    """Texts to ids: each match of the pattern by the transducer, met pieces from memory."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        import regex
+
+        self.find, self.fst, self.seen = regex.compile(pattern).findall, Transducer(ranks), {}
+
+    def __call__(self, text: str | None) -> bytes:
+        """The ids as little-endian 32-bit integers; null counts as empty."""
+        out, get = [], self.seen.get
+        for piece in self.find(text or ""):
+            ids = get(piece)
+            if ids is None:
+                data = piece.encode()
+                ids = self.fst.encode(data)
+                if len(data) <= PIECE_BYTES:
+                    if len(self.seen) >= MOST_PIECES:
+                        self.seen.clear()
+                    self.seen[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
-def _transducer(ranks: dict[bytes, int]) -> tuple[Transducer, dict[str, bytes]]:
-    """One transducer for each vocabulary in a worker, kept over its tasks."""
-    key = hash(frozenset(ranks.items()))
+
+def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """One encoder for each vocabulary and pattern in a worker, kept over its tasks."""
+    key = hash((pattern, frozenset(ranks.items())))
     if key not in _MADE:
-        _MADE[key] = (Transducer(ranks), {})
+        _MADE.clear()
+        _MADE[key] = Encoder(ranks, pattern)
     return _MADE[key]
 
 
@@ -241,31 +277,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
-        fst, seen = _transducer(ranks)
-        get = seen.get
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part, packed = batch.slice(lo, 256), []
-                for text in part.column("text").to_pylist():
-                    out = []
-                    for piece in find(text or ""):
-                        ids = get(piece)
-                        if ids is None:
-                            ids = fst.encode(piece.encode())
-                            if len(piece) <= 64:
-                                if len(seen) >= MOST_PIECES:
-                                    seen.clear()
-                                seen[piece] = ids
-                        out.append(ids)
-                    packed.append(b"".join(out))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _id_lists(packed)], names=["doc_id", "ids"])
+        made = _encoder(ranks, pattern)
+        for part in _by_bytes(batches):
+            ids = _id_lists([made(text) for text in part.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts whose texts have a bound in bytes together, or one row with a longer one."""
+    for batch in batches:
+        for lo, hi in slices(batch.column("text"), 1 << 20):
+            yield batch.slice(lo, hi - lo)
+
+
 def _joined(tokens: pa.BinaryArray) -> bytes:
     """The bytes of all tokens: the values an array holds lie side by side."""
     if tokens.null_count:
@@ -274,6 +300,23 @@ def _joined(tokens: pa.BinaryArray) -> bytes:
     return data.to_pybytes()[: np.frombuffer(ends, np.int32)[len(tokens)]]
 
 
+class Decoder:
+    """Ids to text, a chunk of ids at a time through Utf8Stream."""
+
+    def __init__(self, ranks: dict[bytes, int], chunk: int) -> None:
+        tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        self.table, self.chunk = pa.array(tokens, pa.binary()), chunk
+
+    def __call__(self, ids: pa.Array) -> str:
+        stream, out = Utf8Stream(), []
+        for at in range(0, len(ids), self.chunk):
+            out.append(stream.push(_joined(self.table.take(ids[at : at + self.chunk]))))
+        out.append(stream.end())
+        return "".join(out)
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], chunk: int = 8192) -> DataFrame:
     """doc_id, ids and text for each row of encoded(doc_id, ids).
 
@@ -282,24 +325,28 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], chunk: int = 8192) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-        for token, i in ranks.items():
-            tokens[i] = token
-        table = pa.array(tokens, pa.binary())
+        made = Decoder(ranks, chunk)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part, texts = batch.slice(lo, 256), []
-                for ids in part.column("ids"):
-                    stream, out = Utf8Stream(), []
-                    for at in range(0, len(ids.values) if ids.is_valid else 0, chunk):
-                        out.append(stream.push(_joined(table.take(ids.values[at : at + chunk]))))
-                    out.append(stream.end())
-                    texts.append("".join(out))
+            for part in (batch.slice(lo, 256) for lo in range(0, batch.num_rows, 256)):
+                texts = [made(ids.values) if ids.is_valid else "" for ids in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = 8192) -> DataFrame:
+    """decode(encode(docs)) in one worker: doc_id, ids and the text decoded from the ids; the cases are theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(ranks, pattern), Decoder(ranks, chunk)
+        for part in _by_bytes(batches):
+            ids = _id_lists([encoder(text) for text in part.column("text").to_pylist()])
+            texts = pa.array([decoder(x.values) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, texts], names=["doc_id", "ids", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def digest(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of decode's rows."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")

@@ -36,8 +36,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digest(bpe.decode(encoded, ranks))
+    return bpe.digest(bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
