@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from quern.llm.common import materialise
 
 ERROR_RATE = 0.08
 LEAST_CHARS = 32
@@ -73,40 +74,65 @@ class Matcher:
     def find(self, text: str | None) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, distance, start bound, end) in the normalised text, the best place for each item."""
         text = normal(text)
-        best: dict[int, tuple[int, int, int]] = {}
-        tried: dict[int, int] = {}
+        best: dict[int, tuple[int, int]] = {}
+        searched: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.auto.iter(text) if self.items else ():
             for n, at in places:
                 item, k = self.items[n][1], self.budget[n]
                 start = end + 1 - size - at
                 if len(item) < self.least and (start and _INSIDE.match(text, start - 1) or _INSIDE.match(text, end)):
                     continue
-                if start + len(item) + k <= tried.get(n, -1) or n in best and best[n][0] == 0:
-                    continue  # the last window searched for this item holds this place
-                lo, hi = max(0, start - k), start + len(item) + 2 * k
-                tried[n] = hi
-                window = text[lo:hi]
-                exact = window.find(item)
-                got = (0, exact + len(item)) if exact >= 0 else myers(item, window, k)
-                if got and (n not in best or got[0] < best[n][0]):
-                    best[n] = got[0], lo + max(0, got[1] - len(item) - got[0]), lo + got[1]
-        for n in sorted(best):
-            yield (self.items[n][0], *best[n])
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_CHARS characters; what a task holds has that bound."""
+                if n in best and best[n][0] == 0:
+                    continue
+                for lo, hi in _unsearched(searched.setdefault(n, []), max(0, start - k), min(len(text), start + len(item) + 2 * k), len(item) + k):
+                    window = text[lo:hi]
+                    exact = window.find(item)
+                    got = (0, exact + len(item)) if exact >= 0 else myers(item, window, k)
+                    if got:
+                        best[n] = min(best.get(n, (k + 1, 0)), (got[0], lo + got[1]))
+        for n, (distance, end) in sorted(best.items()):
+            yield self.items[n][0], distance, max(0, end - len(self.items[n][1]) - distance), end
+
+
+def _unsearched(done: list[list[int]], lo: int, hi: int, longest: int) -> list[tuple[int, int]]:
+    """The stretches to search so that every match of at most `longest` characters inside [lo, hi) has been met.
+
+    done holds the ranges whose matches are all met, and is brought up to date.  A range that
+    overlaps [lo, hi) grows by it: only matches across its old end are new, and they reach
+    back into it by less than `longest` characters.
+    """
+    for old in done:
+        if old[0] <= lo and hi <= old[1]:
+            return []
+    for old in done:
+        if old[0] <= lo < old[1]:
+            new = max(old[0], old[1] - longest), hi
+            old[1] = hi
+            return [new]
+        if old[0] < hi <= old[1]:
+            new = lo, min(old[1], old[0] + longest)
+            old[0] = lo
+            return [new]
+    done.append([lo, hi])
+    return [(lo, hi)]
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in blocks of at most BLOCK_CHARS characters (or one longer item), and whether a block is the last.
+
+    A block is done with before the next is fetched, so that is also what the driver holds.
+    """
     block, held = [], 0
     for r in benchmark.select("item_id", "text").dropna().distinct().toLocalIterator():
         text = normal(r["text"])
         if not text:
             continue
         if block and held + len(text) > BLOCK_CHARS:
-            yield block
+            yield block, False
             block, held = [], 0
         block.append((r["item_id"], text))
         held += len(text)
-    yield block
+    yield block, True
 
 
 _MADE: dict[int, Matcher] = {}
@@ -125,12 +151,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERR
 
     start and end are places in the normalised text (start a lower bound when distance > 0).
     Items of fewer than least_chars normalised characters are found exactly, between word
-    boundaries; null texts and null or blank items match nothing; repeated rows each give their rows; documents without an
-    item give none; an empty table on either side gives none.  A benchmark beyond one block is
-    searched block by block, each over all documents.
+    boundaries; null texts and null or blank items match nothing; repeated rows each give
+    their rows; documents without an item give none; an empty table on either side gives
+    none; other columns are not read.  A benchmark beyond one block is searched block by
+    block, each over all documents.
     """
-    out = None
-    for items in _blocks(benchmark):
+    docs, out = docs.select("doc_id", "text"), None
+    for items, last in _blocks(benchmark):
 
         def run(batches, items=items):
             matcher = _matcher(items, error_rate, least_chars)
@@ -139,14 +166,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERR
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        made = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
+        made = docs.mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
+        made = made if last and out is None else materialise(made)
         out = made if out is None else out.unionByName(made)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """The rows of docs, all columns, that hold no item; nothing is shuffled."""
-    for items in _blocks(benchmark):
+    """The rows of docs, all columns, that hold no item; nothing is shuffled.  The cases are find_leaks'."""
+    for items, last in _blocks(benchmark):
 
         def run(batches, items=items):
             matcher = _matcher(items, error_rate, least_chars)
@@ -155,4 +183,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, error_rate: float =
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = docs if last else materialise(docs)
     return docs
