@@ -95,6 +95,81 @@ def test_jaccard_null_copy(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()) == [(0, 2), (2, 2), (3, 2)]
 
 
+def brute_components(rows):
+    """(doc_id, set size, smallest doc_id reachable) by comparing all pairs of sets that share a shingle."""
+    sets = []
+    for d, t in rows:
+        w = WORD.findall(lower(t))
+        sets.append((d, frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)]) if w else frozenset()))
+    parent, index = list(range(len(sets))), collections.defaultdict(list)
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j in {j for s in a for j in index[s]}:
+            if 100 * len(a & sets[j][1]) >= 80 * len(a | sets[j][1]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+        for s in a:
+            index[s].append(i)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((d or 0, len(s), (least.get(find(i)) if s else d) or 0) for i, (d, s) in enumerate(sets))
+
+
+def edited(words, r, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[r.randrange(len(words))] = f"e{r.randrange(10**9)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("tile", [2048, 24])
+def test_jaccard_hot_groups(spark, monkeypatch, tile):
+    """Groups of near copies, chains and common passages against all pairs; small tiles take the ways of large groups."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "ANCHORS", 4)
+    r, rows = random.Random(12), []
+    for g in range(3):
+        base = text(600 + g, 90).split()
+        rows += [edited(base, r, r.randrange(0, 4)) for _ in range(90)]
+    passage = text(650, 70)
+    rows += [passage + " " + text(700 + i, r.randrange(5, 60)) for i in range(120)]
+    chain = text(660, 120).split()
+    for i in range(40):
+        chain[3 * i % 120] = f"c{i}"
+        rows.append(" ".join(chain))
+    rows = [(None if i % 37 == 5 else i, t) for i, t in enumerate(r.sample(rows, len(rows)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((x.doc_id or 0, x.n_shingles, x.component_id or 0) for x in jaccard_join.jaccard_components(docs).collect())
+    assert got == brute_components(rows)
+
+
+def test_jaccard_large_group(spark):
+    """A group of 5,000 near copies is one component, found without all its pairs."""
+    r, base = random.Random(13), text(670, 100).split()
+    rows = [(i, edited(base, r, 1)) for i in range(5000)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("component_id").distinct().collect()
+    assert [x.component_id for x in got] == [0]
+
+
+def test_jaccard_nameless_bridge(spark):
+    """A text whose rows all lack a doc_id still links its neighbours."""
+    first = text(51, 100).split()
+    second = [*first[:30], "changed", *first[31:]]
+    third = [*second[:70], "other", *second[71:80], "more", *second[81:]]
+    docs = spark.createDataFrame([(1, " ".join(first)), (None, " ".join(second)), (3, " ".join(third))], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()) == brute_ids([(1, first), (None, second), (3, third)])
+
+
+def brute_ids(rows):
+    return sorted((d, c) for d, _, c in brute_components([(d, " ".join(w)) for d, w in rows]))
+
+
 def test_rtree_bounds():
     r = np.random.default_rng(0)
     v = r.integers(0, 5, (200, 16)).astype(np.int64)
@@ -159,10 +234,23 @@ def test_bpe(docs, rows):
     for _ in range(300):
         data = bytes(rnd.choices(b"abet hin\xc3\xa9\xf0\x9f0123-", k=rnd.randrange(1, 60)))
         assert np.frombuffer(fst.encode(data), "<i4").tolist() == enc._core_bpe.encode_single_piece(data)
+    assert sorted((r.doc_id or 0, r.text, r.ids) for r in bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).collect()) == got
     stream, said = bpe.Utf8Stream(), "aé日🎉퟿"
     assert "".join(stream.push(bytes([b])) for b in said.encode()) + stream.end() == said
 
 
+def test_bpe_long_pieces(monkeypatch):
+    """Pieces far beyond the bounds of the memory, which hold also within a piece."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "MOST_STATES", 500)
+    fst, rnd = bpe.Transducer(ranks), random.Random(6)
+    for alphabet in (b"abcdefghijklmnopqrstuvwxyz", b"a", b"\xe6\x97\xa5"):
+        data = bytes(rnd.choices(alphabet, k=30_000))
+        assert np.frombuffer(fst.encode(data), "<i4").tolist() == enc._core_bpe.encode_single_piece(data)
+        assert len(fst.keys) <= 500
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     plain = [text(i, 30) for i in range(300)]
@@ -187,6 +275,38 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_against_sliding(spark):
+    """Items of repeated phrases, each planted within its budget, are all found, at their least distance."""
+    r, items, docs, found = random.Random(21), [], [], 0
+    for n in range(1000):
+        phrases = ["".join(r.choices("abcde ", k=r.randrange(4, 9))).strip() or "a" for _ in range(3)]
+        item = decontaminate.normal(" ".join(r.choices(phrases, k=r.randrange(8, 16))))
+        copy, budget = list(item), int(len(item) * decontaminate.ERROR_RATE) if len(item) >= decontaminate.LEAST_CHARS else 0
+        for _ in range(r.randrange(budget + 1)):
+            at = r.randrange(len(copy))
+            copy[at : at + r.randrange(2)] = r.choice(["x", "", "y"])
+        items.append((n, item))
+        docs.append(decontaminate.normal(" ".join(r.choices(phrases, k=3)) + " | " + "".join(copy) + " | " + " ".join(r.choices(phrases, k=3))))
+    for n, item in items:
+        budget = int(len(item) * decontaminate.ERROR_RATE)
+        want = decontaminate.myers(item, docs[n], budget)
+        got = list(decontaminate.Matcher([(n, item)], decontaminate.ERROR_RATE).find(docs[n]))
+        assert [(x[0], x[1]) for x in got] == ([(n, want[0])] if want else [])
+        found += want is not None
+    assert found > 950  # white space that meets may take a copy over its budget
+
+
+def test_decontaminate_blocks(spark, monkeypatch):
+    """A benchmark beyond one block gives the same rows, and odd tables do no harm."""
+    docs = spark.createDataFrame([(i, text(40 + i % 7, 30), i, "x") for i in range(20)] + [(None, None, 1, "y"), (21, "w " * 200_000 + text(41, 12), 1, "z")], "doc_id long, text string, item_id int, distance string")
+    bench = spark.createDataFrame([(i, text(40 + i, 12)) for i in range(7)], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    assert whole and sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect())) == whole
+    assert {21} | set(range(20)) == {x[0] for x in whole}
+    assert [tuple(x) for x in decontaminate.decontaminate(docs, bench).collect()] == [(None, None, 1, "y")]
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "So: what is  the capital of PERU? Lima."), (2, "what is the capital of perus?"), (3, "xab cd, ab cdx and ab cd."), (4, "xab cd ab cdx")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, "What is the capital of Peru?"), (6, "ab cd"), (7, "  ")], "item_id long, text string")
