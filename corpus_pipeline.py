@@ -37,7 +37,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and the text decoded from them."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
 
 
 STAGES = [
