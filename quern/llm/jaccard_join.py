@@ -7,8 +7,9 @@ bound is below what the threshold needs is skipped with all below it.
 
 Sets that are equal are one point.  Points meet in the trees of the rare shingles they share:
 two sets that reach the threshold share one among the first n - ceil(t n) + 1 of any common
-order, and the order here puts shingles from crowded hash cells last, so that very common
-passages form no tree.  Points whose bound survives are joined into blobs; every link lies in
+order, and k more among k more, so points with fewer shared ones are left out.  The order here
+puts shingles from crowded hash cells last, so that very common passages form no tree.
+Points whose bound survives are joined into blobs; every link lies in
 one blob.  The sets of a blob then meet once, in finer trees, and surviving pairs are verified
 on the sets themselves.  Both searches keep a union-find, leave out pairs it has joined and
 give a spanning forest: never more pairs than points.
@@ -29,12 +30,13 @@ from quern.llm.common import components, discard, materialise, release
 CELL_BITS = 21
 TILE, MASS = 2048, 2 << 20  # rows and shingles that meet in one tree
 ANCHORS = 64
+MORE = 4  # percent of a set by which its prefix is longer than one common shingle needs
 LEAF = 16
 
 
 def _groups(n: int) -> int:
-    """Number of groups: a power of two that leaves one to two shingles in each, 16 at least."""
-    return max(16, 1 << max(0, (n - 1) // 2).bit_length())
+    """Number of groups: a power of two that leaves four to eight shingles in each, 16 at least."""
+    return max(16, 1 << max(0, (n - 1) // 8).bit_length())
 
 
 def _counts(s: np.ndarray, g: int) -> np.ndarray:
@@ -82,20 +84,21 @@ def _points(crowd: dict[int, int], percent: int, size: int):
         for batch in batches:
             for lo, hi in shingles.slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
-                n, f1, f2, sig, vec = [], [], [], [], []
+                n, f1, f2, sig, vec, head = [], [], [], [], [], []
                 for s in shingles.shingle_sets(part.column("text"), size):
                     n.append(len(s))
                     f1.append(int(np.sum(s, dtype=np.uint64)) - 2**63)
                     f2.append(int(np.sum(shingles.mix(s ^ np.uint64(0x5DEECE66D)), dtype=np.uint64)) - 2**63)
                     first = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     order = np.argsort(crowded[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
-                    sig.append(s[order[:first]].view(np.int64))
+                    sig.append(s[order[: first + -(-MORE * len(s) // 100)]].view(np.int64))
+                    head.append(first)
                     vec.append(_counts(s, _groups(len(s))).tobytes())
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sig])]).astype(np.int32)
                 flat = np.concatenate(sig) if sig else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(vec, pa.binary())],
-                    names=["doc_id", "n", "f1", "f2", "sig", "vec"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(vec, pa.binary()), pa.array(head, pa.int32())],
+                    names=["doc_id", "n", "f1", "f2", "sig", "vec", "head"],
                 )
 
     return run
@@ -207,7 +210,7 @@ class Tile:
     def _groups(self, a: np.ndarray, b: np.ndarray) -> int:
         if not self.exact:
             return min(len(self.data[i]) for i in (a[0], b[0]))
-        fine = 2 * _groups(int(min(self.n[a].max(), self.n[b].max())))
+        fine = 16 * _groups(int(min(self.n[a].max(), self.n[b].max())))
         while fine > 16 and fine * (len(a) + len(b)) > 64 << 20:
             fine //= 2
         return fine
@@ -329,28 +332,32 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
     cells = docs.select("text").mapInArrow(_cells(size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     crowd = {r["cell"]: int(r["n"]).bit_length() for r in cells}  # a fourth of the cells at most, whatever the input
 
-    points = docs.mapInArrow(_points(crowd, percent, size), "doc_id long, n long, f1 long, f2 long, sig array<long>, vec binary")
+    points = docs.mapInArrow(_points(crowd, percent, size), "doc_id long, n long, f1 long, f2 long, sig array<long>, vec binary, head int")
     points = materialise(points.withColumn("rid", F.monotonically_increasing_id()))
     classes = points.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "rid", "doc_id")).alias("one"))
     classes = materialise(classes.select("f1", "f2", "n", "doc", F.col("one.rid").alias("rid"), F.col("one.doc_id").alias("text_id"), F.monotonically_increasing_id().alias("cid")))
     members = materialise(points.select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "cid"), ["f1", "f2", "n"], "left").select("doc_id", "n", "cid"))
-    keyed = materialise(points.select("rid", "n", "sig", "vec").join(classes.select("rid", "cid"), "rid").select("cid", "n", "sig", "vec"))
+    keyed = materialise(points.select("rid", "n", "sig", "vec", "head").join(classes.select("rid", "cid"), "rid").select("cid", "n", "sig", "vec", "head"))
     discard(points)
     release(spark)
 
-    rare = keyed.select("cid", F.explode("sig").alias("h"))
+    rare = keyed.select("cid", "n", "head", F.posexplode("sig").alias("at", "h"))
     shared = materialise(rare.groupBy("h").agg(F.count("*").alias("m"), F.min("cid").alias("r")).filter("m > 1"))
-    rows = materialise(rare.join(shared, "h").select("h", "cid", "r"))
+    rows = materialise(rare.join(shared, "h").select("h", "cid", "r", F.expr("at < head").alias("first"), F.expr(f"{MORE} * {percent} * n div 10000 + 1").alias("least")))
     discard(shared)
     release(spark)
+    enough = rows.groupBy("cid", "least").count().filter("count >= least").select("cid")
+    rows, every = materialise(rows.join(enough, "cid").drop("least")), rows
+    discard(every)
 
-    # Each point first tries the smallest point of its trees.
+    # Each point first tries the one, of the smallest points of its trees, that it shares most with.
     weights = keyed.select("cid", "n", "vec")
     x, y = (weights.select(F.col("cid").alias(p), F.col("n").alias(f"n{p}"), F.col("vec").alias(f"v{p}")) for p in "ab")
-    star = materialise(rows.filter("cid > r").groupBy("cid").agg(F.min("r").alias("a")).select("a", F.col("cid").alias("b")))
+    star = rows.filter("cid > r").groupBy("cid", "r").count().groupBy("cid").agg(F.max(F.struct("count", (-F.col("r")).alias("r"))).alias("most"))
+    star = materialise(star.select((-F.col("most.r")).alias("a"), F.col("cid").alias("b")))
     star = materialise(star.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long"))
     comp = components(star)
-    placed = rows.select("h", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    placed = rows.filter("first").select("h", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     placed = materialise(placed.select("h", "cid", "comp"))
     discard(rows)
     # Shingles of one passage often have the same members; one tree serves all of them.
