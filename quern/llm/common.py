@@ -43,6 +43,22 @@ def purge(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+SLOTS = 1 << 16
+
+
+def thinned(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of df whose `name` may be among the ids; exact only together with the join that follows.
+
+    Keeps texts that no id asks for out of that join's shuffle.  What is broadcast is a map of
+    64 bits for each of SLOTS slots, whatever the number of ids; a full map keeps all rows.
+    """
+    place = F.xxhash64(name)
+    slot, bit = F.pmod(place, F.lit(SLOTS)), F.shiftright(place, 32).bitwiseAND(63).cast("int")
+    full = ids.select(slot.alias("slot__"), F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(`{name}`), 32) & 63 as int))").alias("m__")).groupBy("slot__").agg(F.bit_or("m__").alias("map__"))
+    out = df.join(F.broadcast(full), slot == F.col("slot__"))
+    return out.filter(F.getbit("map__", bit) == 1).select(df.columns)
+
+
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table from a short driver-side list, built inside the JVM (no Python workers)."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
@@ -67,8 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     live = edges.dropna(subset=["a", "b"]).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     live = materialise(live.filter("u <> v").distinct())
-    before = None
-    while True:
+    while not _starred(live):
         # Large star: neighbours greater than a node hang on the smallest neighbour.
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -81,12 +96,14 @@ def components(edges: DataFrame) -> DataFrame:
         for used in (live, least, large, low):
             discard(used)
         live = after
-        now = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first()
-        if now[0] == now[2] and now == before:
-            return live.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                live.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = now
+    ends = live.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return live.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends)
+
+
+def _starred(live: DataFrame) -> bool:
+    """Whether every u of live(u, v) has one v, and no v is a u: each component hangs on its smallest node."""
+    edges, nodes = live.agg(F.count("*"), F.countDistinct("u")).first()
+    return edges == nodes and not live.select("u").join(live.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
 
 
 def discard(df: DataFrame) -> None:

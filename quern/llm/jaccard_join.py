@@ -18,6 +18,7 @@ give a spanning forest: never more pairs than points.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import components, discard, materialise, release
+from quern.llm.common import components, discard, materialise, release, thinned
 
 CELL_BITS = 21
 TILE, MASS = 2048, 2 << 20  # rows and shingles that meet in one tree
@@ -216,6 +217,16 @@ class Tile:
         return fine
 
     def links(self) -> Iterator[tuple[int, int]]:
+        """(smallest cid, cid) of the rows of each tree that pairs has made."""
+        row = {c: i for i, c in enumerate(self.cid.tolist())}
+        ends = sorted({c for pair in list(self.pairs()) for c in pair})
+        least: dict[int, int] = {}
+        for c in ends:
+            root = least.setdefault(int(self.label[row[c]]), c)
+            if root != c:
+                yield root, c
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
         """Pairs of cids that join the rows' components: a spanning forest of what is similar."""
         if self.label.max() == 0:
             return
@@ -225,9 +236,9 @@ class Tile:
                 if step == -1 and (self.q & self.own).all() or not len(queries) or not len(others):
                     continue  # met from the other side
                 g = self._groups(queries, others)
-                yield from self._joined(queries, others, self._vectors(queries, g), self._vectors(others, g))
+                yield from self.joined(queries, others, self._vectors(queries, g), self._vectors(others, g))
 
-    def _joined(self, queries: np.ndarray, others: np.ndarray, vq: np.ndarray, vo: np.ndarray) -> Iterator[tuple[int, int]]:
+    def joined(self, queries: np.ndarray, others: np.ndarray, vq: np.ndarray, vo: np.ndarray) -> Iterator[tuple[int, int]]:
         both = self.q & self.own
 
         def allowed(r: int, qs: np.ndarray) -> np.ndarray:
@@ -237,24 +248,24 @@ class Tile:
         for r, qs in RTree(vo, self.n[others]).search(vq, self.n[queries], self.percent, allowed):
             y = int(others[r])
             for x in queries[qs].tolist():
-                if self.label[x] != self.label[y] and (not self.exact or self._similar(x, y)):
+                if self.label[x] != self.label[y] and (not self.exact or self.similar(x, y)):
                     self.label[self.label == self.label[x]] = self.label[y]
                     yield min(int(self.cid[x]), int(self.cid[y])), max(int(self.cid[x]), int(self.cid[y]))
 
-    def _similar(self, x: int, y: int) -> bool:
+    def similar(self, x: int, y: int) -> bool:
         a, b = sorted((self.data[x], self.data[y]), key=len)
         at = np.minimum(np.searchsorted(b, a), len(b) - 1)
         return int((b[at] == a).sum()) >= _needed(len(a), len(b), self.percent)
 
 
-def _search(percent: int, exact: bool):
+def _search(made):
     """Search the tiles of a partition, each a run of rows of one (part, tile, chunk); one is held at a time."""
 
     def run(batches):
         now, held = None, []
 
         def pairs() -> pa.RecordBatch:
-            found = sorted(set(Tile(held, percent, exact).links())) if held else []
+            found = sorted(set(made(held).links())) if held else []
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -269,10 +280,11 @@ def _search(percent: int, exact: bool):
     return run
 
 
-def _dealt(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Links (a, b) of rows(part, cid, comp, n, data) between different comps of a part, as a forest of each tile.
+def dealt(rows: DataFrame, data: DataFrame, made) -> DataFrame:
+    """Links (a, b) of rows(part, cid, comp, n) between different comps of a part, as trees of each tile.
 
-    Rows outside the part's largest comp are queries against all its rows, so the work grows
+    made turns a tile's rows into a Tile, whose data is that of data(cid, data).  Rows
+    outside the part's largest comp are queries against all its rows, so the work grows
     with their number times the part, not with the square of a part that is joined already.
     A part beyond TILE rows or MASS shingles is cut into tiles, its queries into chunks.
     """
@@ -282,18 +294,21 @@ def _dealt(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
         "part", F.col("most.comp").alias("most"), F.expr(f"cast(greatest(ceil(m / {TILE}), ceil(mass / {MASS})) as int)").alias("parts"),
         F.expr(f"cast(greatest(ceil((m - most.k) / {TILE}), ceil((mass - most.s) / {MASS}), 1) as int)").alias("chunks"),
     )
-    own = rows.join(sizes, "part").withColumns({"tile": F.expr("pmod(xxhash64(cid), parts)"), "chunk": F.expr("pmod(xxhash64(cid, 1), chunks)"), "ask": F.expr("comp <> most")})
-    small = own.filter("parts = 1 and chunks = 1").withColumns({"q": F.col("ask"), "own": F.lit(True)})
-    large = own.filter("parts > 1 or chunks > 1")
-    index = large.withColumns({"chunk": F.explode(F.expr("sequence(0L, chunks - 1L)")), "q": F.lit(False), "own": F.lit(True)})
-    asked = large.filter("ask").withColumns({"tile": F.explode(F.expr("sequence(0L, parts - 1L)")), "q": F.lit(True), "own": F.lit(False)})
-    cols = ["part", "tile", "chunk", "q", "own", "cid", "comp", "n", "data"]
-    return _met(small.select(cols).unionByName(index.select(cols)).unionByName(asked.select(cols)), percent, exact)
+    own = rows.join(materialise(sizes), "part").withColumns({"tile": F.expr("pmod(xxhash64(cid), parts)"), "chunk": F.expr("pmod(xxhash64(cid, 1), chunks)"), "ask": F.expr("comp <> most")})
+    # Each row of a small part both asks and is there; in a large one it is there once for each chunk, and asks once in each tile.
+    small, once = F.expr("parts = 1 and chunks = 1"), F.array(F.struct("tile", "chunk", F.col("ask").alias("q"), F.lit(True).alias("own")))
+    there = F.expr("transform(sequence(0L, chunks - 1L), c -> struct(tile, c as chunk, false as q, true as own))")
+    asks = F.expr("if(ask, transform(sequence(0L, parts - 1L), t -> struct(t as tile, chunk, true as q, false as own)), array())")
+    tiles = own.select("part", "cid", "comp", "n", F.inline(F.when(small, once).otherwise(F.concat(there, asks))))
+    return _met(tiles.join(data.select("cid", "data"), "cid").select(*_MET), made)
 
 
-def _met(tiles: DataFrame, percent: int, exact: bool) -> DataFrame:
+_MET = ["part", "tile", "chunk", "q", "own", "cid", "comp", "n", "data"]
+
+
+def _met(tiles: DataFrame, made) -> DataFrame:
     key = ["part", "tile", "chunk"]
-    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(percent, exact), "a long, b long")
+    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(made), "a long, b long")
 
 
 def _verified(sets: DataFrame, percent: int) -> DataFrame:
@@ -302,18 +317,19 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
     Sets of a part meet in tiles, with a few ANCHORS in all tiles of a large one, so that
     what is similar all over is one component before the rest is dealt out again.
     """
+    made = partial(Tile, percent=percent, exact=True)
     sizes = sets.groupBy("part").agg(F.count("*").alias("m"), F.sum("n").alias("mass"))
     sizes = materialise(sizes.select("part", "m", F.expr(f"cast(greatest(ceil(m / {TILE}), ceil(mass / {MASS})) as int)").alias("parts")).filter("m > 1"))
     own = sets.join(sizes, "part").withColumns({"comp": F.col("cid"), "q": F.lit(True), "own": F.lit(True), "chunk": F.lit(0)})
     anchor = F.expr(f"parts > 1 and pmod(xxhash64(cid, 2), cast(ceil(m / {ANCHORS}) as int)) = 0")
     home = F.expr("array(pmod(xxhash64(cid), parts))")
     tiles = own.withColumn("tile", F.explode(F.when(anchor, F.expr("sequence(0L, parts - 1L)")).otherwise(home)))
-    links = materialise(_met(tiles.select("part", "tile", "chunk", "q", "own", "cid", "comp", "n", "data"), percent, True))
+    links = materialise(_met(tiles.select(*_MET), made))
     large = sizes.filter("parts > 1").select("part")
     if large.limit(1).count():
         comp = components(links).withColumnRenamed("node", "cid")
-        rest = sets.join(large, "part").join(comp, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-        links = links.unionByName(materialise(_dealt(rest.select("part", "cid", "comp", "n", "data"), percent, True)))
+        rest = sets.select("part", "cid", "n").join(large, "part").join(comp, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+        links = links.unionByName(materialise(dealt(materialise(rest.select("part", "cid", "comp", "n")), sets, made)))
     return links
 
 
@@ -341,13 +357,13 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
     discard(points)
     release(spark)
 
-    rare = keyed.select("cid", "n", "head", F.posexplode("sig").alias("at", "h"))
+    rare = keyed.select("cid", F.inline(F.expr("transform(sig, (h, i) -> struct(h, i < head as first))")))
     shared = materialise(rare.groupBy("h").agg(F.count("*").alias("m"), F.min("cid").alias("r")).filter("m > 1"))
-    rows = materialise(rare.join(shared, "h").select("h", "cid", "r", F.expr("at < head").alias("first"), F.expr(f"{MORE} * {percent} * n div 10000 + 1").alias("least")))
+    every = materialise(rare.join(shared, "h").select("h", "cid", "r", "first"))
     discard(shared)
     release(spark)
-    enough = rows.groupBy("cid", "least").count().filter("count >= least").select("cid")
-    rows, every = materialise(rows.join(enough, "cid").drop("least")), rows
+    enough = every.groupBy("cid").count().join(keyed.select("cid", "n"), "cid").filter(F.expr(f"count > {MORE} * {percent} * n div 10000"))
+    rows = materialise(every.join(enough.select("cid", "n"), "cid"))
     discard(every)
 
     # Each point first tries the one, of the smallest points of its trees, that it shares most with.
@@ -356,17 +372,18 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
     star = rows.filter("cid > r").groupBy("cid", "r").count().groupBy("cid").agg(F.max(F.struct("count", (-F.col("r")).alias("r"))).alias("most"))
     star = materialise(star.select((-F.col("most.r")).alias("a"), F.col("cid").alias("b")))
     star = materialise(star.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long"))
-    comp = components(star)
-    placed = rows.filter("first").select("h", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    placed = materialise(placed.select("h", "cid", "comp"))
+    # What hangs on one point, over two steps, is joined already.
+    over = star.join(star.select(F.col("a").alias("top"), F.col("b").alias("a")), "a", "left").select(F.col("b").alias("cid"), F.coalesce("top", "a").alias("component"))
+    placed = rows.filter("first").select("h", "cid", "n").join(over, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+    placed = materialise(placed.select("h", "cid", "comp", "n"))
     discard(rows)
     # Shingles of one passage often have the same members; one tree serves all of them.
     same = [F.bit_xor(F.xxhash64("cid")).alias("x0"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("x1"), F.count("*").alias("rows")]
     split = placed.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *same).filter("c0 < c1")
     split = materialise(split.groupBy("x0", "x1", "rows").agg(F.min("h").alias("h")).select("h"))
-    open_ = placed.join(split, "h").join(weights, "cid").select(F.col("h").alias("part"), "cid", "comp", "n", F.col("vec").alias("data"))
-    found = materialise(_dealt(open_, percent, False))
-    for used in (placed, split):
+    open_ = materialise(placed.join(split, "h").select(F.col("h").alias("part"), "cid", "comp", "n"))
+    found = materialise(dealt(open_, keyed.select("cid", F.col("vec").alias("data")), partial(Tile, percent=percent, exact=False)))
+    for used in (placed, split, open_):
         discard(used)
     release(spark)
 
@@ -388,7 +405,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
 def _read_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """cid, blob, n, data of the classes wanted(cid, blob, doc_id, f1, n), read again from their texts."""
     kinds = wanted.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(2).collect()
-    sets = docs.join(wanted, "doc_id").select("cid", "blob", "n", "f1", "text").mapInArrow(_sets(size), "cid long, blob long, n long, data binary")
+    sets = thinned(docs, wanted, "doc_id").join(wanted, "doc_id").select("cid", "blob", "n", "f1", "text").mapInArrow(_sets(size), "cid long, blob long, n long, data binary")
     if any(r["doc_id"] is None for r in kinds):  # classes of rows without a doc_id
         nameless = docs.filter("doc_id is null").select("text").mapInArrow(_sets(size), "n long, f1 long, data binary")
         sets = sets.unionByName(nameless.join(wanted.filter("doc_id is null").drop("doc_id"), ["n", "f1"]).select("cid", "blob", "n", "data"))
