@@ -1,17 +1,19 @@
 """Near-duplicate passages by compact windows.
 
-A text's shingles have a Cartesian tree by hash value.  A node whose span holds at least the
-run is a compact window: every subsequence of its span that contains the node has the node's
-shingle as its signature.  Two passages of WORDS words with PERCENT of their shingles in
-common have at most one edit between equal words, so they share a run of at least 25 equal
-words (`run_words`), longer passages a longer one; a shared run has the same signature in both
-texts, and one of the stretches of words around it is compared.  So every such pair of
-passages meets, whichever hash function is used.
-
-Of the places that meet, each is joined with the first; places that prove to be in no passage
-with it are joined with the first places of all other surroundings, so that a document reaches
-its partners whatever else shares the words.  Joined places are verified on the texts: runs of
-equal words are chained over edits in both directions while the similarity holds.
+A text's tokens are its sequences of TOKEN words; their hashes have a Cartesian tree.  A node
+whose span holds at least `least` tokens is a compact window: every subsequence of its span
+that contains the node has the node's token as its min-hash signature.  Two passages of WORDS
+words with PERCENT of their shingles in common have at most one edit between equal words, so
+they share a run of at least 25 equal words (`run_words`), longer passages a longer one; the
+tokens of a shared run have the same signature in both texts.  So every such pair of passages
+meets, whichever hash function is used.
+
+Of the places that meet, each is joined with the first, and joined places are verified on the
+texts: runs of equal words are chained over edits in both directions while the similarity
+holds.  Places that prove to be in no passage are dealt by the runs of 25 words around them:
+two places of one near passage share one of these.  There the words around a place meet those
+of all others in tiles, bounded by counts of their shingles, and places that are similar go
+to the same verification.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import discard, materialise, release
+from quern.llm.common import discard, materialise, release, thinned
+from quern.llm.jaccard_join import Tile, dealt
 
 WORDS, SHINGLE, PERCENT = 50, 5, 80
-SPREAD = 8  # a context is this much shorter than a run
 _SALT = np.uint64(0x1234567)
-_BASE = 0x9E3779B97F4A7C15
+_GROUPS = 128
 
 
 def run_words(words: int, size: int, percent: int) -> int:
@@ -78,47 +81,129 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
+def token_words(words: int, size: int, percent: int) -> int:
+    """Words of a token: two thirds of the shared run, so that common phrases make no token."""
+    return max(size, run_words(words, size, percent) * 2 // 3)
+
+
 def _windows(words_least: int, size: int, percent: int):
-    run_least = run_words(words_least, size, percent)
-    least = run_least - size + 1
-    context = max(size, run_least - SPREAD)
-    starts = np.array(sorted({*range(0, context - size, SPREAD + 1), context - size}))
+    """The places (doc_id, key, at) of the compact windows' tokens."""
+    token = token_words(words_least, size, percent)
+    least = run_words(words_least, size, percent) - token + 1
 
     def run(batches):
         for batch in batches:
             for lo, hi in shingles.slices(batch.column("text")):
                 part = batch.slice(lo, hi - lo)
                 words, before = shingles.word_hashes(part.column("text"))
-                made, _ = shingles.sequences(words, before, size)
-                sides, _ = shingles.sequences(words, before, context)
-                power = np.multiply.accumulate(np.full(len(words) + 1, _BASE, np.uint64))
-                back = np.multiply.accumulate(np.full(len(words) + 1, pow(_BASE, -1, 1 << 64), np.uint64))
-                total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power[:-1])])
-                cols = [], [], [], []
+                made = shingles.mix(shingles.sequences(words, before, token)[0] ^ _SALT)
+                ids, keys, places = [], [], []
                 for d, a, b in zip(part.column("doc_id").to_pylist(), before[:-1].tolist(), before[1:].tolist(), strict=True):
                     if b - a < words_least or d is None:
                         continue
-                    own = made[a : b - size + 1]
-                    nodes = np.array(sorted(c for _, c, _ in compact_windows(shingles.mix(own ^ _SALT), least)), np.int64)
-                    # All that a least passage around the node can hold.
-                    s, e = np.maximum(a + nodes + size - words_least, a), np.minimum(a + nodes + words_least, b)
-                    near = shingles.mix((total[e] - total[s]) * back[s] + shingles.mix((a + nodes - s).astype(np.uint64)) + shingles.mix((e - a).astype(np.uint64) - nodes.astype(np.uint64) + np.uint64(1 << 32)))
-                    begin = a + nodes[:, None] - starts
-                    inside = (begin >= a) & (begin + context <= b)
-                    key = shingles.mix(sides[np.clip(begin, 0, len(sides) - 1)] + np.arange(1, len(starts) + 1, dtype=np.uint64))
+                    own = made[a : b - token + 1]
+                    nodes = np.array(sorted(c for _, c, _ in compact_windows(own, least)), np.int64)
+                    key = own[nodes]
                     if len(nodes) > 2:
                         # Of one word over and over, the first and the last place; verification aligns both its ends.
-                        same = (key[1:] == key[:-1]) & inside[1:] & inside[:-1] & (np.diff(nodes) == 1)[:, None]
-                        inside[1:-1] &= ~(same[1:] & same[:-1])
-                    key = key[inside]
-                    row = np.broadcast_to(np.arange(len(nodes))[:, None], inside.shape)[inside]
-                    for c, v in zip(cols, (np.full(len(row), d), key.view(np.int64), nodes[row], near[row].view(np.int64)), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in cols], names=["doc_id", "key", "at", "near"])
+                        same = (key[1:] == key[:-1]) & (np.diff(nodes) == 1)
+                        keep = np.ones(len(nodes), bool)
+                        keep[1:-1] = ~(same[1:] & same[:-1])
+                        nodes, key = nodes[keep], key[keep]
+                    ids.append(np.full(len(nodes), d))
+                    keys.append(key.view(np.int64))
+                    places.append(nodes.astype(np.int32))
+                cols = [np.concatenate(c).astype(t) if c else np.zeros(0, t) for c, t in ((ids, np.int64), (keys, np.int64), (places, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "key", "at"])
+
+    return run
+
+
+def _runs(words_least: int, size: int, percent: int):
+    """For places of a text (at, open), the runs of words over their token: (part, doc_id, start, open)."""
+    token, run_least = token_words(words_least, size, percent), run_words(words_least, size, percent)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in shingles.slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                words, before = shingles.word_hashes(part.column("text"))
+                made, inside = shingles.sequences(words, before, run_least)
+                rows = []
+                for d, a, b, places in zip(part.column("doc_id").to_pylist(), before[:-1].tolist(), before[1:].tolist(), part.column("places").to_pylist(), strict=True):
+                    starts: dict[int, list] = {}
+                    for p in places:
+                        for at in range(max(0, p["at"] + token - run_least), p["at"] + 1):
+                            if a + at < b and inside[a + at]:
+                                held = starts.setdefault(at, [False, p["comp"]])
+                                held[0] |= p["open"]
+                    rows += [(int(made[a + at].view(np.int64)), d, at, o, c) for at, (o, c) in starts.items()]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "doc_id", "start", "open", "comp"])
+
+    return run
+
+
+def _around(words_least: int, size: int, percent: int):
+    """For starts of runs of a text, the hashes of the words of all least passages over the run: (part, cid, comp, n, data)."""
+    run_least = run_words(words_least, size, percent)
+    spare = words_least - run_least
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in shingles.slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                words, before = shingles.word_hashes(part.column("text"))
+                rows = []
+                for d, a, b, places in zip(part.column("doc_id").to_numpy(), before[:-1].tolist(), before[1:].tolist(), part.column("places").to_pylist(), strict=True):
+                    for p in places:
+                        at = a + p["start"]
+                        if at + run_least <= b:
+                            s, e = max(a, at - spare), min(b, at + run_least + spare)
+                            rows.append((p["part"], p["cid"], p["comp"], np.concatenate([np.array([at - s, d], np.int64).view(np.uint64), words[s:e]]).tobytes()))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "cid", "comp", "data"])
 
     return run
 
 
+class Surroundings(Tile):
+    """Words around runs that meet; n is the shingles of a least passage for all, so bounds ask for its overlap."""
+
+    def __init__(self, rows: list[tuple], words: int, size: int, percent: int) -> None:
+        super().__init__(rows, percent, True)
+        self.words, self.size = words, size
+        self.kind = np.zeros(len(rows), np.int64)
+        self.places = [int(d[0]) for d in self.data]
+        self.docs = np.array([d[1] for d in self.data], np.uint64).view(np.int64)
+        self.data = [d[2:] for d in self.data]
+        made = [shingles.sequences(d, np.array([0, len(d)]), size)[0][: len(d) - size + 1] for d in self.data]
+        self.counts = np.array([np.minimum(np.bincount((m & np.uint64(_GROUPS - 1)).astype(np.int64), minlength=_GROUPS), 255) for m in made], np.uint8)
+
+    def _groups(self, a: np.ndarray, b: np.ndarray) -> int:
+        return _GROUPS
+
+    def _vectors(self, at: np.ndarray, g: int) -> np.ndarray:
+        return self.counts[at]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """The forest, and besides the link of each row to the first document of its tree where they are similar."""
+        found = list(self.pairs())
+        yield from found
+        row = {c: i for i, c in enumerate(self.cid.tolist())}
+        joined = sorted({row[c] for pair in found for c in pair}, key=lambda i: (self.docs[i], i))
+        first: dict[int, int] = {}
+        for i in joined:
+            root = first.setdefault(int(self.label[i]), i)
+            if self.docs[root] < self.docs[i] and self.similar(i, root):
+                yield min(int(self.cid[i]), int(self.cid[root])), max(int(self.cid[i]), int(self.cid[root]))
+
+    def similar(self, x: int, y: int) -> bool:
+        return bool(passages(self.data[x], self.data[y], [(self.places[x], self.places[y])], self.words, self.size, self.percent))
+
+
 def _chain(mx: np.ndarray, my: np.ndarray, i: int, j: int, size: int, percent: int, most: int) -> list[tuple[int, int, int]]:
     """(x, y, gain) at the ends of the runs that follow the run up to shingles i, j; gain is linear in the shingles.
 
@@ -272,45 +357,58 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
 
     Columns: doc_id, of_doc_id (the smaller doc_id), word ranges in both and the similarity of
     their `size`-word shingles (percent / 100 at least).  Each passage of a document is paired
-    with the first document that holds its words, or where that fails with all earlier ones of
-    other surroundings that do, not with every copy.  A pair has a row for each of its
-    passages.  Texts of fewer words, null texts and rows with a null doc_id take no part; rows
+    with the first document that holds its words; where that fails, with documents that the
+    passage's others are not paired with yet (a forest of each tile), not with every copy.  A
+    pair has a row for each of its passages.  Texts of fewer words, null texts and rows with a null doc_id take no part; rows
     repeated with their doc_id are not paired with each other; an empty table gives no rows.
     Other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    made = materialise(docs.mapInArrow(_windows(words, size, percent), "doc_id long, key long, at long, near long"))
-    first = F.min(F.struct("doc_id", "at"))
-    groups = made.groupBy("key").agg(first.alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
+    token, tries = token_words(words, size, percent), (words, size, percent)
+    made = materialise(docs.mapInArrow(_windows(*tries), "doc_id long, key long, at int"))
+    groups = made.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
     groups = materialise(groups.select("key", F.col("f.doc_id").alias("b"), F.col("f.at").alias("j")))
     release(spark)
     shared = materialise(made.join(groups, "key"))
     discard(made)
+    discard(groups)
     release(spark)
 
-    x, y = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-
-    def verified(met: DataFrame) -> DataFrame:
-        pairs = materialise(met.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("places")))
-        release(spark)
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "text_a", "text_b")
-        return materialise(both.mapInArrow(_verified(words, size, percent), "doc_id long, of_doc_id long, start_word long, end_word long, of_start_word long, of_end_word long, similarity double"))
-
-    out = verified(shared.filter("doc_id > b").select(F.col("doc_id").alias("a"), F.col("at").alias("i"), "b", "j"))
-    # Places that lie in no passage with the first place of their key, once for each surroundings.
-    place = shared.filter("doc_id > b").select("doc_id", "at").distinct()
-    within = place.join(out.select("doc_id", "start_word", "end_word"), "doc_id").filter(f"start_word <= at and at + {size} <= end_word")
-    alone = materialise(place.join(within.select("doc_id", "at").distinct(), ["doc_id", "at"], "left_anti"))
+    out = _verify(docs, shared.filter("doc_id > b").select(F.col("doc_id").alias("a"), F.col("at").alias("i"), "b", "j"), tries)
+    # Places that lie in no passage, and what shares their tokens.
+    within = shared.filter("doc_id > b").select("doc_id", "at").distinct().join(out.select("doc_id", "start_word", "end_word", "of_doc_id"), "doc_id")
+    within = materialise(within.filter(f"start_word <= at and at + {token} <= end_word").groupBy("doc_id", "at").agg(F.min("of_doc_id").alias("comp")))
+    marked = materialise(shared.join(within, ["doc_id", "at"], "left").withColumn("open", F.expr("comp is null and doc_id > b")))
+    left = marked.filter("open").select("key").distinct()
+    places = marked.join(left, "key").withColumn("comp", F.coalesce("comp", "doc_id")).groupBy("doc_id", "at").agg(F.max("open").alias("open"), F.min("comp").alias("comp"))
+    places = materialise(places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "open", "comp")).alias("places")))
+    for used in (shared, within, marked):
+        discard(used)
     release(spark)
-    left = shared.filter("doc_id > b").join(alone, ["doc_id", "at"]).select("key", "near", F.col("doc_id").alias("a"), F.col("at").alias("i"))
-    left = materialise(left)
-    kinds = materialise(shared.join(left.select("key").distinct(), "key").groupBy("key", "near", "b").agg(first.alias("f")).select("key", "near", F.col("f.doc_id").alias("c"), F.col("f.at").alias("j"), "b"))
-    discard(shared)
+    runs = materialise(thinned(docs, places, "doc_id").join(places, "doc_id").mapInArrow(_runs(*tries), "part long, doc_id long, start int, open boolean, comp long"))
+    several = runs.groupBy("part").agg(F.max("open").alias("any"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("any and lo < hi")
+    kept = materialise(runs.join(several.select("part"), "part").withColumn("cid", F.monotonically_increasing_id()))
+    discard(runs)
     release(spark)
-    # A place whose surroundings an earlier document has goes to that one; the others to all other surroundings.
-    own = left.join(kinds.select("key", "near", "c", "j"), ["key", "near"])
-    copies = own.filter("a > c").select("a", "i", F.col("c").alias("b"), "j")
-    heads = own.filter("a = c and i = j").select("key", "a", "i")
-    others = heads.join(kinds.filter("c <> b").select("key", F.col("c").alias("b"), "j"), "key").filter("a > b").select("a", "i", "b", "j")
-    return out.unionByName(verified(copies.unionByName(others))).distinct()
+    if not kept.limit(1).count():
+        return out
+    wanted = kept.groupBy("doc_id").agg(F.collect_list(F.struct("part", "start", "cid", F.expr("xxhash64(if(open, cid, comp), open)").alias("comp"))).alias("places"))
+    near = materialise(thinned(docs, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(_around(*tries), "part long, cid long, comp long, data binary"))
+    met = dealt(near.select("part", "cid", "comp", F.lit(words - size + 1).alias("n")), near, partial(Surroundings, words=words, size=size, percent=percent))
+    x, y = (kept.select(F.col("cid").alias(c), F.col("doc_id").alias(f"d{c}"), F.col("start").alias(f"s{c}")) for c in "ab")
+    met = materialise(met.join(x, "a").join(y, "b").filter("da <> db"))
+    discard(near)
+    more = met.select(*[F.expr(f"if(da > db, {p}, {q})").alias(c) for p, q, c in (("da", "db", "a"), ("sa", "sb", "i"), ("db", "da", "b"), ("sb", "sa", "j"))])
+    return out.unionByName(_verify(docs, more, tries)).distinct()
+
+
+def _verify(docs: DataFrame, met: DataFrame, tries: tuple[int, int, int]) -> DataFrame:
+    """The passages around places (a, i, b, j) that meet in texts a and b."""
+    pairs = materialise(met.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("places")))
+    x, y = (thinned(docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), pairs, c) for c in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "text_a", "text_b")
+    out = materialise(both.mapInArrow(_verified(*tries), "doc_id long, of_doc_id long, start_word long, end_word long, of_start_word long, of_end_word long, similarity double"))
+    discard(pairs)
+    release(docs.sparkSession)
+    return out
