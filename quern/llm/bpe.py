@@ -254,7 +254,7 @@ class Encoder:
         return b"".join(out)
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
+def encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
     """One encoder for each vocabulary and pattern in a worker, kept over its tasks."""
     key = hash((pattern, frozenset(ranks.items())))
     if key not in _MADE:
@@ -277,15 +277,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = _encoder(ranks, pattern)
-        for part in _by_bytes(batches):
+        made = encoder(ranks, pattern)
+        for part in by_bytes(batches):
             ids = _id_lists([made(text) for text in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts whose texts have a bound in bytes together, or one row with a longer one."""
     for batch in batches:
         for lo, hi in slices(batch.column("text"), 1 << 20):
@@ -338,10 +338,10 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: in
     """decode(encode(docs)) in one worker: doc_id, ids and the text decoded from the ids; the cases are theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _encoder(ranks, pattern), Decoder(ranks, chunk)
-        for part in _by_bytes(batches):
-            ids = _id_lists([encoder(text) for text in part.column("text").to_pylist()])
-            texts = pa.array([decoder(x.values) for x in ids], pa.string())
+        encode_, decode_ = encoder(ranks, pattern), Decoder(ranks, chunk)
+        for part in by_bytes(batches):
+            ids = _id_lists([encode_(text) for text in part.column("text").to_pylist()])
+            texts = pa.array([decode_(x.values) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, texts], names=["doc_id", "ids", "text"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, text string")

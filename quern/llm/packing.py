@@ -4,6 +4,8 @@ Sequences longer than a row are split losslessly into full rows and a rest.  Wit
 of rows of a task, segments are placed longest first into the open bin with the least room
 that holds them, found in a segment tree over room sizes.  Nothing is shuffled, and a task
 holds one window at a time, so memory has the window's bound whatever the input.
+
+An id takes two bytes where the vocabulary, with its end and padding ids, fits, else four.
 """
 
 from __future__ import annotations
@@ -15,11 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import bpe
+
 ROW_IDS, WINDOW_IDS = 4096, 4 << 20
-END, PAD = 256, 257
 PACKED = "pack_id long, ids binary, n_ids int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>"
 
 
+def id_type(ids: int) -> str:
+    """The little-endian type that holds the ids 0 to ids - 1."""
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
 class RoomTree:
     """Open bins by their room (0..capacity); finds the smallest room of at least a size."""
 
@@ -68,23 +76,31 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def byte_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, ids (little-endian 16-bit): the UTF-8 bytes of each text and END; null counts as empty."""
+def token_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id, ids (binary, id_type of the vocabulary): the byte-level BPE ids of each text and an end id.
+
+    The end id follows the vocabulary, the padding id follows it.  A null text counts as
+    empty and is the end id alone; repeated rows and null doc_ids are kept; other columns are
+    not read.
+    """
+    end = max(ranks.values()) + 1
+    kind = id_type(end + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [np.append(np.frombuffer((t.as_py() or "").encode(), np.uint8).astype("<u2"), np.uint16(END)).tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        encoder, last = bpe.encoder(ranks, pattern), np.array([end], kind).tobytes()
+        for part in bpe.by_bytes(batches):
+            ids = [np.frombuffer(encoder(t), "<i4").astype(kind).tobytes() + last for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def pack(sequences: DataFrame, *, row_ids: int = ROW_IDS, window_ids: int = WINDOW_IDS, pad: int = PAD) -> DataFrame:
-    """Rows of exactly row_ids 16-bit ids from sequences(doc_id, ids binary of 16-bit ids).
+def pack(sequences: DataFrame, vocabulary: int, *, row_ids: int = ROW_IDS, window_ids: int = WINDOW_IDS) -> DataFrame:
+    """Rows of exactly row_ids ids from sequences(doc_id, ids binary of id_type(vocabulary)).
 
-    Columns: pack_id (unique), ids (padded with pad), n_ids (without padding), cu_seqlens
+    vocabulary counts all ids, the last of which is the padding.
+
+    Columns: pack_id (unique), ids (padded), n_ids (without padding), cu_seqlens
     (0 and the end of each segment), position_resets (where positions start again from 0: the
     segment starts), doc_ids and doc_offsets (each segment's document and the place of its
     first id there).  Every id of every sequence is in one row, once.  Null or empty ids give
@@ -92,15 +108,17 @@ def pack(sequences: DataFrame, *, row_ids: int = ROW_IDS, window_ids: int = WIND
     an empty table gives no rows.
     """
 
+    filler = np.array([vocabulary - 1], id_type(vocabulary)).tobytes()
+    width = len(filler)
+
     def window(held: list[tuple[int, bytes]], task: int, made: int) -> Iterator[pa.RecordBatch]:
-        segments = [(d, at, ids[2 * at : 2 * (at + row_ids)]) for d, ids in held for at in range(0, len(ids) // 2, row_ids)]
-        filler = np.array([pad], "<u2").tobytes()
-        bins = best_fit([len(s[2]) // 2 for s in segments], row_ids)
+        segments = [(d, at, ids[width * at : width * (at + row_ids)]) for d, ids in held for at in range(0, len(ids) // width, row_ids)]
+        bins = best_fit([len(s[2]) // width for s in segments], row_ids)
         for lo in range(0, len(bins), 512):
             cols: list[list] = [[] for _ in range(7)]
             for b, members in enumerate(bins[lo : lo + 512], made + lo):
                 ids = b"".join(segments[i][2] for i in members)
-                ends = np.cumsum([0] + [len(segments[i][2]) // 2 for i in members]).tolist()
+                ends = np.cumsum([0] + [len(segments[i][2]) // width for i in members]).tolist()
                 row = (task << 33 | b, ids + filler * (row_ids - ends[-1]), ends[-1], ends, ends[:-1], [segments[i][0] for i in members], [segments[i][1] for i in members])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
@@ -114,7 +132,7 @@ def pack(sequences: DataFrame, *, row_ids: int = ROW_IDS, window_ids: int = WIND
         for batch in batches:
             for d, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
                 held.append((d, ids.as_py() or b""))
-                size += len(held[-1][1]) // 2
+                size += len(held[-1][1]) // width
                 if size >= window_ids:
                     for out in window(held, task, made):
                         made += out.num_rows
@@ -130,10 +148,12 @@ def write_packed(packed: DataFrame, path: str) -> None:
     packed.write.parquet(path)
 
 
-def unpack(packed: DataFrame) -> DataFrame:
+def unpack(packed: DataFrame, vocabulary: int) -> DataFrame:
     """doc_id, offset, ids of every segment: the inverse of pack."""
-    return packed.select("ids", F.explode(F.arrays_zip("doc_ids", "doc_offsets", "position_resets", F.expr("slice(cu_seqlens, 2, size(position_resets))").alias("ends"))).alias("s")).select(
+    width = np.dtype(id_type(vocabulary)).itemsize
+    ends = F.expr("slice(cu_seqlens, 2, size(position_resets))").alias("ends")
+    return packed.select("ids", F.explode(F.arrays_zip("doc_ids", "doc_offsets", "position_resets", ends)).alias("s")).select(
         F.col("s.doc_ids").alias("doc_id"),
         F.col("s.doc_offsets").alias("offset"),
-        F.expr("substring(ids, 2 * s.position_resets + 1, 2 * (s.ends - s.position_resets))").alias("ids"),
+        F.expr(f"substring(ids, {width} * s.position_resets + 1, {width} * (s.ends - s.position_resets))").alias("ids"),
     )

@@ -51,7 +51,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.byte_ids(_table(spark, sf_dir, "documents")))
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = packing.token_ids(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return packing.pack(ids, max(ranks.values()) + 3)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
