@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import small_batches
 from quern.llm.shingles import slices
 
 #: Bounds of what one worker remembers, in entries; PIECE_BYTES bounds a remembered piece, so all have a bound in bytes.
@@ -344,6 +345,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: in
             texts = pa.array([decode_(x.values) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, texts], names=["doc_id", "ids", "text"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 

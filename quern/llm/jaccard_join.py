@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import components, discard, materialise, release, thinned
+from quern.llm.common import components, discard, materialise, release, small_batches, thinned
 
 CELL_BITS = 21
 TILE, MASS = 2048, 2 << 20  # rows and shingles that meet in one tree
@@ -164,17 +164,22 @@ class RTree:
         half = len(order) // 2
         return top, least, most, None, (self._node(order[:half]), self._node(order[half:]))
 
-    def search(self, vectors: np.ndarray, sizes: np.ndarray, percent: int, allowed=lambda row, qs: qs) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, positions of queries) whose bound reaches the similarity, best first, among those allowed for the row."""
+    def search(self, vectors: np.ndarray, sizes: np.ndarray, percent: int, allowed=lambda row, qs: qs, exact_sizes: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, positions of queries) whose bound reaches the similarity, best first, among those allowed for the row.
+
+        Without exact_sizes the sizes are only the least that a set may have.
+        """
         stack = [(self.root, np.arange(len(sizes)))]
         while stack:
             (top, least, most, rows, kids), qs = stack.pop()
-            qs = qs[(100 * sizes[qs] >= percent * least) & (100 * most >= percent * sizes[qs])]
+            if exact_sizes:
+                qs = qs[(100 * sizes[qs] >= percent * least) & (100 * most >= percent * sizes[qs])]
             if not len(qs):
                 continue
             if rows is None:
                 bound = np.minimum(vectors[qs], top).sum(1, dtype=np.int64)
-                qs = qs[bound >= _needed(sizes[qs], np.maximum(least, -(-percent * sizes[qs] // 100)), percent)]
+                other = np.maximum(least, -(-percent * sizes[qs] // 100)) if exact_sizes else least
+                qs = qs[bound >= _needed(sizes[qs], other, percent)]
                 if len(qs):
                     stack += [(k, qs) for k in kids]
                 continue
@@ -184,7 +189,9 @@ class RTree:
                     continue
                 bound = np.minimum(vectors[own], self.vectors[r]).sum(1, dtype=np.int64)
                 spare = bound - _needed(sizes[own], self.sizes[r], percent)
-                fits = (spare >= 0) & (100 * np.minimum(sizes[own], self.sizes[r]) >= percent * np.maximum(sizes[own], self.sizes[r]))
+                fits = spare >= 0
+                if exact_sizes:
+                    fits &= 100 * np.minimum(sizes[own], self.sizes[r]) >= percent * np.maximum(sizes[own], self.sizes[r])
                 if fits.any():
                     own, spare = own[fits], spare[fits]
                     yield r, own[np.argsort(-spare, kind="stable")]
@@ -200,7 +207,7 @@ class Tile:
         q, own, cid, comp, n = (np.array(c) for c in list(zip(*rows, strict=True))[:5])
         self.q, self.own, self.cid, self.n = q.astype(bool), own.astype(bool), cid, n
         _, self.label = np.unique(comp, return_inverse=True)
-        self.percent, self.exact = percent, exact
+        self.percent, self.exact, self.exact_sizes = percent, exact, True
         self.data = [np.frombuffer(r[5], np.uint64 if exact else np.uint8) for r in rows]
         # Sizes of one class are within a factor of two, and only neighbouring classes can be similar.
         self.kind = np.array([len(d).bit_length() for d in self.data])
@@ -245,7 +252,7 @@ class Tile:
             at = queries[qs]
             return qs[(self.label[at] != self.label[others[r]]) & ~(both[at] & both[others[r]] & (self.kind[at] == self.kind[others[r]]) & (at > others[r]))]
 
-        for r, qs in RTree(vo, self.n[others]).search(vq, self.n[queries], self.percent, allowed):
+        for r, qs in RTree(vo, self.n[others]).search(vq, self.n[queries], self.percent, allowed, self.exact_sizes):
             y = int(others[r])
             for x in queries[qs].tolist():
                 if self.label[x] != self.label[y] and (not self.exact or self.similar(x, y)):
@@ -344,6 +351,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
     rows each get a row.  Other columns are not read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     cells = docs.select("text").mapInArrow(_cells(size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     crowd = {r["cell"]: int(r["n"]).bit_length() for r in cells}  # a fourth of the cells at most, whatever the input

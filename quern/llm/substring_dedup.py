@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import discard, materialise, release, thinned
+from quern.llm.common import discard, materialise, release, small_batches, thinned
 from quern.llm.jaccard_join import Tile, dealt
 
 WORDS, SHINGLE, PERCENT = 50, 5, 80
@@ -170,7 +170,7 @@ def _around(words_least: int, size: int, percent: int):
 
 
 class Surroundings(Tile):
-    """Words around runs that meet; n is the shingles of a least passage for all, so bounds ask for its overlap."""
+    """Words around runs that meet; a row's size is the least number of different shingles that a passage in it has."""
 
     def __init__(self, rows: list[tuple], words: int, size: int, percent: int) -> None:
         super().__init__(rows, percent, True)
@@ -179,8 +179,12 @@ class Surroundings(Tile):
         self.places = [int(d[0]) for d in self.data]
         self.docs = np.array([d[1] for d in self.data], np.uint64).view(np.int64)
         self.data = [d[2:] for d in self.data]
-        made = [shingles.sequences(d, np.array([0, len(d)]), size)[0][: len(d) - size + 1] for d in self.data]
-        self.counts = np.array([np.minimum(np.bincount((m & np.uint64(_GROUPS - 1)).astype(np.int64), minlength=_GROUPS), 255) for m in made], np.uint8)
+        self.made = [shingles.sequences(d, np.array([0, len(d)]), size)[0][: len(d) - size + 1] for d in self.data]
+        self.sorted = [np.sort(m) for m in self.made]
+        self.news = [_new(m, words - size + 1) for m in self.made]
+        self.n = np.array([int(new.sum(1).min()) if len(new) else words for new in self.news])
+        self.exact_sizes = False
+        self.counts = np.array([np.bincount((np.unique(m) & np.uint64(_GROUPS - 1)).astype(np.int64), minlength=_GROUPS) for m in self.made], np.uint8)
 
     def _groups(self, a: np.ndarray, b: np.ndarray) -> int:
         return _GROUPS
@@ -201,6 +205,12 @@ class Surroundings(Tile):
                 yield min(int(self.cid[i]), int(self.cid[root])), max(int(self.cid[i]), int(self.cid[root]))
 
     def similar(self, x: int, y: int) -> bool:
+        n = self.words - self.size + 1
+        for a, new, b in ((self.made[x], self.news[x], self.sorted[y]), (self.made[y], self.news[y], self.sorted[x])):
+            # Some least passage must have enough of its different shingles in the other.
+            has = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+            if not len(new) or not (100 * (new & np.lib.stride_tricks.sliding_window_view(has, n)).sum(1) >= self.percent * new.sum(1)).any():
+                return False
         return bool(passages(self.data[x], self.data[y], [(self.places[x], self.places[y])], self.words, self.size, self.percent))
 
 
@@ -234,13 +244,20 @@ def _agree(x: np.ndarray, y: np.ndarray) -> int:
     return n
 
 
-def _able(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """Whether each window of n shingles of x has enough of its different ones anywhere in y."""
+def _new(x: np.ndarray, n: int) -> np.ndarray:
+    """For each window of n shingles of x, which of them the window does not have before."""
+    if len(x) < n:
+        return np.zeros((0, n), bool)
     order = np.argsort(x, kind="stable")
     before = np.full(len(x), -1)
     same = x[order[1:]] == x[order[:-1]]
     before[order[1:][same]] = order[:-1][same]
-    new = np.lib.stride_tricks.sliding_window_view(before, n) < np.arange(len(x) - n + 1)[:, None]
+    return np.lib.stride_tricks.sliding_window_view(before, n) < np.arange(len(x) - n + 1)[:, None]
+
+
+def _able(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Whether each window of n shingles of x has enough of its different ones anywhere in y."""
+    new = _new(x, n)
     has = np.lib.stride_tricks.sliding_window_view(np.isin(x, y), n)
     return 100 * (new & has).sum(1) >= percent * new.sum(1)
 
@@ -364,6 +381,7 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
     Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     token, tries = token_words(words, size, percent), (words, size, percent)
     made = materialise(docs.mapInArrow(_windows(*tries), "doc_id long, key long, at int"))
@@ -387,9 +405,16 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
         discard(used)
     release(spark)
     runs = materialise(thinned(docs, places, "doc_id").join(places, "doc_id").mapInArrow(_runs(*tries), "part long, doc_id long, start int, open boolean, comp long"))
-    several = runs.groupBy("part").agg(F.max("open").alias("any"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("any and lo < hi")
-    kept = materialise(runs.join(several.select("part"), "part").withColumn("cid", F.monotonically_increasing_id()))
+    several = runs.groupBy("part").agg(F.max("open").alias("any"), F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("hi")).filter("any and f.doc_id < hi")
+    several = materialise(several.select("part", F.col("f.start").alias("s")))
+    kept = materialise(runs.join(several, "part"))
     discard(runs)
+    # Of runs that lie at the same distances in the same documents, one in each stretch of a run's length serves all.
+    same = [F.bit_xor(F.xxhash64("doc_id", F.col("start") - F.col("s"), F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    one = kept.groupBy("part").agg(*same, F.first("s").alias("s")).groupBy("x0", "x1", F.expr(f"s div {run_words(*tries)}").alias("k")).agg(F.min_by("part", "s").alias("part"))
+    kept, every = materialise(kept.join(one.select("part"), "part").drop("s").withColumn("cid", F.monotonically_increasing_id())), kept
+    discard(every)
+    discard(several)
     release(spark)
     if not kept.limit(1).count():
         return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise
+from quern.llm.common import materialise, small_batches
 
 SAMPLE, TERMS = 40_000, 4096
 STEMS = (4, 5, 6)
@@ -229,6 +229,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE,
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, sample: int, terms: int) -> tuple[np.ndarray, Model]:
+    small_batches(docs.sparkSession)
     counts = count_trigrams(docs)
     return counts, fit(docs, labels, counts, sample=sample, terms=terms)
 
