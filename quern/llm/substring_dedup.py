@@ -35,7 +35,7 @@ from quern.llm.jaccard_join import Tile, dealt
 
 WORDS, SHINGLE, PERCENT = 50, 5, 80
 _SALT = np.uint64(0x1234567)
-_GROUPS = 128
+_GROUPS = 512
 
 
 def run_words(words: int, size: int, percent: int) -> int:
@@ -174,17 +174,28 @@ class Surroundings(Tile):
 
     def __init__(self, rows: list[tuple], words: int, size: int, percent: int) -> None:
         super().__init__(rows, percent, True)
-        self.words, self.size = words, size
+        self.words, self.size, self.exact_sizes = words, size, False
         self.kind = np.zeros(len(rows), np.int64)
         self.places = [int(d[0]) for d in self.data]
         self.docs = np.array([d[1] for d in self.data], np.uint64).view(np.int64)
+        # Equal surroundings are searched once; those shorter than a passage hold none.
+        alike: dict[tuple[int, bytes], list[int]] = {}
+        for i, row in enumerate(rows):
+            if len(row[5]) // 8 - 2 >= words:
+                alike.setdefault((self.places[i], row[5][16:]), []).append(i)
+        self.alike = list(alike.values())
         self.data = [d[2:] for d in self.data]
-        self.made = [shingles.sequences(d, np.array([0, len(d)]), size)[0][: len(d) - size + 1] for d in self.data]
-        self.sorted = [np.sort(m) for m in self.made]
-        self.news = [_new(m, words - size + 1) for m in self.made]
-        self.n = np.array([int(new.sum(1).min()) if len(new) else words for new in self.news])
-        self.exact_sizes = False
-        self.counts = np.array([np.bincount((np.unique(m) & np.uint64(_GROUPS - 1)).astype(np.int64), minlength=_GROUPS) for m in self.made], np.uint8)
+        q, own = self.q, self.own
+        self.q, self.own, self.n = np.zeros(len(rows), bool), np.zeros(len(rows), bool), np.full(len(rows), words)
+        self.made, self.sorted, self.news = {}, {}, {}
+        self.counts = np.zeros((len(rows), _GROUPS), np.uint8)
+        for group in self.alike:
+            i = group[0]
+            self.q[i], self.own[i] = q[group].any(), own[group].any()
+            m = self.made[i] = shingles.sequences(self.data[i], np.array([0, len(self.data[i])]), size)[0][: len(self.data[i]) - size + 1]
+            self.sorted[i], new = np.sort(m), _new(m, words - size + 1)
+            self.news[i], self.n[i] = new, int(new.sum(1).min())
+            self.counts[i] = np.bincount((np.unique(m) & np.uint64(_GROUPS - 1)).astype(np.int64), minlength=_GROUPS)
 
     def _groups(self, a: np.ndarray, b: np.ndarray) -> int:
         return _GROUPS
@@ -194,14 +205,23 @@ class Surroundings(Tile):
 
     def links(self) -> Iterator[tuple[int, int]]:
         """The forest, and besides the link of each row to the first document of its tree where they are similar."""
-        found = list(self.pairs())
+        found, one = [], {}
+        for group in self.alike:
+            for i in group:
+                one[i] = group[0]
+                if self.label[i] != self.label[group[0]]:
+                    self.label[self.label == self.label[i]] = self.label[group[0]]
+                    found.append((min(int(self.cid[i]), int(self.cid[group[0]])), max(int(self.cid[i]), int(self.cid[group[0]]))))
+        found += self.pairs()
         yield from found
         row = {c: i for i, c in enumerate(self.cid.tolist())}
         joined = sorted({row[c] for pair in found for c in pair}, key=lambda i: (self.docs[i], i))
         first: dict[int, int] = {}
+        known: dict[tuple[int, int], bool] = {}
         for i in joined:
             root = first.setdefault(int(self.label[i]), i)
-            if self.docs[root] < self.docs[i] and self.similar(i, root):
+            if self.docs[root] < self.docs[i] and (one[i] == one[root] or known.setdefault((one[i], one[root]), False) or self.similar(one[i], one[root])):
+                known[one[i], one[root]] = True
                 yield min(int(self.cid[i]), int(self.cid[root])), max(int(self.cid[i]), int(self.cid[root]))
 
     def similar(self, x: int, y: int) -> bool:
@@ -209,15 +229,17 @@ class Surroundings(Tile):
         for a, new, b in ((self.made[x], self.news[x], self.sorted[y]), (self.made[y], self.news[y], self.sorted[x])):
             # Some least passage must have enough of its different shingles in the other.
             has = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
-            if not len(new) or not (100 * (new & np.lib.stride_tricks.sliding_window_view(has, n)).sum(1) >= self.percent * new.sum(1)).any():
+            if not (100 * (new & np.lib.stride_tricks.sliding_window_view(has, n)).sum(1) >= self.percent * new.sum(1)).any():
                 return False
         return bool(passages(self.data[x], self.data[y], [(self.places[x], self.places[y])], self.words, self.size, self.percent))
 
 
-def _chain(mx: np.ndarray, my: np.ndarray, i: int, j: int, size: int, percent: int, most: int) -> list[tuple[int, int, int]]:
+def _chain(mx: np.ndarray, my: np.ndarray, i: int, j: int, percent: int, most: int, held: int) -> list[tuple[int, int, int]]:
     """(x, y, gain) at the ends of the runs that follow the run up to shingles i, j; gain is linear in the shingles.
 
-    A range's shingles reach the similarity when its gains add up to 0 at least.
+    A range's shingles reach the similarity when its gains add up to 0 at least.  The chain
+    ends where the gain of the run it starts from, held, is used up: what follows is reached
+    from a longer run there, if at all.
     """
     out, gain = [], 0
     while i < len(mx) and j < len(my):
@@ -228,6 +250,8 @@ def _chain(mx: np.ndarray, my: np.ndarray, i: int, j: int, size: int, percent: i
         u, v = at[np.lexsort((abs(at[:, 0] - at[:, 1]), at.sum(1)))[0]].tolist()
         n = _agree(mx[i + u :], my[j + v :])
         gain += (100 + percent) * n - percent * (u + v + 2 * n)
+        if held + gain < 0:
+            break
         i, j = i + u + n, j + v + n
         out.append((i, j, gain))
     return out
@@ -308,8 +332,9 @@ def passages(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], words_
         e0, s0 = _agree(mx[i:], my[j:]), _agree(mx[:i][::-1], my[:j][::-1])
         tried[i - j] = i + e0
         s, e, t, f = i - s0, i + e0, j - s0, j + e0  # shingles
-        right = [(e, f, 0), *_chain(mx[e:], my[f:], 0, 0, size, percent, 4 * size)]
-        left = [(s, t, 0), *_chain(mx[:s][::-1], my[:t][::-1], 0, 0, size, percent, 4 * size)]
+        held = (100 - percent) * (e - s)
+        right = [(e, f, 0), *_chain(mx[e:], my[f:], 0, 0, percent, 4 * size, held)]
+        left = [(s, t, 0), *_chain(mx[:s][::-1], my[:t][::-1], 0, 0, percent, 4 * size, held)]
         right[1:] = [(e + a, f + b, g) for a, b, g in right[1:]]
         left[1:] = [(s - a, t - b, g) for a, b, g in left[1:]]
         (xe, ye, ge), (xs, ys, gs) = (np.array(c, np.int64).T for c in (right, left))
@@ -360,6 +385,9 @@ def _verified(words_least: int, size: int, percent: int):
             for a, b, p, q, places in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), of_x, of_y, batch.column("places"), strict=True):
                 # A doc_id that stands for several texts brings places that are not its text's.
                 x, y = xs[p], ys[q]
+                if len(x) == len(y) and (x == y).all():
+                    rows.append((a, b, 0, len(x), 0, len(x), 1.0))
+                    continue
                 met = [(i, j) for i, j in {(m["i"], m["j"]) for m in places.as_py()} if i + size <= len(x) and j + size <= len(y) and (x[i : i + size] == y[j : j + size]).all()]
                 rows += [(a, b, *got) for got in passages(x, y, met, words_least, size, percent)] if met else []
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
