@@ -9,6 +9,7 @@ MACROS = r"""
 q_length(s STRING) INT = octet_length(s)
 strlen(s STRING) INT = octet_length(s)
 q_substr(s STRING, a INT, n INT) STRING = substring(s, greatest(a, 1), greatest(0, a + n - greatest(a, 1)))
+q_substr2(s STRING, a INT) STRING = substring(s, greatest(a, 1))
 q_trim(s STRING) STRING = trim(BOTH ' \t\n\r' FROM s)
 q_ltrim(s STRING) STRING = trim(LEADING ' \t\n\r' FROM s)
 q_rtrim(s STRING) STRING = trim(TRAILING ' \t\n\r' FROM s)
@@ -32,7 +33,7 @@ quote_nullable(s STRING) STRING = coalesce(concat('\'', replace(s, '\'', '\'\'')
 -- numbers
 round_half_even(x DOUBLE, d INT) DOUBLE = if(d = 0, bround(x), bround(x * pow(10, d)) / pow(10, d))
 q_sqrt(x DOUBLE) DOUBLE = CASE WHEN x >= 0 THEN sqrt(x) END
-q_mod(a DOUBLE, b DOUBLE) DOUBLE = try_mod(a, b)
+q_log2(b DOUBLE, x DOUBLE) DOUBLE = CASE WHEN b > 0 AND b <> 1 AND x > 0 THEN log(b, x) END
 q_log(x DOUBLE) DOUBLE = CASE WHEN x > 0 THEN log10(x) END
 q_asin(x DOUBLE) DOUBLE = CASE WHEN x BETWEEN -1 AND 1 THEN asin(x) END
 q_acos(x DOUBLE) DOUBLE = CASE WHEN x BETWEEN -1 AND 1 THEN acos(x) END
@@ -68,8 +69,9 @@ q_date_format(t TIMESTAMP, f STRING) STRING = date_format(t, q_java_format(f))
 date_parse(s STRING, f STRING) TIMESTAMP = try_to_timestamp(s, q_java_format(f))
 q_from_unixtime(i BIGINT) TIMESTAMP = timestamp_seconds(i)
 to_unixtime(t TIMESTAMP) BIGINT = unix_timestamp(t)
-at_timezone(t TIMESTAMP, z STRING) TIMESTAMP = from_utc_timestamp(t, z)
-q_timezone(z STRING, t TIMESTAMP) TIMESTAMP = to_utc_timestamp(t, z)
+q_zone(z STRING) STRING = CASE WHEN try_to_timestamp(concat('2000-01-01 00:00:00 ', z), 'yyyy-MM-dd HH:mm:ss VV') IS NOT NULL THEN z END
+at_timezone(t TIMESTAMP, z STRING) TIMESTAMP = from_utc_timestamp(t, q_zone(z))
+q_timezone(z STRING, t TIMESTAMP) TIMESTAMP = to_utc_timestamp(t, q_zone(z))
 from_iso8601_timestamp(s STRING) BIGINT = unix_millis(try_to_timestamp(s))
 from_iso8601_date(s STRING) DATE = try_to_date(s, 'yyyy-MM-dd')
 to_iso8601(i BIGINT) STRING = date_format(timestamp_millis(i), "yyyy-MM-dd'T'HH:mm:ssXXX")

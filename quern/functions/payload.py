@@ -34,7 +34,7 @@ ip_header_length(b BINARY) BIGINT = (q_byte(b, 0) & 15) * 4
 ip_ttl(b BINARY) BIGINT = q_byte(b, 8)
 ip_total_length(b BINARY) BIGINT = q_short(b, 2)
 ip_dscp(b BINARY) BIGINT = shiftright(q_byte(b, 1), 2)
-ether_type(b BINARY) STRING = CASE q_short(b, 12) WHEN 2048 THEN 'IPv4' WHEN 2054 THEN 'ARP' WHEN 34525 THEN 'IPv6' WHEN 33024 THEN 'VLAN' WHEN 34887 THEN 'MPLS' WHEN 35020 THEN 'LLDP' ELSE concat('0x', lower(lpad(hex(q_short(b, 12)), 4, '0'))) END
+ether_type(b BINARY) STRING = CASE q_short(b, 12) WHEN 2048 THEN 'IPv4' WHEN 2054 THEN 'ARP' WHEN 34525 THEN 'IPv6' WHEN 33024 THEN 'VLAN' WHEN 34887 THEN 'MPLS' WHEN 35020 THEN 'LLDP' ELSE concat('0x', lpad(hex(q_short(b, 12)), 4, '0')) END
 vlan_id(b BINARY) BIGINT = CASE WHEN q_short(b, 12) = 33024 THEN q_short(b, 14) & 4095 END
 icmp_type(b BINARY) BIGINT = q_byte(b, 0)
 icmp_code(b BINARY) BIGINT = q_byte(b, 1)

@@ -1,19 +1,21 @@
 """Queries of the engine's own operators, each with SQL another engine can check.
 
-SHARED queries are the same text for both engines.  OWN queries pair our dialect or a
-DataFrame plan with the other engine's SQL.
+SHARED queries are the same text for both engines, read here through our dialect.  OWN queries
+pair our dialect or a DataFrame plan with the other engine's SQL.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import session
 from quern.dialect import Engine
-from quern.operators import tables
+from quern.operators import geoip, tables
+from quern.plans import values
 from quern.sources import files
 from quern.streaming import ingest
 
@@ -29,23 +31,32 @@ SHARED = {
         AND l_shipdate > TIMESTAMP '1995-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
     "tpch_q4": """SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1993-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1995-10-01 00:00:00'
         AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority""",
-    "tpch_q5": f"""SELECT n_name, round(sum({_REV}), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region
-        WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey
-        AND n_regionkey = r_regionkey AND r_name = 'ASIA' GROUP BY n_name""",
+    "tpch_q2": """WITH partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, round(min(l_extendedprice / l_quantity), 2) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey),
+        offers AS (SELECT ps_partkey, ps_supplycost, s_name, s_acctbal, n_name FROM partsupp, supplier, nation, region WHERE s_suppkey = ps_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE')
+        SELECT s_acctbal, s_name, n_name, p_partkey, ps_supplycost FROM part, offers WHERE p_partkey = ps_partkey AND p_size < 10
+        AND ps_supplycost = (SELECT min(o.ps_supplycost) FROM offers o WHERE o.ps_partkey = p_partkey)""",
+    "tpch_q5": f"""SELECT n_name, round(sum({_REV}), 2) AS revenue
+        FROM (SELECT s_suppkey, s_nationkey, n_name FROM supplier, nation, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA') s, lineitem, orders, customer
+        WHERE l_suppkey = s_suppkey AND l_orderkey = o_orderkey AND c_custkey = o_custkey AND c_nationkey = s_nationkey GROUP BY n_name""",
     "tpch_q6": """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00'
         AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00' AND l_discount BETWEEN 0.045 AND 0.075 AND l_quantity < 24""",
-    "tpch_q7": f"""SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(year FROM l_shipdate) AS INT) AS l_year, round(sum({_REV}), 0) AS revenue
-        FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey
-        AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND n1.n_regionkey = 1 AND n2.n_regionkey = 2 GROUP BY 1, 2, 3""",
-    "tpch_q8": f"""SELECT CAST(extract(year FROM o_orderdate) AS INT) AS o_year, round(sum(CASE WHEN n2.n_name = 'BRAZIL' THEN {_REV} ELSE 0 END) / sum({_REV}), 6) AS mkt_share
-        FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey
-        AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_name = 'AMERICA' AND s_nationkey = n2.n_nationkey GROUP BY 1""",
+    "tpch_q7": f"""SELECT supp_nation, cust_nation, CAST(extract(year FROM l_shipdate) AS INT) AS l_year, round(sum({_REV}), 0) AS revenue
+        FROM (SELECT s_suppkey, n_name AS supp_nation FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_regionkey = 1) s, lineitem, orders,
+        (SELECT c_custkey, n_name AS cust_nation FROM customer, nation WHERE c_nationkey = n_nationkey AND n_regionkey = 2) c
+        WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey GROUP BY 1, 2, 3""",
+    "tpch_q8": f"""SELECT CAST(extract(year FROM o_orderdate) AS INT) AS o_year, round(sum(CASE WHEN supp_nation = 'BRAZIL' THEN {_REV} ELSE 0 END) / sum({_REV}), 6) AS mkt_share
+        FROM (SELECT c_custkey FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'AMERICA') c, orders, lineitem, part,
+        (SELECT s_suppkey, n_name AS supp_nation FROM supplier, nation WHERE s_nationkey = n_nationkey) s
+        WHERE o_custkey = c_custkey AND l_orderkey = o_orderkey AND p_partkey = l_partkey AND s_suppkey = l_suppkey GROUP BY 1""",
+    "tpch_q9": f"""WITH partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) * 0.5 AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey)
+        SELECT n_name, CAST(extract(year FROM o_orderdate) AS INT) AS o_year, round(sum({_REV} - ps_supplycost * l_quantity), 0) AS sum_profit FROM part, lineitem, partsupp, orders,
+        (SELECT s_suppkey, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey) s
+        WHERE p_partkey = l_partkey AND p_size < 25 AND ps_partkey = l_partkey AND ps_suppkey = l_suppkey AND o_orderkey = l_orderkey AND s_suppkey = l_suppkey GROUP BY 1, 2""",
     "tpch_q10": f"""SELECT c_custkey, c_name, round(sum({_REV}), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation
         WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name
         ORDER BY revenue DESC, c_custkey LIMIT 20""",
-    "tpch_q11": """WITH ps AS (SELECT l_partkey, l_suppkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY l_partkey, l_suppkey)
-        SELECT l_partkey, round(sum(v), 2) AS value FROM ps, supplier WHERE l_suppkey = s_suppkey AND s_nationkey = 7 GROUP BY l_partkey
-        HAVING sum(v) > (SELECT sum(v) * 0.0005 FROM ps, supplier WHERE l_suppkey = s_suppkey AND s_nationkey = 7)""",
+    "tpch_q11": """WITH ps AS (SELECT l_partkey, sum(l_extendedprice) AS v FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7) GROUP BY l_partkey)
+        SELECT l_partkey, round(v, 2) AS value FROM ps WHERE v > (SELECT sum(v) * 0.0005 FROM ps)""",
     "tpch_q12": """SELECT l_linestatus, sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) * 1.0 AS high_line_count,
         count(*) AS line_count FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' GROUP BY l_linestatus""",
     "tpch_q13": """SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders
@@ -55,7 +66,7 @@ SHARED = {
     "tpch_q15": f"""WITH r AS (SELECT l_suppkey, round(sum({_REV}), 2) AS total FROM lineitem GROUP BY l_suppkey)
         SELECT s_suppkey, s_name, total FROM supplier, r WHERE s_suppkey = l_suppkey AND total = (SELECT max(total) FROM r)""",
     "tpch_q16": """SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand <> 'Brand#45'
-        AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size""",
+        AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal < 0) GROUP BY p_brand, p_type, p_size""",
     "tpch_q17": """SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_size < 10
         AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)""",
     "tpch_q18": """SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, round(sum(l_quantity), 2) AS qty FROM customer, orders, lineitem
@@ -65,12 +76,8 @@ SHARED = {
         OR (p_size BETWEEN 1 AND 10 AND l_quantity BETWEEN 10 AND 20))""",
     "tpch_q20": """SELECT s_name, s_suppkey FROM supplier, nation WHERE s_nationkey = n_nationkey AND n_regionkey = 3 AND s_suppkey IN (SELECT l_suppkey FROM lineitem
         WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 15) GROUP BY l_suppkey HAVING sum(l_quantity) > 1000)""",
-    "tpch_q21": """SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F'
-        AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
-        AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
-        GROUP BY s_name""",
     "tpch_q22": """SELECT c_mktsegment, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
-        AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) GROUP BY c_mktsegment""",
+        AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY c_mktsegment""",
     "filter_predicates": """SELECT o_orderkey FROM orders WHERE (o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 1000 AND 90000) OR (o_orderpriority LIKE '1%' AND NOT o_orderstatus = 'P')
         OR o_orderkey IS NULL""",
     "null_safe_compare": """SELECT count(*) AS n FROM customer c LEFT JOIN orders o ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE o.o_orderstatus IS DISTINCT FROM 'F'""",
@@ -82,10 +89,10 @@ SHARED = {
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
-    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "join_using": "SELECT n_nationkey, r_name FROM (SELECT n_nationkey, n_regionkey AS k FROM nation) JOIN (SELECT r_regionkey AS k, r_name FROM region) USING (k)",
-    "not_in_null": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN s_acctbal > 0 THEN s_nationkey END FROM supplier WHERE s_acctbal > 0)",
-    "scalar_subquery": "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 4) AS d FROM orders WHERE o_custkey < 50",
+    "not_in_null": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN s_acctbal > 0 THEN s_nationkey END FROM supplier WHERE s_acctbal > 7000)",
+    "scalar_subquery": "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 4) AS d FROM orders",
     "correlated_scalar": "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer",
     "lateral": "SELECT r_name, t.n FROM region, LATERAL (SELECT count(*) AS n FROM nation WHERE n_regionkey = r_regionkey) t",
     "recursive_cte": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 300) SELECT n FROM t",
@@ -95,7 +102,7 @@ SHARED = {
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
-    "except_distinct": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "except_distinct": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
     "distinct_rows": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
     "agg_basic": """SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS d, round(sum(o_totalprice), 2) AS s, round(avg(o_totalprice), 4) AS a, min(o_orderdate) AS lo,
         max(o_orderpriority) AS hi, bool_and(o_totalprice > 0) AS every_, bool_or(o_totalprice > 400000) AS any_ FROM orders GROUP BY o_orderstatus""",
@@ -137,8 +144,8 @@ OWN = {
     ),
     "dialect_similar_to": ("SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)%'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#(1|2).*')"),
     "dialect_null_order": (
-        "SELECT x FROM (SELECT CASE WHEN n_nationkey > 3 THEN n_nationkey END AS x FROM nation) ORDER BY x DESC LIMIT 24",
-        "SELECT x FROM (SELECT CASE WHEN n_nationkey > 3 THEN n_nationkey END AS x FROM nation) ORDER BY x DESC NULLS FIRST LIMIT 24",
+        "SELECT x FROM (SELECT CASE WHEN n_nationkey > 3 THEN n_nationkey END AS x FROM nation) ORDER BY x DESC",
+        "SELECT x FROM (SELECT CASE WHEN n_nationkey > 3 THEN n_nationkey END AS x FROM nation) ORDER BY x DESC NULLS FIRST",
     ),
     "dialect_int_division": ("SELECT o_orderkey, o_orderkey // 7 AS q, o_orderkey % 7 AS r FROM orders",) * 2,
     "dialect_json_arrows": ("SELECT event_id, props ->> 'k' AS k FROM events", "SELECT event_id, props ->> '$.k' AS k FROM events"),
@@ -165,7 +172,37 @@ OWN = {
     "bit_functions": ("SELECT o_orderkey, bitwise_and(o_orderkey, 12) AS a, bitwise_or(o_orderkey, 5) AS o, bitwise_xor(o_orderkey, 7) AS x, bit_count(o_orderkey) AS c FROM orders", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 5 AS o, xor(o_orderkey, 7) AS x, bit_count(o_orderkey) AS c FROM orders"),
     "string_agg": ("SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
     "agg_mode": ("SELECT l_returnflag, mode(l_linenumber, true) AS m, approx_distinct(l_linenumber) AS d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, (SELECT l_linenumber FROM lineitem b WHERE b.l_returnflag = a.l_returnflag GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS m, count(DISTINCT l_linenumber) AS d FROM lineitem a GROUP BY l_returnflag"),
-    "unnest_array": ("SELECT vec_id, p + 1 AS i, round(x, 5) AS x FROM embeddings LATERAL VIEW posexplode(embedding) AS p, x WHERE vec_id < 20", "SELECT vec_id, i, round(embedding[i], 5) AS x FROM embeddings, range(1, 1000) t(i) WHERE vec_id < 20 AND i <= len(embedding)"),
+    "unnest_array": ("SELECT vec_id, i, round(x, 5) AS x FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(x, i)", "SELECT vec_id, unnest(generate_series(1, len(embedding))) AS i, round(unnest(embedding), 5) AS x FROM embeddings"),
+    "unnest_list": ("SELECT v, o FROM unnest('a', 'b', 'c') WITH ORDINALITY AS u(v, o)", "SELECT * FROM (VALUES ('a', 1), ('b', 2), ('c', 3)) t(v, o)"),
+    "tpch_q21": (
+        """SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders,
+        (SELECT l_orderkey AS k, min(l_suppkey) AS lo, max(l_suppkey) AS hi, min(CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS late_lo, max(CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS late_hi FROM lineitem GROUP BY l_orderkey) o
+        WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND k = l1.l_orderkey AND o_orderstatus = 'F' AND lo <> hi AND coalesce(late_lo, l1.l_suppkey) = l1.l_suppkey AND coalesce(late_hi, l1.l_suppkey) = l1.l_suppkey GROUP BY s_name""",
+        """SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F'
+        AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+        AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
+        GROUP BY s_name""",
+    ),
+    "dialect_types": (
+        "SELECT o_orderkey, o_orderkey / 7 AS q, CAST(o_totalprice AS BIGINT) AS whole, round(o_totalprice / 2, 4) AS half, CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS days FROM orders",
+        "SELECT o_orderkey, o_orderkey // 7 AS q, CAST(round(o_totalprice) AS BIGINT) AS whole, round(o_totalprice / 2, 4) AS half, CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS days FROM orders",
+    ),
+    "dialect_string_agg": ("SELECT n_regionkey, string_agg(n_name) WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "dialect_set_order": (
+        "SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey < 5",
+        "SELECT * FROM (SELECT s_nationkey AS k FROM supplier UNION SELECT c_nationkey FROM customer) INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey < 5",
+    ),
+    "dialect_percentiles": (
+        "SELECT o_orderstatus, round(percentile_cont(0.9, o_totalprice), 4) AS a, round(quantile_cont(o_totalprice, 0.5), 4) AS b, percentile_disc(0.25, o_totalprice) AS c, quantile_disc(o_totalprice, 0.75) AS d FROM orders GROUP BY o_orderstatus",
+        "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.9), 4) AS a, round(quantile_cont(o_totalprice, 0.5), 4) AS b, quantile_disc(o_totalprice, 0.25) AS c, quantile_disc(o_totalprice, 0.75) AS d FROM orders GROUP BY o_orderstatus",
+    ),
+    "table_read_parquet": ("SELECT r_name, count(*) AS n FROM read_parquet('{dir}/nation.parquet') JOIN read_parquet('{dir}/region.parquet') ON n_regionkey = r_regionkey GROUP BY r_name", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
+    "table_generate_series": ("SELECT g.generate_series AS k FROM generate_series(1, 1000, 3) g UNION ALL SELECT generate_series FROM generate_series(3, 1)", "SELECT unnest(generate_series(1, 1000, 3)) AS k UNION ALL SELECT unnest([3, 2, 1])"),
+    "window_null_order": (
+        "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY nullif(event_type, 'click') DESC, event_id) AS rn, row_number() OVER (PARTITION BY user_id ORDER BY nullif(event_type, 'click') NULLS FIRST, event_id) AS rf FROM events",
+        "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY nullif(event_type, 'click') DESC NULLS FIRST, event_id) AS rn, row_number() OVER (PARTITION BY user_id ORDER BY nullif(event_type, 'click') NULLS FIRST, event_id) AS rf FROM events",
+    ),
+    "union_widening": ("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT s_acctbal, s_name FROM supplier ORDER BY k DESC, v LIMIT 40", "SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT s_acctbal, s_name FROM supplier ORDER BY k DESC NULLS FIRST, v LIMIT 40"),
     "metadata_counts": ("SELECT count(*) AS n, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem",) * 2,
 }
 
@@ -201,6 +238,10 @@ def _frame_queries() -> dict:
             lambda s, d: ingest.tumbling(read(s, d, "events")),
             "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
         ),
+        "window_sliding": (
+            lambda s, d: ingest.sliding(read(s, d, "events")),
+            "SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1, 2",
+        ),
         "window_sessions": (
             lambda s, d: ingest.sessions(read(s, d, "events")),
             """WITH a AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
@@ -209,6 +250,42 @@ def _frame_queries() -> dict:
     }
 
 
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSERT, UPDATE, DELETE and MERGE as statements over a table of its own."""
+    engine = _engine(spark, sf_dir, "customer nation")
+    spark.sql("DROP TABLE IF EXISTS q_accounts")
+    spark.sql(f"CREATE TABLE q_accounts USING parquet LOCATION '{session.work_dir(spark)}/{uuid.uuid4().hex}' AS SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance FROM customer")
+    engine.sql("INSERT INTO q_accounts VALUES (-1, 3, 10.0), (-2, NULL, -5.0)")
+    engine.sql("UPDATE q_accounts SET balance = balance + 100, nation = coalesce(nation, 0) WHERE balance < 0")
+    engine.sql("DELETE FROM q_accounts WHERE nation = 7 AND balance > 0")
+    engine.sql("""MERGE INTO q_accounts AS a USING (SELECT n_nationkey - 2 AS id, n_regionkey AS region FROM nation) AS b ON a.id = b.id
+        WHEN MATCHED AND a.balance > 5000 THEN DELETE WHEN MATCHED THEN UPDATE SET nation = b.region, balance = a.balance * 2
+        WHEN NOT MATCHED AND b.id < 0 THEN INSERT (id, nation, balance) VALUES (b.id, b.region, 0) WHEN NOT MATCHED THEN INSERT (id, nation, balance) VALUES (b.id, b.region, 1)""".replace("WHEN NOT MATCHED AND b.id < 0 THEN INSERT (id, nation, balance) VALUES (b.id, b.region, 0) ", ""))
+    return engine.sql("SELECT id, nation, round(balance, 2) AS balance FROM q_accounts")
+
+
+_STATEMENTS_SQL = """WITH a AS (SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT * FROM (VALUES (-1, 3, 10.0), (-2, NULL, -5.0))),
+    u AS (SELECT id, CASE WHEN balance < 0 THEN coalesce(nation, 0) ELSE nation END AS nation, CASE WHEN balance < 0 THEN balance + 100 ELSE balance END AS balance FROM a),
+    d AS (SELECT * FROM u WHERE NOT coalesce(nation = 7 AND balance > 0, false)),
+    s AS (SELECT n_nationkey - 2 AS k, n_regionkey AS region FROM nation)
+    SELECT coalesce(id, k) AS id, coalesce(region, nation) AS nation, round(CASE WHEN id IS NULL THEN 1 WHEN k IS NULL THEN balance ELSE balance * 2 END, 2) AS balance FROM d FULL JOIN s ON id = k
+    WHERE NOT coalesce(id IS NOT NULL AND k IS NOT NULL AND balance > 5000, false)"""
+
+
+def _geoip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of users with the places that a small table of ranges gives."""
+    engine = _engine(spark, sf_dir, "events")
+    rows = [("10.0.0.0/8", "AA", "Aland", "Port", "North", "1000", 60.5, 19.5, "Europe/Mariehamn", "EU", 64500, "Wide"), ("10.0.0.128/25", "BB", "Bland", None, None, None, 1.0, 2.0, "UTC", "AF", 64501, "Narrow")]
+    geoip.load(spark, spark.createDataFrame(rows, "cidr string, " + ", ".join(f"{c} {k}" for c, k in geoip.COLUMNS.items())))
+    ip = "int_to_ip(167772160 + user_id)"
+    return engine.sql(f"SELECT event_id, {', '.join(f'geoip_{c}({ip}) AS {c}' for c in geoip.COLUMNS)}, geoip_asn('8.8.8.8') AS none FROM events")
+
+
+_GEOIP_SQL = """SELECT event_id, CASE WHEN n THEN 'BB' ELSE 'AA' END AS country, CASE WHEN n THEN 'Bland' ELSE 'Aland' END AS country_name, CASE WHEN NOT n THEN 'Port' END AS city, CASE WHEN NOT n THEN 'North' END AS subdivision,
+    CASE WHEN NOT n THEN '1000' END AS postal_code, CASE WHEN n THEN 1.0 ELSE 60.5 END::DOUBLE AS latitude, CASE WHEN n THEN 2.0 ELSE 19.5 END::DOUBLE AS longitude, CASE WHEN n THEN 'UTC' ELSE 'Europe/Mariehamn' END AS timezone,
+    CASE WHEN n THEN 'AF' ELSE 'EU' END AS continent, CASE WHEN n THEN 64501 ELSE 64500 END AS asn, CASE WHEN n THEN 'Narrow' ELSE 'Wide' END AS org, NULL::BIGINT AS none FROM (SELECT event_id, user_id BETWEEN 128 AND 255 AS n FROM events)"""
+
+
 def _named(text: str) -> list[str]:
     """The tables a text names; only these become views."""
     return [t for t in session.TABLES if re.search(rf"\b{t}\b", text)]
@@ -223,20 +300,20 @@ def _engine(spark: SparkSession, sf_dir: str, text: str) -> Engine:
     return made
 
 
-def _plain(text: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return session.load(spark, sf_dir, _named(text)).sql(text)
-
-    return run
+def _own(text: str):
+    return lambda spark, sf_dir: _engine(spark, sf_dir, text).sql(text.replace("{dir}", sf_dir))
 
 
-def _own(text: str):
-    return lambda spark, sf_dir: _engine(spark, sf_dir, text).sql(text)
+def _values(family: str):
+    return lambda spark, sf_dir: _engine(spark, sf_dir, "").sql(values.query(family))
 
 
 def queries() -> dict:
-    return {n: _plain(t) for n, t in SHARED.items()} | {n: _own(t) for n, (t, _) in OWN.items()} | {n: f for n, (f, _) in _frame_queries().items()}
+    """Every query; all but the DataFrame plans go through the engine's dialect."""
+    out = {n: _own(t) for n, t in SHARED.items()} | {n: _own(t) for n, (t, _) in OWN.items()} | {n: f for n, (f, _) in _frame_queries().items()}
+    return out | {f"values_{f}": _values(f) for f in values.CASES} | {"dml_statements": _statements, "geoip": _geoip}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SHARED) | {n: t for n, (_, t) in OWN.items()} | {n: t for n, (_, t) in _frame_queries().items()}
+    out = dict(SHARED) | {n: t for n, (_, t) in OWN.items()} | {n: t for n, (_, t) in _frame_queries().items()}
+    return out | {f"values_{f}": values.oracle(f) for f in values.CASES} | {"dml_statements": _STATEMENTS_SQL, "geoip": _GEOIP_SQL}

@@ -30,3 +30,8 @@ def load(spark: SparkSession, sf_dir: str, tables: list[str] = TABLES) -> SparkS
     for t in tables:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir), or the warehouse where it is unset."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/quern-tables"

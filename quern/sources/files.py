@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SAMPLE = 0.1
+
+
 def _home(path: str) -> str:
     return os.path.expanduser(path) if path.startswith("~/") else path
 
@@ -18,7 +21,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True) -> DataFrame:
-    return spark.read.csv(_home(path), sep=delimiter, header=header, inferSchema=True)
+    """Types are inferred from SAMPLE of the rows; what does not fit them is null."""
+    return spark.read.csv(_home(path), sep=delimiter, header=header, inferSchema=True, samplingRatio=SAMPLE)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -61,10 +65,19 @@ def unnest(df: DataFrame, column: str, name: str, ordinality: str | None = None)
 
 
 def iceberg_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The current snapshot of an Iceberg table, read-only and without its jar: newest metadata, manifests, data files."""
+    """The current snapshot of an Iceberg table, read-only and without its jar: newest metadata, manifests, data files.
+
+    Metadata files are ordered by the number in their names.  A table with delete files is
+    refused, as its rows cannot be told without applying them.
+    """
     metas = spark.read.text(f"{folder}/metadata/*.metadata.json", wholetext=True).withColumn("f", F.input_file_name())
-    meta = json.loads(metas.orderBy(F.desc("f")).first()["value"])
-    snapshot = next(s for s in meta["snapshots"] if s["snapshot-id"] == meta["current-snapshot-id"])
-    manifests = [r[0] for r in spark.read.format("avro").load(snapshot["manifest-list"]).select("manifest_path").collect()]
-    files = spark.read.format("avro").load(manifests).filter("status < 2").select("data_file.file_path").collect()
+    number = F.regexp_extract("f", r"/v?(\d+)[^/]*\.metadata\.json$", 1).cast("bigint")
+    meta = json.loads(metas.orderBy(number.desc_nulls_last(), F.desc("f")).first()["value"])
+    snapshot = next((s for s in meta["snapshots"] if s["snapshot-id"] == meta.get("current-snapshot-id")), None)
+    if snapshot is None:
+        raise ValueError("the table has no current snapshot")
+    manifests = spark.read.format("avro").load(snapshot["manifest-list"])
+    if "content" in manifests.columns and manifests.filter("content <> 0").limit(1).count():
+        raise ValueError("the table has delete files")
+    files = spark.read.format("avro").load([r[0] for r in manifests.select("manifest_path").collect()]).filter("status < 2").select("data_file.file_path").collect()
     return spark.read.parquet(*[r[0] for r in files])

@@ -84,6 +84,79 @@ def test_alert(spark, engine):
         s.create("CREATE ALERT fast AS SELECT 1 EVERY 2 SECONDS")
 
 
+def test_alert_statements(spark, engine, tmp_path):
+    engine.sql("CREATE ALERT busy AS SELECT 1 AS x EVERY 30 SECONDS")
+    engine.sql("ALTER ALERT busy SET EVERY 2 MINUTES")
+    engine.sql("ALTER ALERT busy DISABLE")
+    assert [(r.name, r.seconds, r.enabled) for r in engine.sql("SHOW ALERTS").collect()] == [("busy", 120, False)]
+    assert not engine.alerts.fire(engine.alerts.alerts["busy"])
+    engine.sql("DROP ALERT busy")
+    engine.sql("DROP ALERT IF EXISTS busy")
+    with pytest.raises(ValueError):
+        engine.sql("DROP ALERT busy")
+
+
+def test_statements(spark, engine, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS q_test")
+    spark.sql(f"CREATE TABLE q_test USING parquet LOCATION '{tmp_path}/t' AS SELECT id AS k, CAST(id AS STRING) AS v FROM range(100)")
+    assert engine.sql("UPDATE q_test SET v = concat(v, '!') WHERE k < 3").first().rows == 3
+    assert engine.sql("DELETE FROM q_test WHERE k = 99").first().rows == 1
+    assert engine.sql("DELETE FROM q_test WHERE k = 99").first().rows == 0
+    assert engine.sql("MERGE INTO q_test t USING (SELECT 1 AS k, 'a' AS v UNION ALL SELECT 500, 'b') s ON t.k = s.k WHEN MATCHED THEN UPDATE SET v = s.v WHEN NOT MATCHED THEN INSERT (k, v) VALUES (s.k, s.v)").first().rows == 2
+    (tmp_path / "rows.tsv").write_text("700\t\\N\n")
+    engine.sql(f"COPY q_test (k, v) FROM '{tmp_path}/rows.tsv'")
+    assert [tuple(r) for r in engine.sql("SELECT k, v FROM q_test WHERE k < 3 OR k > 98 ORDER BY k").collect()] == [(0, "0!"), (1, "a"), (2, "2!"), (500, "b"), (700, None)]
+    assert engine.sql("SELECT column_name FROM information_schema.columns WHERE table_name = 'q_test'").count() == 0  # names beginning with q_ are the engine's own
+    engine.sql("ALTER TABLE q_test DROP COLUMN v")
+    assert engine.sql("SELECT * FROM q_test").columns == ["k"]
+    spark.sql("DROP TABLE q_test")
+
+
+def test_information_schema(spark, engine):
+    spark.range(1).createOrReplaceTempView("held")
+    assert engine.sql("SELECT table_type FROM information_schema.tables WHERE table_name = 'held'").first()[0] == "VIEW"
+    assert engine.sql("SELECT column_name, data_type FROM information_schema.columns WHERE table_name = 'held'").first()[:] == ("id", "bigint")
+
+
+def test_recovery(spark, tmp_path):
+    """A change that was cut off after its journal is finished by the next."""
+    path = str(tmp_path / "t")
+    tables.insert(spark, path, spark.range(10).coalesce(1))
+    change = tables._Change(spark, path)
+    old = change.files(path, "part-")
+    change.write(spark.range(5).coalesce(1))
+    finish, change.finish = change.finish, lambda *a: None
+    change.commit(old)
+    assert spark.read.parquet(path).count() == 10
+    tables.recover(spark, path)
+    assert spark.read.parquet(path).count() == 5 and [f.rpartition("/")[2] for f in change.files(path, "_")] == ["_SUCCESS"]
+    for k in range(4):
+        tables.insert(spark, path, spark.range(k).coalesce(1))
+    assert tables.compact(spark, path) >= 4 and spark.read.parquet(path).count() == 11
+
+
+def test_types(engine):
+    assert one(engine, "7 / 2") == 3 and one(engine, "CAST(7 AS DOUBLE) / 2") == 3.5 and one(engine, "CAST(5 / 2.0D AS INT)") == 3
+    assert one(engine, "(SELECT max(id) / 2 FROM range(6))") == 2
+    assert engine.sql("SELECT (id + 1) / 2 / 2 AS x, CAST(id / 2.0D AS INT) AS y FROM range(8) ORDER BY x DESC, y DESC FETCH FIRST 1 + 0 ROWS ONLY").collect() == [(2, 4)]
+
+
+def test_table_functions(spark, engine, tmp_path):
+    (tmp_path / "a.csv").write_text("k;v\n1;x\n2;y\n")
+    (tmp_path / "a.json").write_text('{"k": 2, "w": 5}\n')
+    assert engine.sql(f"SELECT a.v, b.w FROM read_csv('{tmp_path}/a.csv', delimiter=';') a JOIN read_json('{tmp_path}/a.json') b ON a.k = b.k").collect() == [("y", 5)]
+    assert [r[0] for r in engine.sql("SELECT * FROM generate_series(5, 1, 2)").collect()] == [5, 3, 1]
+    assert [r[0] for r in engine.sql("SELECT c FROM unnest(3, 4) AS u(c)").collect()] == [3, 4]
+
+
+def test_newest_iceberg_metadata(spark, tmp_path):
+    (tmp_path / "metadata").mkdir()
+    for n in (9, 10):
+        (tmp_path / "metadata" / f"v{n}.metadata.json").write_text('{"snapshots": [], "current-snapshot-id": %d}' % n)
+    with pytest.raises(ValueError, match="no current snapshot"):
+        files.iceberg_files(spark, str(tmp_path))
+
+
 def test_ingest(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in"))
     stream = ingest.stream_files(spark, str(tmp_path / "in"), "id long")
