@@ -35,6 +35,7 @@ from quern.llm.jaccard_join import Tile, dealt
 
 WORDS, SHINGLE, PERCENT = 50, 5, 80
 _SALT = np.uint64(0x1234567)
+_BASE = 0x9E3779B97F4A7C15
 _GROUPS = 512
 
 
@@ -120,8 +121,12 @@ def _windows(words_least: int, size: int, percent: int):
 
 
 def _runs(words_least: int, size: int, percent: int):
-    """For places of a text (at, open), the runs of words over their token: (part, doc_id, start, open)."""
+    """For places of a text (at, open, comp), the runs of words over their token: (part, doc_id, start, open, comp, near, long).
+
+    near is a hash of all least passages over the run, long whether there are any.
+    """
     token, run_least = token_words(words_least, size, percent), run_words(words_least, size, percent)
+    spare = words_least - run_least
 
     def run(batches):
         for batch in batches:
@@ -129,6 +134,9 @@ def _runs(words_least: int, size: int, percent: int):
                 part = batch.slice(lo, hi - lo)
                 words, before = shingles.word_hashes(part.column("text"))
                 made, inside = shingles.sequences(words, before, run_least)
+                power = np.multiply.accumulate(np.full(len(words) + 1, _BASE, np.uint64))
+                back = np.multiply.accumulate(np.full(len(words) + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+                total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words * power[:-1])])
                 rows = []
                 for d, a, b, places in zip(part.column("doc_id").to_pylist(), before[:-1].tolist(), before[1:].tolist(), part.column("places").to_pylist(), strict=True):
                     starts: dict[int, list] = {}
@@ -137,10 +145,14 @@ def _runs(words_least: int, size: int, percent: int):
                             if a + at < b and inside[a + at]:
                                 held = starts.setdefault(at, [False, p["comp"]])
                                 held[0] |= p["open"]
-                    rows += [(int(made[a + at].view(np.int64)), d, at, o, c) for at, (o, c) in starts.items()]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "doc_id", "start", "open", "comp"])
+                    if starts:
+                        at = np.array(list(starts), np.int64) + a
+                        s, e = np.maximum(a, at - spare), np.minimum(b, at + run_least + spare)
+                        near = shingles.mix((total[e] - total[s]) * back[s] + shingles.mix((at - s + ((e - at) << 32)).astype(np.uint64)))
+                        rows.append((made[at].view(np.int64), np.full(len(at), d), at - a, [o for o, _ in starts.values()], [c for _, c in starts.values()], near.view(np.int64), e - s >= words_least))
+                kinds = [np.int64, np.int64, np.int32, bool, np.int64, np.int64, bool]
+                cols = [np.concatenate(c).astype(k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [np.zeros(0, k) for k in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["part", "doc_id", "start", "open", "comp", "near", "long"])
 
     return run
 
@@ -231,8 +243,21 @@ class Surroundings(Tile):
             has = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
             if not (100 * (new & np.lib.stride_tricks.sliding_window_view(has, n)).sum(1) >= self.percent * new.sum(1)).any():
                 return False
+        if self._aligned(x, y, n):
+            return True
         return bool(passages(self.data[x], self.data[y], [(self.places[x], self.places[y])], self.words, self.size, self.percent))
 
+    def _aligned(self, x: int, y: int, n: int) -> bool:
+        """Whether equal shingles on the run's own diagonal are enough for a least passage."""
+        d, a, b = self.places[x] - self.places[y], self.made[x], self.made[y]
+        lo, hi = max(0, d), min(len(a), len(b) + d)
+        if hi - lo < n:
+            return False
+        same = np.lib.stride_tricks.sliding_window_view(a[lo:hi] == b[lo - d : hi - d], n)
+        p, q = self.news[x][lo : hi - n + 1], self.news[y][lo - d : hi - d - n + 1]
+        both = (p & same).sum(1)
+        return bool((100 * both >= self.percent * (p.sum(1) + q.sum(1) - both)).any())
+
 
 def _chain(mx: np.ndarray, my: np.ndarray, i: int, j: int, percent: int, most: int, held: int) -> list[tuple[int, int, int]]:
     """(x, y, gain) at the ends of the runs that follow the run up to shingles i, j; gain is linear in the shingles.
@@ -432,7 +457,7 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
     for used in (shared, within, marked):
         discard(used)
     release(spark)
-    runs = materialise(thinned(docs, places, "doc_id").join(places, "doc_id").mapInArrow(_runs(*tries), "part long, doc_id long, start int, open boolean, comp long"))
+    runs = materialise(thinned(docs, places, "doc_id").join(places, "doc_id").mapInArrow(_runs(*tries), "part long, doc_id long, start int, open boolean, comp long, near long, long boolean"))
     several = runs.groupBy("part").agg(F.max("open").alias("any"), F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("hi")).filter("any and f.doc_id < hi")
     several = materialise(several.select("part", F.col("f.start").alias("s")))
     kept = materialise(runs.join(several, "part"))
@@ -443,16 +468,23 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
     kept, every = materialise(kept.join(one.select("part"), "part").drop("s").withColumn("cid", F.monotonically_increasing_id())), kept
     discard(every)
     discard(several)
+    # Equal surroundings are alike at once; the first of them meets the others for all.
+    own = kept.withColumn("comp", F.expr("xxhash64(if(open, cid, comp), open)"))
+    firsts = materialise(own.groupBy("part", "near").agg(F.min(F.struct("doc_id", "start", "cid", "comp", "long")).alias("f"), F.max("open").alias("open")))
+    alike = own.filter("long").join(firsts.select("part", "near", "f"), ["part", "near"]).filter("comp <> f.comp and doc_id <> f.doc_id")
+    alike = materialise(alike.select(F.col("doc_id").alias("a"), F.col("start").alias("i"), F.col("f.doc_id").alias("b"), F.col("f.start").alias("j")))
+    discard(kept)
+    kinds = firsts.filter("f.long").groupBy("part").agg(F.count("*").alias("m"), F.max("open").alias("any")).filter("m > 1 and any")
+    kept = materialise(firsts.filter("f.long").join(kinds.select("part"), "part").select("part", "f.*"))
+    discard(firsts)
     release(spark)
-    if not kept.limit(1).count():
-        return out
-    wanted = kept.groupBy("doc_id").agg(F.collect_list(F.struct("part", "start", "cid", F.expr("xxhash64(if(open, cid, comp), open)").alias("comp"))).alias("places"))
+    wanted = kept.groupBy("doc_id").agg(F.collect_list(F.struct("part", "start", "cid", "comp")).alias("places"))
     near = materialise(thinned(docs, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(_around(*tries), "part long, cid long, comp long, data binary"))
     met = dealt(near.select("part", "cid", "comp", F.lit(words - size + 1).alias("n")), near, partial(Surroundings, words=words, size=size, percent=percent))
     x, y = (kept.select(F.col("cid").alias(c), F.col("doc_id").alias(f"d{c}"), F.col("start").alias(f"s{c}")) for c in "ab")
     met = materialise(met.join(x, "a").join(y, "b").filter("da <> db"))
     discard(near)
-    more = met.select(*[F.expr(f"if(da > db, {p}, {q})").alias(c) for p, q, c in (("da", "db", "a"), ("sa", "sb", "i"), ("db", "da", "b"), ("sb", "sa", "j"))])
+    more = alike.unionByName(met.select(*[F.expr(f"if(da > db, {p}, {q})").alias(c) for p, q, c in (("da", "db", "a"), ("sa", "sb", "i"), ("db", "da", "b"), ("sb", "sa", "j"))]))
     return out.unionByName(_verify(docs, more, tries)).distinct()
 
 
