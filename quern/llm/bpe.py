@@ -24,7 +24,9 @@ from quern.llm.common import small_batches
 from quern.llm.shingles import slices
 
 #: Bounds of what one worker remembers, in entries; PIECE_BYTES bounds a remembered piece, so all have a bound in bytes.
-MOST_STATES, MOST_PIECES, MOST_PAIRS, PIECE_BYTES = 60_000, 100_000, 150_000, 64
+MOST_STATES, MOST_PIECES, MOST_PAIRS, PIECE_BYTES = 150_000, 150_000, 250_000, 64
+#: Steps outside full memory, for each state it holds, after which the states are forgotten and made anew.
+STEPS_A_STATE = 20
 
 
 class Transducer:
@@ -51,6 +53,7 @@ class Transducer:
         """Forget all states but the first."""
         for held in (self.keys, self.live, self.index, self.next, self.final):
             held.clear()
+        self.outside, self.passing = 0, {}
         self.keys.append((None, b"", ()))
         self.live.append((0,))
         self.index[self.keys[0]] = 0
@@ -122,11 +125,11 @@ class Transducer:
         return known
 
     def _step(self, state: int, byte: int) -> tuple[int, bytes]:
-        before, window, last = self.keys[state]
+        (before, window, last), starts = (self.keys[state], self.live[state]) if state >= 0 else self.passing[state]
         window += byte.to_bytes(1, "little")
         token, live = None, []
         # A token that ends here began where one could still start; the longest that stands is the last token.
-        for start in self.live[state]:
+        for start in starts:
             tail = window[start:]
             if tail in self.prefixes:
                 live.append(start)
@@ -155,15 +158,20 @@ class Transducer:
         key = (before, window, last)
         to = self.index.get(key)
         if to is None:
-            full = len(self.keys) >= MOST_STATES
-            if full:
-                self._reset()  # also within a piece: the state reached is all that its rest needs
+            if len(self.keys) >= MOST_STATES:
+                # Full: a passing state, of which two are held; what is met often was met before.
+                self.outside += 1
+                if self.outside > STEPS_A_STATE * MOST_STATES:
+                    self._reset()
+                to = -2 if state == -1 else -1
+                self.passing[to] = key, tuple(live)
+                return to, out
             to = self.index[key] = len(self.keys)
             self.keys.append(key)
             self.live.append(tuple(live))
-            if full:
-                return to, out
-        made = self.next[state << 8 | byte] = to, out
+        made = to, out
+        if state >= 0:
+            self.next[state << 8 | byte] = made
         return made
 
     def _tokens(self, last: tuple[int, ...], at: int) -> bytes:
@@ -188,8 +196,10 @@ class Transducer:
                 out.append(ids)
         end = self.final.get(state)
         if end is None:
-            last = self.keys[state][2]
-            end = self.final[state] = self._tokens(last, len(last))
+            last = (self.keys[state] if state >= 0 else self.passing[state][0])[2]
+            end = self._tokens(last, len(last))
+            if state >= 0:
+                self.final[state] = end
         out.append(end)
         return b"".join(out)
 
@@ -237,7 +247,9 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         import regex
 
-        self.find, self.fst, self.seen = regex.compile(pattern).findall, Transducer(ranks), {}
+        self.find, self.fst = regex.compile(pattern).findall, Transducer(ranks)
+        self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # an earlier generation, from which pieces met again are taken over
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers; null counts as empty."""
@@ -245,11 +257,13 @@ class Encoder:
         for piece in self.find(text or ""):
             ids = get(piece)
             if ids is None:
-                data = piece.encode()
-                ids = self.fst.encode(data)
-                if len(data) <= PIECE_BYTES:
+                ids = self.before.get(piece)
+                if ids is None:
+                    ids = self.fst.encode(piece.encode())
+                if len(piece) * 4 <= PIECE_BYTES or len(piece.encode()) <= PIECE_BYTES:
                     if len(self.seen) >= MOST_PIECES:
-                        self.seen.clear()
+                        self.before, self.seen = self.seen, {}
+                        get = self.seen.get
                     self.seen[piece] = ids
             out.append(ids)
         return b"".join(out)
