@@ -50,6 +50,12 @@ def purge(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with the columns renamed that begin like an operator's own (two underscores), and the names to give back."""
+    back = {f"given_{uuid.uuid4().hex}": c for c in df.columns if c.startswith("__")}
+    return df.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 SLOTS = 1 << 16
 
 

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import lower_ascii, materialise
+from quern.llm.common import lower_ascii, materialise, set_aside
 
 BLOCK_CHARS = 8192
 
@@ -109,13 +109,15 @@ def _by(part: str, order: str):
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that exact_dedup keeps: one of each group of equal texts."""
+    names = docs.columns
+    docs, back = set_aside(docs)
     verdict = materialise(exact_dedup(docs).select("doc_id", "keep_id", "kept", "text_sha256"))
     lost = verdict.filter("not kept").select(
         F.coalesce("doc_id", F.lit(-(2**63))).alias("__d"), F.col("text_sha256").alias("__s"), F.expr("doc_id <=> keep_id").alias("again")
     )
     keyed = docs.withColumns({"__d": F.coalesce("doc_id", F.lit(-(2**63))), "__s": F.sha2(lower_ascii(F.col("text")), 256)})
-    out = keyed.join(lost.filter("not again"), ["__d", "__s"], "left_anti")
+    out = keyed.join(lost.filter("not again").select("__d", "__s"), ["__d", "__s"], "left_anti")
     again = lost.filter("again").select("__d", "__s")
     if again.limit(1).count():  # rows repeated with their doc_id: one of each stays
         out = out.join(again, ["__d", "__s"], "left_anti").unionByName(out.join(again, ["__d", "__s"], "left_semi").dropDuplicates(["__d", "__s"]))
-    return out.select(docs.columns)
+    return out.drop("__d", "__s").withColumnsRenamed(back).select(*[f"`{c}`" for c in names])

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, small_table
+from quern.llm.common import materialise, set_aside, small_table
 
 FIRST_BITS, PROBES, ROW_CELLS = 10, 64, 256
 _LOW = -(2**63)
@@ -60,7 +60,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.01)
     their multiplicity.  Input columns named like an output are replaced.  An empty table
     gives no rows.
     """
-    docs = docs.drop(*_OUT)
+    docs, back = set_aside(docs.drop(*_OUT))
     keys = materialise(_keyed(docs.select("doc_id", "text")).select("size", "__h", "__d", "__cell"))
     cells = {r["__cell"]: r for r in _histogram(keys)}
     order = sorted(cells)
@@ -101,4 +101,4 @@ def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.01)
     small = small_table(docs.sparkSession, places, "cell bigint, shard int, base bigint").select(F.col("cell").alias("__cell"), "shard", F.col("base").alias("__base"))
     out = out.join(F.broadcast(small), "__cell")
     within = Window.partitionBy("__cell").orderBy("__h", "__d", "text_crc32", "size")
-    return out.withColumns({"slot": F.col("__base") + F.row_number().over(within) - 1, "law": F.lit("bytes")}).drop("__cell", "__h", "__d", "__base")
+    return out.withColumns({"slot": F.col("__base") + F.row_number().over(within) - 1, "law": F.lit("bytes")}).drop("__cell", "__h", "__d", "__base").withColumnsRenamed(back)
