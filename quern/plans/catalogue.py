@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quern import session
 from quern.dialect import Engine
 from quern.operators import geoip, tables
-from quern.plans import values
+from quern.plans import security, values
 from quern.sources import files
 from quern.streaming import ingest
 
@@ -311,9 +311,11 @@ def _values(family: str):
 def queries() -> dict:
     """Every query; all but the DataFrame plans go through the engine's dialect."""
     out = {n: _own(t) for n, t in SHARED.items()} | {n: _own(t) for n, (t, _) in OWN.items()} | {n: f for n, (f, _) in _frame_queries().items()}
+    out |= {f"security_{n}": _own(security.text(n, True)) for n in security.QUERIES}
     return out | {f"values_{f}": _values(f) for f in values.CASES} | {"dml_statements": _statements, "geoip": _geoip}
 
 
 def oracle_sql() -> dict[str, str]:
     out = dict(SHARED) | {n: t for n, (_, t) in OWN.items()} | {n: t for n, (_, t) in _frame_queries().items()}
+    out |= {f"security_{n}": security.text(n, False) for n in security.QUERIES}
     return out | {f"values_{f}": values.oracle(f) for f in values.CASES} | {"dml_statements": _STATEMENTS_SQL, "geoip": _GEOIP_SQL}

@@ -1,9 +1,11 @@
+import re
+
 import pytest
 
 from quern import functions
-from quern.dialect import Engine
+from quern.dialect import _HELPERS, Engine
 from quern.operators import alerts, tables
-from quern.plans import catalogue
+from quern.plans import catalogue, values
 from quern.sources import files
 from quern.streaming import ingest
 
@@ -164,5 +166,18 @@ def test_ingest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
 
 
+@pytest.mark.parametrize("family", list(values.CASES))
+def test_values(engine, family):
+    """Every function gives the values that its calls are listed with."""
+    assert {(r.call, r.value) for r in engine.sql(values.query(family)).collect()} == set(values.cases(family))
+
+
+def test_every_function_is_called():
+    """No macro that users may call is without a listed value."""
+    calls = " ".join(c for f in values.CASES for c, _ in values.cases(f))
+    plain = {n.removeprefix("q_") for n in [*functions.definitions(), *functions.arrow.UDFS]} - _HELPERS
+    assert not {n for n in plain if not re.search(rf"\b{n}\(", calls)} - {"from_iso8601_date"}
+
+
 def test_each_query_has_sql():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
