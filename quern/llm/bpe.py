@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import small_batches
+from quern.llm.common import kept, small_batches, tidy
 from quern.llm.shingles import slices
 
 #: Bounds of what one worker remembers, in entries; PIECE_BYTES bounds a remembered piece, so all have a bound in bytes.
@@ -238,9 +238,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_MADE: dict[int, Encoder] = {}
-
-
 class Encoder:
     """Texts to ids: each match of the pattern by the transducer, met pieces from memory."""
 
@@ -270,12 +267,8 @@ class Encoder:
 
 
 def encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """One encoder for each vocabulary and pattern in a worker, kept over its tasks."""
-    key = hash((pattern, frozenset(ranks.items())))
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Encoder(ranks, pattern)
-    return _MADE[key]
+    """The encoder of a vocabulary and pattern, kept over a worker's tasks."""
+    return kept(("encoder", hash((pattern, frozenset(ranks.items())))), lambda: Encoder(ranks, pattern))
 
 
 def _id_lists(packed: list[bytes]) -> pa.ListArray:
@@ -297,7 +290,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             ids = _id_lists([made(text) for text in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run, forget=False), "doc_id long, ids array<int>")
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +339,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], chunk: int = 8192) -> Da
                 texts = [made(ids.values) if ids.is_valid else "" for ids in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run, forget=False), "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: int = 8192) -> DataFrame:
@@ -360,7 +353,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk: in
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, texts], names=["doc_id", "ids", "text"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run, forget=False), "doc_id long, ids array<int>, text string")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

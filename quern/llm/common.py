@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,37 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, rows)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a Python worker keeps over its tasks: one thing, made when the key is new."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def tidy(run: Callable, forget: bool = True) -> Callable:
+    """run over Arrow batches, in a worker that holds little afterwards.
+
+    Workers serve one operator's tasks after another's.  What an earlier one kept goes
+    (unless this one keeps something itself), and freed memory goes back to the system.
+    """
+
+    def tidied(batches):
+        if forget:
+            _KEPT.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def purge(spark: SparkSession) -> None:
     """Remove the tables `materialise` wrote; results that still read them become invalid."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import materialise
+from quern.llm.common import kept, materialise, tidy
 
 ERROR_RATE = 0.08
 LEAST_CHARS = 32
@@ -135,15 +135,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]
     yield block, True
 
 
-_MADE: dict[int, Matcher] = {}
-
-
 def _matcher(items: list[tuple[int, str]], rate: float, least: int) -> Matcher:
-    key = hash((tuple(items), rate, least))
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Matcher(items, rate, least)
-    return _MADE[key]
+    return kept(("matcher", hash((tuple(items), rate, least))), lambda: Matcher(items, rate, least))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -166,7 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = ERR
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "distance", "start", "end"])
 
-        made = docs.mapInArrow(run, "doc_id long, item_id long, distance long, start long, end long")
+        made = docs.mapInArrow(tidy(run, forget=False), "doc_id long, item_id long, distance long, start long, end long")
         made = made if last and out is None else materialise(made)
         out = made if out is None else out.unionByName(made)
     return out
@@ -182,6 +175,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, error_rate: float =
                 clean = [next(matcher.find(text.as_py()), None) is None for text in batch.column("text")]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run, forget=False), docs.schema)
         docs = docs if last else materialise(docs)
     return docs

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import components, discard, materialise, release, small_batches, thinned
+from quern.llm.common import components, discard, materialise, release, small_batches, thinned, tidy
 
 CELL_BITS = 21
 TILE, MASS = 2048, 2 << 20  # rows and shingles that meet in one tree
@@ -315,7 +315,7 @@ _MET = ["part", "tile", "chunk", "q", "own", "cid", "comp", "n", "data"]
 
 def _met(tiles: DataFrame, made) -> DataFrame:
     key = ["part", "tile", "chunk"]
-    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(made), "a long, b long")
+    return tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidy(_search(made)), "a long, b long")
 
 
 def _verified(sets: DataFrame, percent: int) -> DataFrame:
@@ -353,10 +353,10 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    cells = docs.select("text").mapInArrow(_cells(size), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = docs.select("text").mapInArrow(tidy(_cells(size)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     crowd = {r["cell"]: int(r["n"]).bit_length() for r in cells}  # a fourth of the cells at most, whatever the input
 
-    points = docs.mapInArrow(_points(crowd, percent, size), "doc_id long, n long, f1 long, f2 long, sig array<long>, vec binary, head int")
+    points = docs.mapInArrow(tidy(_points(crowd, percent, size)), "doc_id long, n long, f1 long, f2 long, sig array<long>, vec binary, head int")
     points = materialise(points.withColumn("rid", F.monotonically_increasing_id()))
     classes = points.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "rid", "doc_id")).alias("one"))
     classes = materialise(classes.select("f1", "f2", "n", "doc", F.col("one.rid").alias("rid"), F.col("one.doc_id").alias("text_id"), F.monotonically_increasing_id().alias("cid")))
@@ -379,7 +379,7 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
     x, y = (weights.select(F.col("cid").alias(p), F.col("n").alias(f"n{p}"), F.col("vec").alias(f"v{p}")) for p in "ab")
     star = rows.filter("cid > r").groupBy("cid", "r").count().groupBy("cid").agg(F.max(F.struct("count", (-F.col("r")).alias("r"))).alias("most"))
     star = materialise(star.select((-F.col("most.r")).alias("a"), F.col("cid").alias("b")))
-    star = materialise(star.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long"))
+    star = materialise(star.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(tidy(_bound(percent)), "a long, b long"))
     # What hangs on one point, over two steps, is joined already.
     over = star.join(star.select(F.col("a").alias("top"), F.col("b").alias("a")), "a", "left").select(F.col("b").alias("cid"), F.coalesce("top", "a").alias("component"))
     placed = rows.filter("first").select("h", "cid", "n").join(over, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
@@ -413,9 +413,9 @@ def jaccard_components(docs: DataFrame, *, percent: int = 80, size: int = 5) ->
 def _read_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """cid, blob, n, data of the classes wanted(cid, blob, doc_id, f1, n), read again from their texts."""
     kinds = wanted.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(2).collect()
-    sets = thinned(docs, wanted, "doc_id").join(wanted, "doc_id").select("cid", "blob", "n", "f1", "text").mapInArrow(_sets(size), "cid long, blob long, n long, data binary")
+    sets = thinned(docs, wanted, "doc_id").join(wanted, "doc_id").select("cid", "blob", "n", "f1", "text").mapInArrow(tidy(_sets(size)), "cid long, blob long, n long, data binary")
     if any(r["doc_id"] is None for r in kinds):  # classes of rows without a doc_id
-        nameless = docs.filter("doc_id is null").select("text").mapInArrow(_sets(size), "n long, f1 long, data binary")
+        nameless = docs.filter("doc_id is null").select("text").mapInArrow(tidy(_sets(size)), "n long, f1 long, data binary")
         sets = sets.unionByName(nameless.join(wanted.filter("doc_id is null").drop("doc_id"), ["n", "f1"]).select("cid", "blob", "n", "data"))
     return sets.dropDuplicates(["cid"]) if kinds else sets
 

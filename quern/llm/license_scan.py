@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import tidy
+
 # License texts, notices and statements, by their SPDX ids.
 _AS_IS = (
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
@@ -192,4 +194,4 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "license", "gain", "start", "end", "differences"])
 
     hits = docs.select("doc_id", "text").filter(F.col("text").rlike(CUES))
-    return hits.mapInArrow(run, "doc_id long, license string, gain double, start long, end long, differences string")
+    return hits.mapInArrow(tidy(run), "doc_id long, license string, gain double, start long, end long, differences string")

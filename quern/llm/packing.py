@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bpe
+from quern.llm.common import kept, tidy
 
 ROW_IDS, WINDOW_IDS = 4096, 4 << 20
 PACKED = "pack_id long, ids binary, n_ids int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<long>"
@@ -76,18 +77,12 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-_MADE: dict[int, object] = {}
-
-
 def _encoder(ranks: dict[bytes, int], pattern: str):
     """Text to ids as an array, kept over a worker's tasks."""
-    key = hash((pattern, frozenset(ranks.items())))
-    if key not in _MADE:
-        import tiktoken
+    import tiktoken
 
-        _MADE.clear()
-        _MADE[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    made = _MADE[key]
+    key = "tiktoken", hash((pattern, frozenset(ranks.items())))
+    made = kept(key, lambda: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
 
     def encode(text: str) -> np.ndarray:
         try:
@@ -95,7 +90,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
         except BaseException as failure:  # a panic of the library is no Exception
             if isinstance(failure, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            return np.frombuffer(bpe.encoder(ranks, pattern)(text), "<i4")
+            return np.frombuffer(bpe.Encoder(ranks, pattern)(text), "<i4")
 
     return encode
 
@@ -117,7 +112,7 @@ def token_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
             ids = [encoder(t or "").astype(kind).tobytes() + last for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run, forget=False), "doc_id long, ids binary")
 
 
 def pack(sequences: DataFrame, vocabulary: int, *, row_ids: int = ROW_IDS, window_ids: int = WINDOW_IDS) -> DataFrame:
@@ -165,7 +160,7 @@ def pack(sequences: DataFrame, vocabulary: int, *, row_ids: int = ROW_IDS, windo
                     held, size = [], 0
         yield from window(held, task, made)
 
-    return sequences.select("doc_id", "ids").mapInArrow(run, PACKED)
+    return sequences.select("doc_id", "ids").mapInArrow(tidy(run, forget=False), PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import discard, materialise, release, small_batches, thinned
+from quern.llm.common import discard, materialise, release, small_batches, thinned, tidy
 from quern.llm.jaccard_join import Tile, dealt
 
 WORDS, SHINGLE, PERCENT = 50, 5, 80
@@ -437,7 +437,7 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     token, tries = token_words(words, size, percent), (words, size, percent)
-    made = materialise(docs.mapInArrow(_windows(*tries), "doc_id long, key long, at int"))
+    made = materialise(docs.mapInArrow(tidy(_windows(*tries)), "doc_id long, key long, at int"))
     groups = made.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
     groups = materialise(groups.select("key", F.col("f.doc_id").alias("b"), F.col("f.at").alias("j")))
     release(spark)
@@ -457,7 +457,7 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
     for used in (shared, within, marked):
         discard(used)
     release(spark)
-    runs = materialise(thinned(docs, places, "doc_id").join(places, "doc_id").mapInArrow(_runs(*tries), "part long, doc_id long, start int, open boolean, comp long, near long, long boolean"))
+    runs = materialise(thinned(docs, places, "doc_id").join(places, "doc_id").mapInArrow(tidy(_runs(*tries)), "part long, doc_id long, start int, open boolean, comp long, near long, long boolean"))
     several = runs.groupBy("part").agg(F.max("open").alias("any"), F.min(F.struct("doc_id", "start")).alias("f"), F.max("doc_id").alias("hi")).filter("any and f.doc_id < hi")
     several = materialise(several.select("part", F.col("f.start").alias("s")))
     kept = materialise(runs.join(several, "part"))
@@ -479,7 +479,7 @@ def repeated_passages(docs: DataFrame, *, words: int = WORDS, size: int = SHINGL
     discard(firsts)
     release(spark)
     wanted = kept.groupBy("doc_id").agg(F.collect_list(F.struct("part", "start", "cid", "comp")).alias("places"))
-    near = materialise(thinned(docs, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(_around(*tries), "part long, cid long, comp long, data binary"))
+    near = materialise(thinned(docs, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(tidy(_around(*tries)), "part long, cid long, comp long, data binary"))
     met = dealt(near.select("part", "cid", "comp", F.lit(words - size + 1).alias("n")), near, partial(Surroundings, words=words, size=size, percent=percent))
     x, y = (kept.select(F.col("cid").alias(c), F.col("doc_id").alias(f"d{c}"), F.col("start").alias(f"s{c}")) for c in "ab")
     met = materialise(met.join(x, "a").join(y, "b").filter("da <> db"))
@@ -493,7 +493,7 @@ def _verify(docs: DataFrame, met: DataFrame, tries: tuple[int, int, int]) -> Dat
     pairs = materialise(met.groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("places")))
     x, y = (thinned(docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), pairs, c) for c in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "places", "text_a", "text_b")
-    out = materialise(both.mapInArrow(_verified(*tries), "doc_id long, of_doc_id long, start_word long, end_word long, of_start_word long, of_end_word long, similarity double"))
+    out = materialise(both.mapInArrow(tidy(_verified(*tries)), "doc_id long, of_doc_id long, start_word long, end_word long, of_start_word long, of_end_word long, similarity double"))
     discard(pairs)
     release(docs.sparkSession)
     return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, small_batches
+from quern.llm.common import materialise, small_batches, tidy
 
 SAMPLE, TERMS = 40_000, 4096
 STEMS = (4, 5, 6)
@@ -71,7 +71,7 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "n"])
 
     out = np.zeros(N**3, np.int64)
-    for r in docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(tidy(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
         out[r["t"]] = r["n"]
     return out.reshape(N, N, N)
 
@@ -162,7 +162,7 @@ def _counted(docs: DataFrame, channel_counts: np.ndarray, only: frozenset[str] |
                 found.update(terms if only is None else terms & only)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -223,7 +223,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE,
             scores = [model.score(channel.words(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -243,4 +243,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, term
         for batch in batches:
             yield batch.filter(pa.array([model.score(channel.words(t.as_py())) < 0.5 for t in batch.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
