@@ -114,6 +114,16 @@ def test_statements(spark, engine, tmp_path):
     spark.sql("DROP TABLE q_test")
 
 
+def test_create_analyze_explain(spark, engine):
+    spark.sql("DROP TABLE IF EXISTS made_here")
+    engine.sql("CREATE TABLE made_here (k BIGINT, v VARCHAR, day DATE) PARTITION BY (day)")
+    engine.sql("INSERT INTO made_here VALUES (1, 'a', DATE '2024-01-01'), (2, 'b', DATE '2024-01-02')")
+    engine.sql("ANALYZE TABLE made_here")
+    said = [r[0] for r in engine.sql("EXPLAIN ANALYZE SELECT * FROM made_here WHERE day = DATE '2024-01-02'").collect()]
+    assert said[0].startswith("rows: 1,") and any("PartitionFilters: [isnotnull(day" in x for x in said)
+    spark.sql("DROP TABLE made_here")
+
+
 def test_information_schema(spark, engine):
     spark.range(1).createOrReplaceTempView("held")
     assert engine.sql("SELECT table_type FROM information_schema.tables WHERE table_name = 'held'").first()[0] == "VIEW"
