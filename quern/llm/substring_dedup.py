@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import shingles
 from quern.llm.common import discard, materialise, release, small_batches, thinned, tidy
-from quern.llm.jaccard_join import Tile, dealt
+from quern.llm.jaccard_join import Tile, _needed, dealt
 
 WORDS, SHINGLE, PERCENT = 50, 5, 80
 _SALT = np.uint64(0x1234567)
@@ -199,14 +199,15 @@ class Surroundings(Tile):
         self.data = [d[2:] for d in self.data]
         q, own = self.q, self.own
         self.q, self.own, self.n = np.zeros(len(rows), bool), np.zeros(len(rows), bool), np.full(len(rows), words)
-        self.made, self.sorted, self.news = {}, {}, {}
+        self.made, self.news, self.least = {}, {}, {}
         self.counts = np.zeros((len(rows), _GROUPS), np.uint8)
         for group in self.alike:
             i = group[0]
             self.q[i], self.own[i] = q[group].any(), own[group].any()
             m = self.made[i] = shingles.sequences(self.data[i], np.array([0, len(self.data[i])]), size)[0][: len(self.data[i]) - size + 1]
-            self.sorted[i], new = np.sort(m), _new(m, words - size + 1)
-            self.news[i], self.n[i] = new, int(new.sum(1).min())
+            self.news[i] = _new(m, words - size + 1)
+            self.least[i] = self.news[i].sum(1)
+            self.n[i] = int(self.least[i].min())
             self.counts[i] = np.bincount((np.unique(m) & np.uint64(_GROUPS - 1)).astype(np.int64), minlength=_GROUPS)
 
     def _groups(self, a: np.ndarray, b: np.ndarray) -> int:
@@ -222,8 +223,16 @@ class Surroundings(Tile):
             for i in group:
                 one[i] = group[0]
                 if self.label[i] != self.label[group[0]]:
-                    self.label[self.label == self.label[i]] = self.label[group[0]]
-                    found.append((min(int(self.cid[i]), int(self.cid[group[0]])), max(int(self.cid[i]), int(self.cid[group[0]]))))
+                    found.append(self._join(i, group[0]))
+        # Rows with an equal least passage are similar, which needs no pairs.
+        holds: dict[int, int] = {}
+        for group in self.alike:
+            i = group[0]
+            windows = np.lib.stride_tricks.sliding_window_view(self.data[i], self.words)
+            for h in set((windows * shingles._STEP[: self.words]).sum(1, dtype=np.uint64).tolist()):
+                other = holds.setdefault(h, i)
+                if self.label[i] != self.label[other]:
+                    found.append(self._join(i, other))
         found += self.pairs()
         yield from found
         row = {c: i for i, c in enumerate(self.cid.tolist())}
@@ -236,14 +245,34 @@ class Surroundings(Tile):
                 known[one[i], one[root]] = True
                 yield min(int(self.cid[i]), int(self.cid[root])), max(int(self.cid[i]), int(self.cid[root]))
 
+    def joined(self, queries: np.ndarray, others: np.ndarray, vq: np.ndarray, vo: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs of similar rows; a product of counts is the smaller one at least, so products of vectors bound overlaps."""
+        both, right = self.q & self.own, vo.astype(np.float32).T
+        for lo in range(0, len(queries), 256):
+            qs = queries[lo : lo + 256]
+            need = _needed(self.n[qs][:, None], self.n[others][None, :], self.percent)
+            able = (vq[lo : lo + 256].astype(np.float32) @ right >= need) & (self.label[qs][:, None] != self.label[others][None, :])
+            able &= ~(both[qs][:, None] & both[others][None, :] & (qs[:, None] > others[None, :]))
+            for i, j in np.argwhere(able).tolist():
+                x, y = int(qs[i]), int(others[j])
+                if self.label[x] != self.label[y] and self.similar(x, y):
+                    yield self._join(x, y)
+
+    def _join(self, x: int, y: int) -> tuple[int, int]:
+        self.label[self.label == self.label[x]] = self.label[y]
+        return min(int(self.cid[x]), int(self.cid[y])), max(int(self.cid[x]), int(self.cid[y]))
+
     def similar(self, x: int, y: int) -> bool:
         n = self.words - self.size + 1
-        for a, new, b in ((self.made[x], self.news[x], self.sorted[y]), (self.made[y], self.news[y], self.sorted[x])):
-            # Some least passage must have enough of its different shingles in the other.
-            has = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
-            if not (100 * (new & np.lib.stride_tricks.sliding_window_view(has, n)).sum(1) >= self.percent * new.sum(1)).any():
-                return False
-        if self._aligned(x, y, n):
+        same = self.made[x][:, None] == self.made[y][None, :]
+        total = np.zeros((same.shape[0] + 1, same.shape[1] + 1), np.int32)
+        total[1:, 1:] = same.cumsum(0, dtype=np.int32).cumsum(1)
+        # For each pair of least passages, the equal pairs of their shingles: at least the shingles in common.
+        common = total[n:, n:] - total[:-n, n:] - total[n:, :-n] + total[:-n, :-n]
+        every, able = int(total[-1, -1]), 100 * common >= self.percent * (self.least[x][:, None] + self.least[y][None, :] - common)
+        if not able.any() and 100 * every < self.percent * (len(self.made[x]) + len(self.made[y]) - every):
+            return False
+        if self._aligned(x, y, n) or self._long_run(x, y, n):
             return True
         return bool(passages(self.data[x], self.data[y], [(self.places[x], self.places[y])], self.words, self.size, self.percent))
 
@@ -259,6 +288,18 @@ class Surroundings(Tile):
         return bool((100 * both >= self.percent * (p.sum(1) + q.sum(1) - both)).any())
 
 
+    def _long_run(self, x: int, y: int, n: int) -> bool:
+        """Whether the run alone is enough for a least passage of each row around it."""
+        a, b, i, j = self.made[x], self.made[y], self.places[x], self.places[y]
+        e, s = _agree(a[i:], b[j:]), _agree(a[:i][::-1], b[:j][::-1])
+        if s + e < _needed(n, n, self.percent) or s + e > n:
+            return False
+        common, least = len(np.unique(a[i - s : i + e])), 0
+        for row, m, at in ((x, a, i), (y, b, j)):
+            least += int(self.news[row][max(0, at + e - n) : min(at - s, len(m) - n) + 1].sum(1).min())
+        return 100 * common >= self.percent * (least - common)
+
+
 def _chain(mx: np.ndarray, my: np.ndarray, i: int, j: int, percent: int, most: int, held: int) -> list[tuple[int, int, int]]:
     """(x, y, gain) at the ends of the runs that follow the run up to shingles i, j; gain is linear in the shingles.
 
@@ -335,6 +376,7 @@ def passages(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], words_
     """The passages (range in x, range in y, similarity) of two texts' word hashes around places of equal words."""
     mx, my = (shingles.sequences(w, np.array([0, len(w)]), size)[0][: len(w) - size + 1] for w in (x, y))
     n_least, out, tried, able = words_least - size + 1, [], {}, None
+    needed = _needed(n_least, n_least, percent)
 
     def similar(s: int, e: int, t: int, f: int) -> float:
         p, q = set(mx[s:e].tolist()), set(my[t:f].tolist())
@@ -374,6 +416,8 @@ def passages(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], words_
         if not found:
             # No chain of runs: every least passage around the run, on the diagonals of the runs beside it.
             beside = {a - b for a, b, _ in right[:3] + left[:3]}
+            if n_least > e - s >= needed:  # the run is enough, whichever side of it either passage reaches over
+                beside |= {s - t + k for k in range(e - s - n_least, n_least - e + s + 1)}
             best = (0.0,)
             for d in sorted(beside):
                 a, z = max(0, s - n_least + 1, d), min(e, len(mx) - n_least + 1, len(my) - n_least + 1 + d)

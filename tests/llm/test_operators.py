@@ -334,6 +334,31 @@ def test_passages(docs):
     assert (got[9, 8].start_word, got[9, 8].end_word, got[9, 8].of_start_word) == (30, 85, 60)
 
 
+def test_near_passages_in_clusters(spark):
+    """Of all pairs of near passages in clusters of variants, nine tenths at least are joined, directly or over others."""
+    r, groups = random.Random(41), []
+    for k in range(12):
+        base = text(300 + k, 50 + k).split()
+        groups.append([edited(base, r, 1).split() for _ in range(8)])
+    docs = near_docs(spark, groups)
+    words = {x.doc_id: x.text.split() for x in docs.collect()}
+    sets = {d: [frozenset(tuple(w[i + m : i + m + 5]) for m in range(46)) for i in range(len(w) - 49)] for d, w in words.items()}
+    parent = {d: d for d in words}
+
+    def find(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    rows = substring_dedup.repeated_passages(docs).collect()
+    for x in rows:
+        a, b = (frozenset(tuple(w[i : i + 5]) for i in range(s, e - 4)) for w, s, e in ((words[x.doc_id], x.start_word, x.end_word), (words[x.of_doc_id], x.of_start_word, x.of_end_word)))
+        assert x.of_doc_id < x.doc_id and min(x.end_word - x.start_word, x.of_end_word - x.of_start_word) >= 50 and 100 * len(a & b) >= 80 * len(a | b)
+        parent[max(find(x.doc_id), find(x.of_doc_id))] = min(find(x.doc_id), find(x.of_doc_id))
+    near = [(d, e) for d in words for e in words if d < e and d // 8 == e // 8 and any(100 * len(p & q) >= 80 * len(p | q) for p in sets[d] for q in sets[e])]
+    assert len(near) > 100 and sum(find(d) == find(e) for d, e in near) >= 0.9 * len(near)
+
+
 def near_docs(spark, groups):
     """A document for each list of words, between words of its own; ids count from 0."""
     rows = [(d, text(5000 + d, 40) + " " + " ".join(w) + " " + text(7000 + d, 30)) for d, w in enumerate(w for g in groups for w in g)]
