@@ -199,16 +199,34 @@ class Surroundings(Tile):
         self.data = [d[2:] for d in self.data]
         q, own = self.q, self.own
         self.q, self.own, self.n = np.zeros(len(rows), bool), np.zeros(len(rows), bool), np.full(len(rows), words)
-        self.made, self.news, self.least = {}, {}, {}
+        self.made, self.news, self.least, self.hashes, self.last, self.numbers = {}, {}, {}, {}, {}, {}
         self.counts = np.zeros((len(rows), _GROUPS), np.uint8)
+        lengths: dict[int, list[int]] = {}
         for group in self.alike:
             i = group[0]
             self.q[i], self.own[i] = q[group].any(), own[group].any()
-            m = self.made[i] = shingles.sequences(self.data[i], np.array([0, len(self.data[i])]), size)[0][: len(self.data[i]) - size + 1]
-            self.news[i] = _new(m, words - size + 1)
-            self.least[i] = self.news[i].sum(1)
-            self.n[i] = int(self.least[i].min())
-            self.counts[i] = np.bincount((np.unique(m) & np.uint64(_GROUPS - 1)).astype(np.int64), minlength=_GROUPS)
+            lengths.setdefault(len(self.data[i]), []).append(i)
+        different = {}
+        for long, at in lengths.items():
+            flat, before = np.concatenate([self.data[i] for i in at]), np.arange(len(at) + 1) * long
+            m, h = (shingles.sequences(flat, before, k)[0].reshape(-1, long)[:, : long - k + 1] for k in (size, words))
+            last = _before(m)
+            news = _windows_new(last, words - size + 1)
+            least = news.sum(2)
+            self.n[at], different[long] = least.min(1), last < 0
+            group = np.arange(len(at))[:, None] * _GROUPS + (m & np.uint64(_GROUPS - 1)).astype(np.int64)
+            self.counts[at] = np.bincount(group[different[long]], minlength=len(at) * _GROUPS).reshape(-1, _GROUPS)
+            for held, of in ((self.made, m), (self.news, news), (self.least, least), (self.hashes, h), (self.last, last)):
+                held.update(zip(at, of, strict=True))
+        # Each row's different shingles by their number in the tile; `place` has one more, which is no shingle's.
+        every = [np.concatenate([self.made[i] for i in at]) for at in lengths.values()]
+        number = np.unique(np.concatenate(every or [np.zeros(0, np.uint64)]), return_inverse=True)[1]
+        self.place = np.full(len(number) + 1, -1)
+        self.ids = np.full((len(rows), max(lengths, default=size) - size + 1), len(number))
+        for (long, at), ids in zip(lengths.items(), np.split(number, np.cumsum([len(e) for e in every])[:-1]), strict=True) if every else ():
+            ids = ids.reshape(len(at), -1)
+            self.ids[at, : long - size + 1] = np.where(different[long], ids, len(number))
+            self.numbers.update(zip(at, ids, strict=True))
 
     def _groups(self, a: np.ndarray, b: np.ndarray) -> int:
         return _GROUPS
@@ -225,14 +243,13 @@ class Surroundings(Tile):
                 if self.label[i] != self.label[group[0]]:
                     found.append(self._join(i, group[0]))
         # Rows with an equal least passage are similar, which needs no pairs.
-        holds: dict[int, int] = {}
-        for group in self.alike:
-            i = group[0]
-            windows = np.lib.stride_tricks.sliding_window_view(self.data[i], self.words)
-            for h in set((windows * shingles._STEP[: self.words]).sum(1, dtype=np.uint64).tolist()):
-                other = holds.setdefault(h, i)
-                if self.label[i] != self.label[other]:
-                    found.append(self._join(i, other))
+        if self.alike:
+            holder = np.repeat([g[0] for g in self.alike], [len(self.hashes[g[0]]) for g in self.alike])
+            _, at, which = np.unique(np.concatenate([self.hashes[g[0]] for g in self.alike]), return_index=True, return_inverse=True)
+            other = holder[at][which]
+            for k in np.flatnonzero(other != holder).tolist():
+                if self.label[holder[k]] != self.label[other[k]]:
+                    found.append(self._join(int(holder[k]), int(other[k])))
         found += self.pairs()
         yield from found
         row = {c: i for i, c in enumerate(self.cid.tolist())}
@@ -241,8 +258,12 @@ class Surroundings(Tile):
         known: dict[tuple[int, int], bool] = {}
         for i in joined:
             root = first.setdefault(int(self.label[i]), i)
-            if self.docs[root] < self.docs[i] and (one[i] == one[root] or known.setdefault((one[i], one[root]), False) or self.similar(one[i], one[root])):
-                known[one[i], one[root]] = True
+            pair = one[i], one[root]
+            if self.docs[root] >= self.docs[i]:
+                continue
+            if pair not in known:
+                known[pair] = pair[0] == pair[1] or len(self._able(pair[0], np.array(pair[1:]))) > 0 and self.similar(*pair)
+            if known[pair]:
                 yield min(int(self.cid[i]), int(self.cid[root])), max(int(self.cid[i]), int(self.cid[root]))
 
     def joined(self, queries: np.ndarray, others: np.ndarray, vq: np.ndarray, vo: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -253,10 +274,39 @@ class Surroundings(Tile):
             need = _needed(self.n[qs][:, None], self.n[others][None, :], self.percent)
             able = (vq[lo : lo + 256].astype(np.float32) @ right >= need) & (self.label[qs][:, None] != self.label[others][None, :])
             able &= ~(both[qs][:, None] & both[others][None, :] & (qs[:, None] > others[None, :]))
-            for i, j in np.argwhere(able).tolist():
-                x, y = int(qs[i]), int(others[j])
-                if self.label[x] != self.label[y] and self.similar(x, y):
-                    yield self._join(x, y)
+            for i in np.flatnonzero(able.any(1)).tolist():
+                x, at = int(qs[i]), np.flatnonzero(able[i])
+                for y in self._able(x, others[at[self.label[others[at]] != self.label[x]]]).tolist():
+                    if self.label[x] != self.label[y] and self.similar(x, y):
+                        yield self._join(x, y)
+
+    def _able(self, x: int, others: np.ndarray) -> np.ndarray:
+        """The others that can have a passage in common with a row.
+
+        Passages have the different shingles of a least one, so both rows share what two least ones
+        need, and some range of x has enough of the other's.
+        """
+        m, n = len(self.numbers[x]), self.words - self.size + 1
+        self.place[self.numbers[x][::-1]] = np.arange(m)[::-1]  # the first of equal ones
+        first, has = self.place[self.numbers[x]], self.place[self.ids[others]]
+        self.place[self.numbers[x]] = -1
+        keep = (has >= 0).sum(1) >= _needed(self.n[x], self.n[others], self.percent)
+        others, has = others[keep], has[keep]
+        if not len(others):
+            return others
+        # Ranges (start, end) of x and, of each, the shingles that it does not have before.
+        start, end = np.triu_indices(m - n + 1)
+        k = np.arange(m)
+        ranges = (self.last[x] < start[:, None]) & (k >= start[:, None]) & (k < end[:, None] + n)
+        size, out = ranges.sum(1), []
+        ranges = ranges.astype(np.float32).T
+        for lo in range(0, len(others), 256):
+            part = has[lo : lo + 256]
+            held = np.zeros((len(part), m + 1), np.float32)
+            held[np.arange(len(part))[:, None], part] = 1  # those that x does not have in a last column
+            gain = (held[:, first] @ ranges * (100 + self.percent) - self.percent * size).max(1)
+            out.append(others[lo : lo + 256][gain >= self.percent * self.n[others[lo : lo + 256]]])
+        return np.concatenate(out)
 
     def _join(self, x: int, y: int) -> tuple[int, int]:
         self.label[self.label == self.label[x]] = self.label[y]
@@ -334,15 +384,24 @@ def _agree(x: np.ndarray, y: np.ndarray) -> int:
     return n
 
 
+def _before(x: np.ndarray) -> np.ndarray:
+    """For each value of a row (along the last axis), where it last stood before, -1 if nowhere."""
+    order = np.argsort(x, -1, kind="stable")
+    held = np.take_along_axis(x, order, -1)
+    out = np.full(x.shape, -1)
+    np.put_along_axis(out, order[..., 1:], np.where(held[..., 1:] == held[..., :-1], order[..., :-1], -1), -1)
+    return out
+
+
+def _windows_new(before: np.ndarray, n: int) -> np.ndarray:
+    """For each window of n values, which of them the window does not have before."""
+    windows = np.lib.stride_tricks.sliding_window_view(before, n, -1)
+    return windows < np.arange(windows.shape[-2])[:, None]
+
+
 def _new(x: np.ndarray, n: int) -> np.ndarray:
     """For each window of n shingles of x, which of them the window does not have before."""
-    if len(x) < n:
-        return np.zeros((0, n), bool)
-    order = np.argsort(x, kind="stable")
-    before = np.full(len(x), -1)
-    same = x[order[1:]] == x[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    return np.lib.stride_tricks.sliding_window_view(before, n) < np.arange(len(x) - n + 1)[:, None]
+    return _windows_new(_before(x), n) if len(x) >= n else np.zeros((0, n), bool)
 
 
 def _able(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> np.ndarray:

@@ -388,6 +388,31 @@ def test_near_passages_of_least_length(spark):
     assert len(want) > 30 and {(r.doc_id, r.of_doc_id) for r in substring_dedup.repeated_passages(docs).collect()} == want
 
 
+def test_surroundings_with_repeated_words(monkeypatch):
+    """Rows whose equal pairs of shingles are many only by repeated words are told apart before each pair is compared; no similar pair is lost."""
+    r, words, tried = random.Random(43), [], []
+    for k in range(30):
+        own = text(800 + k, 40).split()
+        row = [*["again"] * 10, *own[:3], *text(790, 11).split(), own[3], *text(791, 25).split(), *own[4:18], *["more"] * 11]
+        words += [row, edited(row, r, 1).split() if k % 2 else text(900 + k, 75).split()[:25] + row[25:]]
+    data = [np.frombuffer(b"".join(int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little").to_bytes(8, "little") for w in row), np.uint64) for row in words]
+    rows = [(True, True, k, k, 46, np.concatenate([np.array([25, k], np.uint64), d]).tobytes()) for k, d in enumerate(data)]
+    similar = substring_dedup.Surroundings.similar
+    monkeypatch.setattr(substring_dedup.Surroundings, "similar", lambda self, x, y: tried.append((x, y)) or similar(self, x, y))
+    got = set(substring_dedup.Surroundings(rows, 50, 5, 80).links())
+    want = {(a, b) for b in range(60) for a in range(b) if substring_dedup.passages(data[b], data[a], [(25, 25)], 50, 5, 80)}
+    assert len(want) > 10 and components_of(got) == components_of(want)
+    assert len(tried) < 200
+
+
+def components_of(pairs):
+    parts = []
+    for a, b in pairs:
+        touched = [p for p in parts if a in p or b in p]
+        parts = [p for p in parts if p not in touched] + [set().union({a, b}, *touched)]
+    return {frozenset(p) for p in parts}
+
+
 def test_near_passages_in_chains(spark):
     groups = []
     for k in range(20):
