@@ -229,7 +229,7 @@ def _frame_queries() -> dict:
         ),
         "cidr_join": (
             lambda s, d: tables.cidr_join(
-                read(s, d, "events").select("event_id", F.expr("concat('10.0.', user_id div 256 % 256, '.', user_id % 256)").alias("ip")),
+                read(s, d, "events").select("event_id", F.expr("concat('10.', user_id div 65536, '.', user_id div 256 % 256, '.', user_id % 256)").alias("ip")),  # beyond 2 ** 24 users there is no address
                 s.range(8).select(F.expr("concat('10.0.0.', id * 32, '/27')").alias("cidr")), "ip", "cidr",
             ).select("event_id", "cidr"),
             "SELECT event_id, concat('10.0.0.', user_id // 32 * 32, '/27') AS cidr FROM events WHERE user_id < 256",

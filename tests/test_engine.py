@@ -189,5 +189,13 @@ def test_every_function_is_called():
     assert not {n for n in plain if not re.search(rf"\b{n}\(", calls)} - {"from_iso8601_date"}
 
 
+def test_cidr_join_of_many_users(spark, tmp_path):
+    """Users have addresses of their own, beyond 65,536 of them too."""
+    users = [0, 31, 32, 255, 256, 65535, 65536, 65791, 90000, 1 << 24, (1 << 24) + 255, 1 << 32]
+    spark.createDataFrame(list(enumerate(users)), "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.queries()["cidr_join"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, f"10.0.0.{u // 32 * 32}/27") for i, u in enumerate(users) if u < 256]
+
+
 def test_each_query_has_sql():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
