@@ -14,6 +14,7 @@ _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z read as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_SOLID = np.where(_SPACE, np.uint64(0), _BYTE)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,16 +57,12 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before = np.searchsorted(starts, ends)
     if not len(starts):
         return np.zeros(0, np.uint64), before
-    at = np.arange(len(raw), dtype=np.int64)
-    place = at - np.repeat(starts, np.diff(np.append(starts, len(raw))))[-len(raw) :] if starts[0] == 0 else None
-    if place is None:
-        place = np.zeros(len(raw), np.int64)
-        place[starts[0] :] = at[starts[0] :] - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    longest = int(place[solid].max()) + 1
-    powers = np.ones(longest, np.uint64)
+    raw, starts = raw[starts[0] :], starts - starts[0]
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(starts, append=len(raw)))
+    powers = np.ones(int(place.max()) + 1, np.uint64)
     powers[1:] = _BASE
     powers = np.multiply.accumulate(powers)
-    value = np.where(solid, _BYTE[raw], np.uint64(0)) * powers[np.minimum(place, longest - 1)]
+    value = _SOLID[raw] * powers[place]
     return mix(np.add.reduceat(value, starts)), before
 
 

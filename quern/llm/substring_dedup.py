@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -68,17 +68,17 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
         width *= 2
     reach = np.maximum(spread[:n], spread[least - width : least - width + n])
     keep = np.flatnonzero(values <= reach)
-    out, stack = [], []
-    vals, left = values[keep].tolist(), []
-    keep = keep.tolist()
-    for i, (p, v) in enumerate(zip(keep, vals, strict=True)):
-        while stack and vals[stack[-1]] > v:
-            j = stack.pop()
-            if p - left[j] >= least:
-                out.append((left[j], keep[j], p - 1))
-        left.append(keep[stack[-1]] + 1 if stack else 0)
-        stack.append(i)
-    out += [(left[j], keep[j], n - 1) for j in stack if n - left[j] >= least]
+    out, ats, tops, lefts = [], [], [], []
+    for p, v in zip(keep.tolist(), values[keep].tolist(), strict=True):
+        while tops and tops[-1] > v:
+            tops.pop()
+            at, left = ats.pop(), lefts.pop()
+            if p - left >= least:
+                out.append((left, at, p - 1))
+        lefts.append(ats[-1] + 1 if ats else 0)
+        ats.append(p)
+        tops.append(v)
+    out += [(left, at, n - 1) for left, at in zip(lefts, ats, strict=True) if n - left >= least]
     return out
 
 
@@ -181,6 +181,20 @@ def _around(words_least: int, size: int, percent: int):
     return run
 
 
+@lru_cache(256)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse."""
+    return tuple(np.multiply.accumulate(np.array([1, *[b] * (n - 1)], np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+@lru_cache(256)
+def _ranges(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of all ranges of n of m shingles at least, and which shingles are inside each."""
+    start, end = np.triu_indices(m - n + 1)
+    k = np.arange(m)
+    return start[:, None], (k >= start[:, None]) & (k < end[:, None] + n)
+
+
 class Surroundings(Tile):
     """Words around runs that meet; a row's size is the least number of different shingles that a passage in it has."""
 
@@ -208,8 +222,12 @@ class Surroundings(Tile):
             lengths.setdefault(len(self.data[i]), []).append(i)
         different = {}
         for long, at in lengths.items():
-            flat, before = np.concatenate([self.data[i] for i in at]), np.arange(len(at) + 1) * long
-            m, h = (shingles.sequences(flat, before, k)[0].reshape(-1, long)[:, : long - k + 1] for k in (size, words))
+            flat = np.concatenate([self.data[i] for i in at])
+            m = shingles.sequences(flat, np.arange(len(at) + 1) * long, size)[0].reshape(-1, long)[:, : long - size + 1]
+            power, back = _powers(long)
+            total = np.zeros((len(at), long + 1), np.uint64)
+            np.cumsum(flat.reshape(-1, long) * power, 1, out=total[:, 1:])
+            h = (total[:, words:] - total[:, : long - words + 1]) * back[: long - words + 1]
             last = _before(m)
             news = _windows_new(last, words - size + 1)
             least = news.sum(2)
@@ -295,9 +313,8 @@ class Surroundings(Tile):
         if not len(others):
             return others
         # Ranges (start, end) of x and, of each, the shingles that it does not have before.
-        start, end = np.triu_indices(m - n + 1)
-        k = np.arange(m)
-        ranges = (self.last[x] < start[:, None]) & (k >= start[:, None]) & (k < end[:, None] + n)
+        start, inside = _ranges(m, n)
+        ranges = inside & (self.last[x] < start)
         size, out = ranges.sum(1), []
         ranges = ranges.astype(np.float32).T
         for lo in range(0, len(others), 256):
@@ -314,6 +331,8 @@ class Surroundings(Tile):
 
     def similar(self, x: int, y: int) -> bool:
         n = self.words - self.size + 1
+        if self._aligned(x, y, n):
+            return True
         same = self.made[x][:, None] == self.made[y][None, :]
         total = np.zeros((same.shape[0] + 1, same.shape[1] + 1), np.int32)
         total[1:, 1:] = same.cumsum(0, dtype=np.int32).cumsum(1)
@@ -322,9 +341,9 @@ class Surroundings(Tile):
         every, able = int(total[-1, -1]), 100 * common >= self.percent * (self.least[x][:, None] + self.least[y][None, :] - common)
         if not able.any() and 100 * every < self.percent * (len(self.made[x]) + len(self.made[y]) - every):
             return False
-        if self._aligned(x, y, n) or self._long_run(x, y, n):
+        if self._long_run(x, y, n):
             return True
-        return bool(passages(self.data[x], self.data[y], [(self.places[x], self.places[y])], self.words, self.size, self.percent))
+        return bool(_passages(self.made[x], self.made[y], [(self.places[x], self.places[y])], self.words, self.size, self.percent))
 
     def _aligned(self, x: int, y: int, n: int) -> bool:
         """Whether equal shingles on the run's own diagonal are enough for a least passage."""
@@ -337,7 +356,6 @@ class Surroundings(Tile):
         both = (p & same).sum(1)
         return bool((100 * both >= self.percent * (p.sum(1) + q.sum(1) - both)).any())
 
-
     def _long_run(self, x: int, y: int, n: int) -> bool:
         """Whether the run alone is enough for a least passage of each row around it."""
         a, b, i, j = self.made[x], self.made[y], self.places[x], self.places[y]
@@ -360,10 +378,12 @@ def _chain(mx: np.ndarray, my: np.ndarray, i: int, j: int, percent: int, most: i
     out, gain = [], 0
     while i < len(mx) and j < len(my):
         p, q = mx[i : i + most], my[j : j + most]
-        at = np.argwhere(p[:, None] == q[None, :])
+        at = np.flatnonzero(p[:, None] == q[None, :])
         if not len(at):
             break
-        u, v = at[np.lexsort((abs(at[:, 0] - at[:, 1]), at.sum(1)))[0]].tolist()
+        u, v = np.divmod(at, len(q))
+        k = ((u + v) * most + abs(u - v)).argmin()
+        u, v = int(u[k]), int(v[k])
         n = _agree(mx[i + u :], my[j + v :])
         gain += (100 + percent) * n - percent * (u + v + 2 * n)
         if held + gain < 0:
@@ -404,11 +424,13 @@ def _new(x: np.ndarray, n: int) -> np.ndarray:
     return _windows_new(_before(x), n) if len(x) >= n else np.zeros((0, n), bool)
 
 
-def _able(x: np.ndarray, y: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """Whether each window of n shingles of x has enough of its different ones anywhere in y."""
+def _able(x: np.ndarray, has: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Whether each window of n shingles of x has enough different ones of those that another text has."""
+    if len(set(x.tolist())) == len(x):  # all are different
+        held = np.concatenate([[0], np.cumsum(has)])
+        return 100 * (held[n:] - held[:-n]) >= percent * n
     new = _new(x, n)
-    has = np.lib.stride_tricks.sliding_window_view(np.isin(x, y), n)
-    return 100 * (new & has).sum(1) >= percent * new.sum(1)
+    return 100 * (new & np.lib.stride_tricks.sliding_window_view(has, n)).sum(1) >= percent * new.sum(1)
 
 
 def _slide(x: np.ndarray, y: np.ndarray, n: int, percent: int, at: int, d: int) -> tuple:
@@ -434,7 +456,12 @@ def _slide(x: np.ndarray, y: np.ndarray, n: int, percent: int, at: int, d: int)
 def passages(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], words_least: int, size: int, percent: int) -> list[tuple[int, int, int, int, float]]:
     """The passages (range in x, range in y, similarity) of two texts' word hashes around places of equal words."""
     mx, my = (shingles.sequences(w, np.array([0, len(w)]), size)[0][: len(w) - size + 1] for w in (x, y))
-    n_least, out, tried, able = words_least - size + 1, [], {}, None
+    return _passages(mx, my, places, words_least, size, percent)
+
+
+def _passages(mx: np.ndarray, my: np.ndarray, places: list[tuple[int, int]], words_least: int, size: int, percent: int) -> list[tuple[int, int, int, int, float]]:
+    """passages of two texts' shingles."""
+    n_least, out, tried = words_least - size + 1, [], {}
     needed = _needed(n_least, n_least, percent)
 
     def similar(s: int, e: int, t: int, f: int) -> float:
@@ -449,8 +476,10 @@ def passages(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], words_
         return (int(differ[k - 1]) + 1 if k else 0), (int(differ[k]) - 1 if k < len(differ) else len(m) - 1)
 
     every = set(places)
+    again = np.flatnonzero(mx[1:] == mx[:-1])
+    again = {*again.tolist(), *(again + 1).tolist()}
     for i, j in places:
-        if mx[i] in (mx[max(i - 1, 0)] if i else None, mx[i + 1] if i + 1 < len(mx) else None):
+        if i in again:
             every.update(zip(ends(mx, i), ends(my, j), strict=True))
     for i, j in sorted(every):
         if tried.get(i - j, -1) > i or any(a <= i and i + size <= b for a, b, *_ in out):
@@ -463,25 +492,34 @@ def passages(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], words_
         left = [(s, t, 0), *_chain(mx[:s][::-1], my[:t][::-1], 0, 0, percent, 4 * size, held)]
         right[1:] = [(e + a, f + b, g) for a, b, g in right[1:]]
         left[1:] = [(s - a, t - b, g) for a, b, g in left[1:]]
-        (xe, ye, ge), (xs, ys, gs) = (np.array(c, np.int64).T for c in (right, left))
-        long = np.minimum(xe[None, :] - xs[:, None], ye[None, :] - ys[:, None])
-        holds = ((100 - percent) * (e - s) + gs[:, None] + ge[None, :] >= 0) & (long >= n_least)
         found = None
-        for k in np.argsort(-np.where(holds, long, -1), axis=None, kind="stable")[: int(holds.sum())].tolist():
-            p, q = divmod(k, len(xe))
-            if score := similar(*(where := (int(xs[p]), int(xe[q]), int(ys[p]), int(ye[q])))):
-                found = where, score
-                break
+        if min(right[-1][0] - left[-1][0], right[-1][1] - left[-1][1]) >= n_least:  # the longest
+            (xe, ye, ge), (xs, ys, gs) = (np.array(c, np.int64).T for c in (right, left))
+            long = np.minimum(xe[None, :] - xs[:, None], ye[None, :] - ys[:, None])
+            holds = ((100 - percent) * (e - s) + gs[:, None] + ge[None, :] >= 0) & (long >= n_least)
+            for k in np.argsort(-np.where(holds, long, -1), axis=None, kind="stable")[: int(holds.sum())].tolist():
+                p, q = divmod(k, len(xe))
+                if score := similar(*(where := (int(xs[p]), int(xe[q]), int(ys[p]), int(ye[q])))):
+                    found = where, score
+                    break
         if not found:
             # No chain of runs: every least passage around the run, on the diagonals of the runs beside it.
             beside = {a - b for a, b, _ in right[:3] + left[:3]}
             if n_least > e - s >= needed:  # the run is enough, whichever side of it either passage reaches over
                 beside |= {s - t + k for k in range(e - s - n_least, n_least - e + s + 1)}
             best = (0.0,)
-            for d in sorted(beside):
-                a, z = max(0, s - n_least + 1, d), min(e, len(mx) - n_least + 1, len(my) - n_least + 1 + d)
-                able = able or (_able(mx, my, n_least, percent), _able(my, mx, n_least, percent))
-                at = np.flatnonzero(able[0][a:z] & able[1][a - d : z - d]) if a < z else ()
+            # The least passages start in these ranges of x and y; what they have in common is there too.
+            xa, xz = max(0, s - n_least + 1), min(e, len(mx) - n_least + 1)
+            ya, yz = max(0, xa - max(beside)), min(xz - min(beside), len(my) - n_least + 1)
+            able = None
+            if xa < xz and ya < yz:
+                p, q = mx[xa : xz + n_least - 1], my[ya : yz + n_least - 1]
+                same = p[:, None] == q[None, :]
+                able = _able(p, same.any(1), n_least, percent)
+                able = (able, _able(q, same.any(0), n_least, percent)) if able.any() else None
+            for d in sorted(beside) if able else ():
+                a, z = max(xa, d), min(xz, len(my) - n_least + 1 + d)
+                at = np.flatnonzero(able[0][a - xa : z - xa] & able[1][a - d - ya : z - d - ya]) if a < z else ()
                 if len(at):
                     a, z = a + int(at[0]), a + int(at[-1]) + n_least
                     best = max(best, _slide(mx[a:z], my[a - d : z - d], n_least, percent, a, d))
@@ -497,27 +535,34 @@ def passages(x: np.ndarray, y: np.ndarray, places: list[tuple[int, int]], words_
 def _verified(words_least: int, size: int, percent: int):
     """Each row holds two texts and places where they meet; finds the passages around the places."""
 
-    def hashed(column: pa.Array) -> tuple[list[np.ndarray], list[int]]:
-        """The word hashes of the different texts of a column, and which of them each row has."""
+    def hashed(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+        """The hashes of the words and shingles of the different texts of a column, and which of them each row has."""
         column = pc.dictionary_encode(pc.fill_null(column, ""))
         out = []
         for lo, hi in shingles.slices(column.dictionary):
             words, before = shingles.word_hashes(column.dictionary.slice(lo, hi - lo))
-            out += np.split(words, before[1:-1])
+            made = shingles.sequences(words, before, size)[0]
+            out += [(words[a:b], made[a : max(a, b - size + 1)]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
         return out, column.indices.to_pylist()
 
     def run(batches):
         for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in shingles.slices(b.column("text_a"))):
             rows = []
             (xs, of_x), (ys, of_y) = (hashed(batch.column(c)) for c in ("text_a", "text_b"))
-            for a, b, p, q, places in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), of_x, of_y, batch.column("places"), strict=True):
+            places = batch.column("places")
+            ends = places.offsets.to_numpy()
+            at = [places.values.field(c).to_numpy() for c in ("i", "j")]
+            for a, b, p, q, lo, hi in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), of_x, of_y, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 # A doc_id that stands for several texts brings places that are not its text's.
-                x, y = xs[p], ys[q]
+                (x, mx), (y, my) = xs[p], ys[q]
                 if len(x) == len(y) and (x == y).all():
                     rows.append((a, b, 0, len(x), 0, len(x), 1.0))
                     continue
-                met = [(i, j) for i, j in {(m["i"], m["j"]) for m in places.as_py()} if i + size <= len(x) and j + size <= len(y) and (x[i : i + size] == y[j : j + size]).all()]
-                rows += [(a, b, *got) for got in passages(x, y, met, words_least, size, percent)] if met else []
+                i, j = (c[lo:hi] for c in at)
+                inside = (i < len(mx)) & (j < len(my))
+                i, j = i[inside], j[inside]
+                equal = mx[i] == my[j]
+                rows += [(a, b, *got) for got in _passages(mx, my, list(zip(i[equal].tolist(), j[equal].tolist(), strict=True)), words_least, size, percent)] if equal.any() else []
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "of_doc_id", "start_word", "end_word", "of_start_word", "of_end_word", "similarity"])

@@ -536,3 +536,16 @@ def test_empty_tables(spark, empty):
         decontaminate.find_leaks(empty, bench), substring_dedup.repeated_passages(empty), packing.pack(packing.token_ids(empty, ranks, public_tokenizers.PATTERN), 50_003), license_scan.scan(empty),
     ):
         assert df.count() == 0
+
+
+def test_passages_look_around_their_places(monkeypatch):
+    """What a pair costs that shares no passage does not grow with its texts."""
+    rng, sizes, new = np.random.default_rng(5), [], substring_dedup._new
+    x, y = rng.integers(1, 1 << 62, (2, 3000), dtype=np.uint64)
+    y[1000:1030] = x[1500:1530]
+    y[2000:2050] = x[2500:2550]
+    y[2025] = 7
+    x[1490:1500] = x[1489]  # words repeat, so that windows are counted one by one
+    monkeypatch.setattr(substring_dedup, "_new", lambda v, n: sizes.append(len(v)) or new(v, n))
+    got = substring_dedup.passages(x, y, [(1500, 1000), (2500, 2000)], 50, 5, 80)
+    assert [g[:4] for g in got] == [(2500, 2550, 2000, 2050)] and max(sizes, default=0) < 200
