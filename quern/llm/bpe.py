@@ -183,15 +183,40 @@ class Transducer:
             at -= self.length[token]
         return b"".join(out[::-1])
 
+    def _walk(self, state: int, rest: bytes) -> bytes:
+        """The tokens from a passing state to the end of a short piece: each position's last token, without further states."""
+        (before, window, last), starts = self.passing[state]
+        ranks, prefixes, whole, pairs = self.ranks, self.prefixes, self.whole, self.pairs
+        self.outside += len(rest)
+        last, data = list(last), window + rest
+        for end in range(len(window) + 1, len(data) + 1):
+            token, live = None, []
+            for start in starts:
+                tail = data[start:end]
+                if tail in prefixes:
+                    live.append(start)
+                if token is None and (found := ranks.get(tail)) is not None and (whole.get(found) or self._stands_alone(found)):
+                    left = last[start - 1] if start else before
+                    if left is None or pairs.get(left << 32 | found) or self._stands(left, found):
+                        token = found
+            live.append(end)
+            starts = live
+            last.append(token)
+        return self._tokens(last, len(last))
+
     def encode(self, data: bytes) -> bytes:
         """The ids as little-endian 32-bit integers.  A piece that is a token is that token."""
         whole = self.ranks.get(data)
         if whole is not None:
             return self.packed[whole]
-        out, state, get = [], 0, self.next.get
-        for byte in data:
+        out, state, get, rest = [], 0, self.next.get, iter(data)
+        for byte in rest:
             made = get(state << 8 | byte)
-            state, ids = made if made is not None else self._step(state, byte)
+            if made is None:
+                made = self._step(state, byte)
+                if made[0] < 0 and len(data) <= PIECE_BYTES:  # the rest of a long one is not held
+                    return b"".join([*out, made[1], self._walk(made[0], bytes(rest))])
+            state, ids = made
             if ids:
                 out.append(ids)
         end = self.final.get(state)

@@ -549,3 +549,21 @@ def test_passages_look_around_their_places(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_new", lambda v, n: sizes.append(len(v)) or new(v, n))
     got = substring_dedup.passages(x, y, [(1500, 1000), (2500, 2000)], 50, 5, 80)
     assert [g[:4] for g in got] == [(2500, 2550, 2000, 2050)] and max(sizes, default=0) < 200
+
+
+@pytest.mark.parametrize("most", [1, 5, 100])
+def test_pieces_outside_memory_take_one_step(monkeypatch, most):
+    """When memory is full, a short piece leaves the states once and is encoded as by the definition."""
+    monkeypatch.setattr(bpe, "MOST_STATES", most)
+    monkeypatch.setattr(bpe, "STEPS_A_STATE", 1 << 30)
+    made = bpe.Transducer(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    rng, steps, step = random.Random(3), [], made._step
+    made._step = lambda state, byte: steps.append(state) or step(state, byte)
+    for k in range(300):
+        data = "".join(rng.choices(["en", "tion", "è", "a", "ou", "x", "'", "9", "the"], k=rng.randint(1, 14))).encode()[: bpe.PIECE_BYTES]
+        before = len(steps), len(made.keys)
+        assert np.frombuffer(made.encode(data), "<i4").tolist() == made.merged(data)
+        if before[1] >= most:
+            assert sum(s < 0 for s in steps[before[0] :]) == 0
+    long = ("entionèaoux" * 30).encode()
+    assert np.frombuffer(made.encode(long), "<i4").tolist() == made.merged(long)
