@@ -7,7 +7,8 @@ The transducer's state is what later bytes can still change: the bytes after the
 settled boundary, the token before it, and the last token at each position between.  A
 boundary is settled once every position from which a longer token might still start leads
 back through it; tokens before it are emitted, after a lookahead of less than the longest
-token.  States and their transitions are made when first met and kept.
+token.  States and their transitions are made when first met and kept, up to a number; a
+piece that leaves them then is ended by a search over the same pairs.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from quern.llm.common import kept, small_batches, tidy
 from quern.llm.shingles import slices
 
 #: Bounds of what one worker remembers, in entries; PIECE_BYTES bounds a remembered piece, so all have a bound in bytes.
-MOST_STATES, MOST_PIECES, MOST_PAIRS, PIECE_BYTES = 150_000, 150_000, 250_000, 64
-#: Steps outside full memory, for each state it holds, after which the states are forgotten and made anew.
-STEPS_A_STATE = 20
+MOST_STATES, MOST_PIECES, MOST_PAIRS, PIECE_BYTES = 30_000, 300_000, 250_000, 64
+#: Pieces that leave full memory, for each state it holds, after which the states are forgotten and made anew.
+STEPS_A_STATE = 100
 
 
 class Transducer:
@@ -35,6 +36,11 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
+        self.single = [ranks.get(bytes([b])) for b in range(256)]
+        # What a token begins with or is, with its id in the second case.
+        self.known = dict.fromkeys(self.prefixes, -1) | ranks
+        # The longest other token that a token begins with.
+        self.shorter = {i: s for t, i in ranks.items() if (s := next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks), None)) is not None}
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for t, i in ranks.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
@@ -53,7 +59,7 @@ class Transducer:
         """Forget all states but the first."""
         for held in (self.keys, self.live, self.index, self.next, self.final):
             held.clear()
-        self.outside, self.passing = 0, {}
+        self.outside = 0
         self.keys.append((None, b"", ()))
         self.live.append((0,))
         self.index[self.keys[0]] = 0
@@ -125,7 +131,7 @@ class Transducer:
         return known
 
     def _step(self, state: int, byte: int) -> tuple[int, bytes]:
-        (before, window, last), starts = (self.keys[state], self.live[state]) if state >= 0 else self.passing[state]
+        (before, window, last), starts = self.keys[state], self.live[state]
         window += byte.to_bytes(1, "little")
         token, live = None, []
         # A token that ends here began where one could still start; the longest that stands is the last token.
@@ -158,20 +164,10 @@ class Transducer:
         key = (before, window, last)
         to = self.index.get(key)
         if to is None:
-            if len(self.keys) >= MOST_STATES:
-                # Full: a passing state, of which two are held; what is met often was met before.
-                self.outside += 1
-                if self.outside > STEPS_A_STATE * MOST_STATES:
-                    self._reset()
-                to = -2 if state == -1 else -1
-                self.passing[to] = key, tuple(live)
-                return to, out
             to = self.index[key] = len(self.keys)
             self.keys.append(key)
             self.live.append(tuple(live))
-        made = to, out
-        if state >= 0:
-            self.next[state << 8 | byte] = made
+        made = self.next[state << 8 | byte] = to, out
         return made
 
     def _tokens(self, last: tuple[int, ...], at: int) -> bytes:
@@ -183,26 +179,45 @@ class Transducer:
             at -= self.length[token]
         return b"".join(out[::-1])
 
-    def _walk(self, state: int, rest: bytes) -> bytes:
-        """The tokens from a passing state to the end of a short piece: each position's last token, without further states."""
-        (before, window, last), starts = self.passing[state]
-        ranks, prefixes, whole, pairs = self.ranks, self.prefixes, self.whole, self.pairs
-        self.outside += len(rest)
-        last, data = list(last), window + rest
-        for end in range(len(window) + 1, len(data) + 1):
-            token, live = None, []
-            for start in starts:
-                tail = data[start:end]
-                if tail in prefixes:
-                    live.append(start)
-                if token is None and (found := ranks.get(tail)) is not None and (whole.get(found) or self._stands_alone(found)):
-                    left = last[start - 1] if start else before
-                    if left is None or pairs.get(left << 32 | found) or self._stands(left, found):
-                        token = found
-            live.append(end)
-            starts = live
-            last.append(token)
-        return self._tokens(last, len(last))
+    def _leave(self, state: int, rest: bytes) -> bytes:
+        """The tokens from a state to the end of a piece, without further states.
+
+        At each place the longest token that stands there is taken, and given up for shorter
+        ones where nothing can follow.  What leads to a place is its encoding, so a place that
+        was given up is not entered again.
+        """
+        before, window, _ = self.keys[state]
+        self.outside += 1
+        if self.outside > STEPS_A_STATE * MOST_STATES:
+            self._reset()
+        known, pairs, length, shorter = self.known.get, self.pairs, self.length, self.shorter
+        data, first, at = window + rest, -1 if before is None else before, 0
+        size, left, path, closed = len(data), first, [], set()
+        while at < size:
+            token = self.single[data[at]]
+            for end in range(at + 2, size + 1):
+                found = known(data[at:end])
+                if found is None:
+                    break
+                if found >= 0:
+                    token = found
+            while True:
+                if token is None:
+                    closed.add(at)
+                    token = path.pop()
+                    at -= length[token]
+                    left = path[-1] if path else first
+                elif not closed or at + length[token] not in closed:
+                    stands = pairs.get(left << 32 | token)
+                    if stands is None:
+                        stands = self._stands(left, token) if left >= 0 else self._stands_alone(token)
+                    if stands:
+                        break
+                token = shorter.get(token)
+            path.append(token)
+            left = token
+            at += length[token]
+        return b"".join([self.packed[t] for t in path])
 
     def encode(self, data: bytes) -> bytes:
         """The ids as little-endian 32-bit integers.  A piece that is a token is that token."""
@@ -213,18 +228,17 @@ class Transducer:
         for byte in rest:
             made = get(state << 8 | byte)
             if made is None:
+                if len(self.keys) >= MOST_STATES:
+                    out.append(self._leave(state, data[-1 - rest.__length_hint__() :]))
+                    return b"".join(out)
                 made = self._step(state, byte)
-                if made[0] < 0 and len(data) <= PIECE_BYTES:  # the rest of a long one is not held
-                    return b"".join([*out, made[1], self._walk(made[0], bytes(rest))])
             state, ids = made
             if ids:
                 out.append(ids)
         end = self.final.get(state)
         if end is None:
-            last = (self.keys[state] if state >= 0 else self.passing[state][0])[2]
-            end = self._tokens(last, len(last))
-            if state >= 0:
-                self.final[state] = end
+            last = self.keys[state][2]
+            end = self.final[state] = self._tokens(last, len(last))
         out.append(end)
         return b"".join(out)
 
@@ -263,6 +277,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Pieces(dict):
+    """The ids of pieces: what is met first is encoded; pieces of a bound in bytes are kept, in two generations."""
+
+    def __init__(self, fst: Transducer) -> None:
+        super().__init__()
+        self.fst = fst
+        self.before: dict[str, bytes] = {}  # an earlier generation, from which pieces met again are taken over
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            data = piece.encode()
+            ids = self.fst.encode(data)
+            if len(data) > PIECE_BYTES:
+                return ids
+        if len(self) >= MOST_PIECES:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids: each match of the pattern by the transducer, met pieces from memory."""
 
@@ -270,25 +306,11 @@ class Encoder:
         import regex
 
         self.find, self.fst = regex.compile(pattern).findall, Transducer(ranks)
-        self.seen: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # an earlier generation, from which pieces met again are taken over
+        self.seen = Pieces(self.fst)
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers; null counts as empty."""
-        out, get = [], self.seen.get
-        for piece in self.find(text or ""):
-            ids = get(piece)
-            if ids is None:
-                ids = self.before.get(piece)
-                if ids is None:
-                    ids = self.fst.encode(piece.encode())
-                if len(piece) * 4 <= PIECE_BYTES or len(piece.encode()) <= PIECE_BYTES:
-                    if len(self.seen) >= MOST_PIECES:
-                        self.before, self.seen = self.seen, {}
-                        get = self.seen.get
-                    self.seen[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.seen.__getitem__, self.find(text or "")))
 
 
 def encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:

@@ -567,3 +567,34 @@ def test_pieces_outside_memory_take_one_step(monkeypatch, most):
             assert sum(s < 0 for s in steps[before[0] :]) == 0
     long = ("entionèaoux" * 30).encode()
     assert np.frombuffer(made.encode(long), "<i4").tolist() == made.merged(long)
+
+
+@pytest.mark.parametrize("most", [1, 40, 1000])
+def test_full_memory_takes_no_steps(monkeypatch, most):
+    """When memory is full, pieces of any length are ended without steps; where the longest tokens lead nowhere, shorter ones are tried."""
+    monkeypatch.setattr(bpe, "MOST_STATES", most)
+    monkeypatch.setattr(bpe, "STEPS_A_STATE", 1 << 30)
+    real, rng = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(4)
+    toy = {t: i for i, t in enumerate([b"a", b"b", b"c", b"ab", b"bc", b"abab", b"cab", b"bca", b"ababc", b"caba", b"bcabab"])}
+    for ranks, alphabet in ((toy, "abc"), (real, ["en", "tion", "è", "a", "日本", "x", "'", "9", "the"])):
+        made, steps = bpe.Transducer(ranks), []
+        step = made._step
+        made._step = lambda *of: steps.append(of) or step(*of)  # noqa: B023
+        for k in range(120):
+            data, before = "".join(rng.choices(alphabet, k=rng.choice([3, 12, 150]))).encode(), (len(steps), len(made.keys))
+            assert np.frombuffer(made.encode(data), "<i4").tolist() == made.merged(data)
+            assert before[1] < most or len(steps) == before[0]
+        assert len(made.keys) <= most
+
+
+def test_piece_memory(monkeypatch):
+    """Met pieces are taken from memory, also from the generation before; long ones are not kept, and both have a bound."""
+    monkeypatch.setattr(bpe, "MOST_PIECES", 4)
+    made, encoded = bpe.Encoder({bytes([b]): b for b in range(256)}, r"\S+|\s+"), []
+    encode = made.fst.encode
+    monkeypatch.setattr(made.fst, "encode", lambda data: encoded.append(data) or encode(data))
+    for word, new in [("a", 1), ("a", 0), ("b", 1), ("c", 1), ("é" * 32, 1), ("e", 1), ("a", 0), ("f" * 65, 1), ("f" * 65, 1), ("é" * 32, 0), ("b", 0), (None, 0)]:
+        before = len(encoded)
+        assert np.frombuffer(made(word), "<i4").tolist() == list((word or "").encode())
+        assert len(encoded) - before == new, word
+        assert len(made.seen) <= 4 and len(made.seen.before) <= 4 and "f" * 65 not in made.seen
